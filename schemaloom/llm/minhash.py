@@ -13,7 +13,7 @@
 
 So every pair that shares a bucket is either confirmed, ruled out, or joined by other links. For a
 link at the similarity 0.85 the chance to share no bucket is 8e-7, and to be ruled out by the
-estimate's margin of five deviations 3e-7.
+estimate's margin of five deviations 3e-7. A pair is compared in the first bucket that it shares.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import small, written
 
 SHINGLE, PERCENT = 5, 85
-KEYS, ROWS, BANDS, BITS = 128, 5, 24, 4
+KEYS, ROWS, BANDS, BITS = 512, 5, 24, 2
 _M = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240)
 FACTORS, SHIFTS = (_rng.integers(0, 2**63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -59,8 +59,8 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
 
 def minima(h: np.ndarray) -> np.ndarray:
     out = np.full(KEYS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 2048):
-        out = np.minimum(out, ((h[i : i + 2048, None] + SHIFTS) * FACTORS).min(axis=0))
+    for i in range(0, len(h), 512):
+        out = np.minimum(out, ((h[i : i + 512, None] + SHIFTS) * FACTORS).min(axis=0))
     return out
 
 
@@ -114,23 +114,31 @@ def estimate(x: Column, y: Column) -> Column:
 
 def _likely(a: str, b: str, percent: int) -> Column:
     at = percent / 100
-    margin = 5 * (at * (1 - at) / KEYS) ** 0.5 + 0.01
+    same = at + (1 - at) * 2.0**-BITS  # how often places agree at the similarity asked for
+    margin = 5 * (same * (1 - same) / KEYS) ** 0.5 / (1 - 2.0**-BITS)
     sizes = (100 * F.least(f"{a}_n", f"{b}_n")) >= percent * F.greatest(f"{a}_n", f"{b}_n")
     return sizes & (estimate(F.col(f"{a}_sig"), F.col(f"{b}_sig")) >= at - margin)
 
 
 def _confirmed(k: int, percent: int):
     def run(batches):
-        known: dict[int, np.ndarray] = {}
+        known, held = {}, 0
+
+        def of(i, n, text):
+            nonlocal held
+            if (i, n) not in known:
+                if held > 2_000_000:  # hashes kept
+                    known.clear()
+                    held = 0
+                known[i, n] = shingles(text, k)
+                held += len(known[i, n])
+            return known[i, n]
+
         for batch in batches:
             keep = []
             cols = [batch.column(c).to_pylist() for c in ("a", "a_n", "a_text", "b", "b_n", "b_text")]
             for a, a_n, a_text, b, b_n, b_text in zip(*cols):
-                if len(known) > 64:
-                    known.clear()
-                if (b, b_n) not in known:
-                    known[b, b_n] = shingles(b_text, k)
-                x, y = shingles(a_text, k), known[b, b_n]
+                x, y = of(a, a_n, a_text), of(b, b_n, b_text)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(len(x) == a_n and len(y) == b_n and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
@@ -197,13 +205,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     part = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
     part = written(part)
     split = part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    rest = part.join(split, "bucket").join(classes.select("rep", "n", "sig"), "rep")
+    rest = part.join(split, "bucket").join(classes.select("rep", "n", "sig", "bands"), "rep")
     level = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(percent / 100))).cast("int")
     rest = written(rest.withColumn("level", level))
-    x = rest.select("bucket", F.explode(F.array("level", F.col("level") + 1, F.col("level") + 2)).alias("level"), *[F.col(c).alias(t) for c, t in (("rep", "a"), ("part", "a_part"), ("n", "a_n"), ("sig", "a_sig"))])
-    y = rest.select("bucket", "level", *[F.col(c).alias(t) for c, t in (("rep", "b"), ("part", "b_part"), ("n", "b_n"), ("sig", "b_sig"))])
+    x = rest.select("bucket", F.explode(F.array("level", F.col("level") + 1, F.col("level") + 2)).alias("level"), *[F.col(c).alias(t) for c, t in (("rep", "a"), ("part", "a_part"), ("n", "a_n"), ("sig", "a_sig"), ("bands", "a_bands"))])
+    y = rest.select("bucket", "level", *[F.col(c).alias(t) for c, t in (("rep", "b"), ("part", "b_part"), ("n", "b_n"), ("sig", "b_sig"), ("bands", "b_bands"))])
     order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
     on = (x["bucket"] == y["bucket"]) & (x["level"] == y["level"]) & order & (F.col("a_part") != F.col("b_part")) & _likely("a", "b", percent)
+    on = on & (F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0)) == x["bucket"])  # a pair counts in its first bucket only
     more = confirm(x.join(y, on).select("a", "a_n", "b", "b_n").distinct(), slim, k, percent)
     to = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
     between = more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
