@@ -45,7 +45,7 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII blanks only
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 400_000:
+    if len(_words) > 150_000:
         _words.clear()
     for w in {w for w in words if w not in _words}:
         _words[w] = xxhash.xxh3_64_intdigest(w)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Merges
 
-CACHE = 500_000
+CACHE = 200_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern for texts of code points up to U+024F, with the classes written out.
 SPACE, LETTER, NUMBER = r"\t-\r \x85\xa0", r"A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
