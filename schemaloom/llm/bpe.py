@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .common import pieces
+
 CACHE = 200_000
 LETTER, NUMBER, SPACE = r"A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 WORDS = re.compile(rf"[{LETTER}]+|'(?:[stmd]|re|ve|ll)|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
@@ -142,13 +144,9 @@ class Encoder(dict):
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         self.merges = Merges(spec["model"])
-        vocab, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        by_id = {i: name for name, i in {**vocab, **added}.items()}
-        every = [by_id.get(i, "").encode() + b" " for i in range(max(by_id) + 1)]
-        self.all_text = np.frombuffer(b"".join(every), np.uint8)
-        self.offsets = np.cumsum([0, *map(len, every)])
         self.classes = Classes()
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
@@ -186,6 +184,18 @@ class Encoder(dict):
         pieces = [text] if CONTROL.search(text) else text.split()
         return chain.from_iterable(map(self.__getitem__, pieces))
 
+
+class Decoder:
+    """One buffer of all tokens' strings, each with a space, and the table of their offsets."""
+
+    def __init__(self, path: str):
+        spec = json.load(open(path, encoding="utf-8"))
+        vocab, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        by_id = {i: name for name, i in {**vocab, **added}.items()}
+        every = [by_id.get(i, "").encode() + b" " for i in range(max(by_id) + 1)]
+        self.all_text = np.frombuffer(b"".join(every), np.uint8)
+        self.offsets = np.cumsum([0, *map(len, every)])
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of the tokens, joined by spaces: gathered from `all_text` by the offset table."""
         if not len(ids):
@@ -196,6 +206,7 @@ class Encoder(dict):
 
 
 _loaded: dict[str, Encoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -204,10 +215,16 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
+
+
 def _encode(path: str):
     def run(batches):
         e = encoder(path)
-        for b in batches:
+        for b in pieces(batches):
             ids, ends = array("i"), [0]
             for t in b.column("text").to_pylist():
                 ids.extend(e.encode(t or ""))
@@ -220,11 +237,11 @@ def _encode(path: str):
 
 def _decode(path: str):
     def run(batches):
-        e = encoder(path)
-        for b in batches:
+        d = decoder(path)
+        for b in pieces(batches):
             ids = b.column("ids")
             flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
-            texts = pa.array([e.decode(flat[a:z]) for a, z in zip(ends, ends[1:])], pa.binary()).cast(pa.string())
+            texts = pa.array([d.decode(flat[a:z]) for a, z in zip(ends, ends[1:])], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column("row"), ids, texts], ["row", "ids", "decoded"])
 
     return run

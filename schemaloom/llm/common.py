@@ -43,3 +43,10 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pieces(batches, rows: int = 512):
+    """Arrow batches cut to at most `rows` rows, so that a task holds few texts as Python objects at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)

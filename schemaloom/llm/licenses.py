@@ -13,6 +13,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import pieces
+
 #: Phrases (as words) and their labels.
 BASE = (
     ("gnu general public license", "gpl"),
@@ -128,7 +130,7 @@ def scan(text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, in
 
 
 def _scan(batches):
-    for b in batches:
+    for b in pieces(batches):
         rows = []
         for text in b.column("text").to_pylist():
             n, base, found = scan(text or "")

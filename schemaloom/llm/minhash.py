@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import pieces, small, written
 
 SHINGLE, PERCENT = 5, 85
 KEYS, ROWS, BANDS, BITS = 512, 5, 24, 2
@@ -79,7 +79,7 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 def _sets(k: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             n, ids, sigs, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 h = shingles(t or "", k)
@@ -134,7 +134,7 @@ def _confirmed(k: int, percent: int):
                 held += len(known[i, n])
             return known[i, n]
 
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             cols = [batch.column(c).to_pylist() for c in ("a", "a_n", "a_text", "b", "b_n", "b_text")]
             for a, a_n, a_text, b, b_n, b_text in zip(*cols):

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 CHUNK, OVERLAP, STRIDE, DIM, FILTERS, HIDDEN = 512, 32, 4, 8, 48, 16
 #: Bounds of the training sample: documents, and chunks of each (spread over the whole text).
 TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, SEED = 2500, 6, 8, 7
@@ -97,7 +99,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
 
 
 def _sampled(batches):
-    for b in batches:
+    for b in pieces(batches):
         rows = [chunks(t or "") for t in b.column("text").to_pylist()]
         rows = [c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).round().astype(int))] for c in rows]
         yield pa.RecordBatch.from_arrays(
@@ -135,7 +137,7 @@ def score_text(w: dict, text: str, rows: int = 64) -> float:
 
 def _scored(w: dict):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts, scores, held, starts, at = b.column("text").to_pylist(), [], [], [], 0
 
             def flush():
