@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the text that they decode to, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
     ship(spark)
-    return bpe_digests(bpe.decode(bpe.encode(docs, path), path))
+    return bpe_digests(bpe.round_trip(docs, path))
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("bpe", encode)]

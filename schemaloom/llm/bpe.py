@@ -261,3 +261,12 @@ def decode(encoded: DataFrame, path: str, keep=("doc_id",)) -> DataFrame:
     rows = encoded.select(F.struct(*[encoded[c] for c in keep]).alias("row"), "ids")
     schema = rows.withColumn("decoded", F.lit("")).schema
     return rows.mapInArrow(_decode(path), schema).select("row.*", "ids", "decoded")
+
+
+def round_trip(docs: DataFrame, path: str, column: str = "text", keep=("doc_id",)) -> DataFrame:
+    """decode(encode(docs)), with both in one Python worker: a task starts one worker instead of two, and
+    ids do not pass through the JVM in between."""
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.col(column).alias("text"))
+    schema = rows.select("row").withColumn("ids", F.array().cast("array<int>")).withColumn("decoded", F.lit("")).schema
+    to_ids, to_texts = _encode(path), _decode(path)
+    return rows.mapInArrow(lambda batches: to_texts(to_ids(batches)), schema).select("row.*", "ids", "decoded")

@@ -55,8 +55,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe_digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:

@@ -132,6 +132,7 @@ def test_tokenizers_agree_on_edge_texts(spark):
     df = docs(spark, [(i, t, "a") for i, t in enumerate(TEXTS)] + [(900, None, "a")])
     counts = {r.doc_id: r for r in token_counts.count_tokens(df, one).collect()}
     coded = {r.doc_id: r for r in bpe.decode(bpe.encode(df, two), two).collect()}
+    assert {r.doc_id: r for r in bpe.round_trip(df, two).collect()} == coded
     assert counts[900].n_tokens == 0 and coded[900].decoded == ""
     for i, t in enumerate(TEXTS):
         want = library(two).encode(t, add_special_tokens=False).ids
