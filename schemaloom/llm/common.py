@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches, rows: int = 512):
-    """Arrow batches cut to at most `rows` rows, so that a task holds few texts as Python objects at a time."""
+#: Rows and bytes of an Arrow batch to and from Python, where the session has Spark's defaults (10,000 rows, 64 MB).
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches, which the executor and its Python workers hold
+    outside the heap. The batch settings are the session's and stay."""
+    conf = df.sparkSession.conf
+    for name, default, value in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+    return df.mapInArrow(run, schema)
+
+
+def pieces(batches, rows: int = ARROW_ROWS):
+    """Arrow batches cut to at most `rows` rows, so that a task holds few texts as Python objects at a
+    time. At the end of a task Arrow returns the memory that it keeps for reuse: the worker lives on."""
     for b in batches:
         for start in range(0, b.num_rows, rows):
             yield b.slice(start, rows)
+    pa.default_memory_pool().release_unused()

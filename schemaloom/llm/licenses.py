@@ -13,7 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import mapped, pieces
 
 #: Phrases (as words) and their labels.
 BASE = (
@@ -161,4 +161,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
               "detections array<struct<start: long, end: long, label: string, rule: string>>")
-    return docs.select("doc_id", "text").mapInArrow(_scan, schema)
+    return mapped(docs.select("doc_id", "text"), _scan, schema)

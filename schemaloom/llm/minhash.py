@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small, written
+from .common import mapped, pieces, small, written
 
 SHINGLE, PERCENT = 5, 85
 KEYS, ROWS, BANDS, BITS = 512, 5, 24, 2
@@ -154,7 +154,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     both = pairs.join(tb, "b").join(ta, "a").select("a", "a_n", "a_text", "b", "b_n", "b_text")
-    return written(both.mapInArrow(_confirmed(k, percent), "a long, b long").distinct())
+    return written(mapped(both, _confirmed(k, percent), "a long, b long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     the same text are one document; with different texts each row's set links on its own. Links hold
     at 100 * intersection >= percent * union. No rows give no rows."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = written(slim.mapInArrow(_sets(k), "doc_id long, n_shingles long, set_id binary, sig array<long>, bands array<long>"))
+    sets = written(mapped(slim, _sets(k), "doc_id long, n_shingles long, set_id binary, sig array<long>, bands array<long>"))
     classes = written(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_id")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import mapped, pieces
 
 CHUNK, OVERLAP, STRIDE, DIM, FILTERS, HIDDEN = 512, 32, 4, 8, 48, 16
 #: Bounds of the training sample: documents, and chunks of each (spread over the whole text).
@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> dict[st
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).select("text", "quality").mapInArrow(_sampled, "quality int, chunks binary").toPandas()
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).select("text", "quality")
+    found = mapped(rows, _sampled, "quality int, chunks binary").toPandas()
     if found.empty:
         return new_weights()
     found = found.sort_values(["chunks", "quality"])  # an order of its own, however the rows came
@@ -135,10 +136,11 @@ def score_text(w: dict, text: str, rows: int = 64) -> float:
     return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def _scored(w: dict):
+def _scored(w: dict, keep):
     def run(batches):
         for b in pieces(batches):
-            texts, scores, held, starts, at = b.column("text").to_pylist(), [], [], [], 0
+            column = b.column("row").field("text") if "text" in keep else b.column("text")
+            texts, scores, held, starts, at = column.to_pylist(), [], [], [], 0
 
             def flush():
                 scores.extend(forward(w, np.concatenate(held), np.array(starts))[0].tolist())
@@ -165,7 +167,8 @@ def _scored(w: dict):
 def score(docs: DataFrame, weights: dict, keep=("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """Columns `keep` of `docs`, score and predicted for every row, by text alone; null text counts as
     empty, repeated rows repeat, no rows give no rows."""
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.col("text").alias("text"))
+    text = [] if "text" in keep else [F.col("text").alias("text")]  # sent once
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), *text)
     schema = rows.select("row").withColumn("score", F.lit(0.0)).schema
-    out = rows.mapInArrow(_scored(weights), schema)
+    out = mapped(rows, _scored(weights, tuple(keep)), schema)
     return out.select("row.*", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

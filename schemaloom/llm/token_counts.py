@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merges
-from .common import pieces
+from .common import mapped, pieces
 
 CACHE = 200_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -108,5 +108,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    out = rows.mapInArrow(_count(path), f"doc_id {id_type}, n_bytes long, n_tokens long")
+    out = mapped(rows, _count(path), f"doc_id {id_type}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
