@@ -120,13 +120,16 @@ def scan(text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, in
                 for m in p.finditer(flat):
                     start = flat.count(b" ", 0, m.start())
                     found.append((start, start + m[0].count(b" "), priority, label, name))
-    found.sort(key=lambda d: (d[0], -d[1], -d[2], d[4]))
-    kept: list = []
+    order = lambda d: (d[0], -d[1], -d[2], d[4])
+    found.sort(key=order)
+    kept, near = [], []
     for d in found:
-        # Intervals come by start, longer first: only those that reach as far can contain this one.
-        if not any(k[1] >= d[1] and k[2] >= d[2] for k in kept[-64:]):
-            kept = [k for k in kept if not (k[0] >= d[0] and k[1] <= d[1] and k[2] < d[2])] + [d]
-    return len(words), base, kept
+        # Intervals come by start, longer first: one that ends before this one starts meets no later one.
+        kept += [k for k in near if k[1] <= d[0]]
+        near = [k for k in near if k[1] > d[0]]
+        if not any(k[1] >= d[1] and k[2] >= d[2] for k in near):
+            near = [k for k in near if not (k[0] >= d[0] and k[1] <= d[1] and k[2] < d[2])] + [d]
+    return len(words), base, sorted(kept + near, key=order)
 
 
 def _scan(batches):
