@@ -228,3 +228,33 @@ def test_pipeline_runs_stage_by_stage(spark):
         out = stage(spark, out, SF)
         assert out.columns == columns, name
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_license_containment_reaches_over_many_detections(monkeypatch):
+    pattern = lambda words: licenses.re.compile(words + b"(?= )")
+    rules = [(b"w", [("gpl", 4, "outer", pattern(b" wstart .* wend"))])]
+    rules += [(b"w", [("mit", 9 if i < 99 else 0, f"inner{i}", pattern(b" w%da" % i))]) for i in range(100)]
+    monkeypatch.setitem(licenses._state, "rules", rules)
+    monkeypatch.setitem(licenses._state, "base", [])
+    kept = licenses.scan("wstart " + " ".join(f"w{i}a" for i in range(100)) + " wend")[2]
+    assert [d[4] for d in kept] == ["outer", *(f"inner{i}" for i in range(99))]
+
+
+def test_small_batches_only_where_the_session_has_the_defaults(spark):
+    from schemaloom.llm.common import ARROW_ROWS, mapped
+
+    def sizes_of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["id"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, want in ((10000, ARROW_ROWS), (77, 77)):
+            spark.conf.set(key, own)
+            sizes = [r.id for r in mapped(spark.range(0, 2000, 1, 1), sizes_of, "id long").collect()]
+            assert max(sizes) == want and sum(sizes) == 2000
+    finally:
+        spark.conf.set(key, before)
