@@ -30,9 +30,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (runs of five words, similarity 0.80 or more) the document with the smallest doc_id stays."""
     ship(spark)
-    return minhash.dedup(docs)
+    return minhash.dedup(docs, percent=80, n_bands=40)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@
 
 So every pair that shares a bucket is either confirmed, ruled out, or joined by other links. For a
 link at the similarity 0.85 the chance to share no bucket is 8e-7, and to be ruled out by the
-estimate's margin of five deviations 3e-7. A pair is compared in the first bucket that it shares.
+estimate's margin of five deviations 3e-7; at 0.80 and with 40 bands the first is 1e-7. A pair is compared in the first bucket that it shares.
 """
 
 from __future__ import annotations
@@ -70,14 +70,14 @@ def signature(low: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits(((low >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)).view(np.int64) for b in range(BITS)])
 
 
-def bands(low: np.ndarray) -> np.ndarray:
-    keys = np.arange(BANDS, dtype=np.uint64)
+def bands(low: np.ndarray, n: int = BANDS) -> np.ndarray:
+    keys = np.arange(n, dtype=np.uint64)
     for r in range(ROWS):
-        keys = _mixed(keys * _M + low[: BANDS * ROWS].reshape(BANDS, ROWS)[:, r])
+        keys = _mixed(keys * _M + low[: n * ROWS].reshape(n, ROWS)[:, r])
     return keys.view(np.int64)
 
 
-def _sets(k: int):
+def _sets(k: int, n_bands: int):
     def run(batches):
         for b in pieces(batches):
             n, ids, sigs, keys = [], [], [], []
@@ -87,7 +87,7 @@ def _sets(k: int):
                 ids.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 low = minima(h)
                 sigs.append(signature(low) if len(h) else np.empty(0, np.int64))
-                keys.append(bands(low) if len(h) else np.empty(0, np.int64))
+                keys.append(bands(low, n_bands) if len(h) else np.empty(0, np.int64))
             lists = [
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64()))
                 for x in (sigs, keys)
@@ -181,7 +181,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n_bands: int = BANDS) -> DataFrame:
     """One row per row of `docs` (columns doc_id, text; others are ignored): doc_id, n_shingles,
     component_id, kept.
 
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     the same text are one document; with different texts each row's set links on its own. Links hold
     at 100 * intersection >= percent * union. No rows give no rows."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = written(mapped(slim, _sets(k), "doc_id long, n_shingles long, set_id binary, sig array<long>, bands array<long>"))
+    sets = written(mapped(slim, _sets(k, n_bands), "doc_id long, n_shingles long, set_id binary, sig array<long>, bands array<long>"))
     classes = written(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_id")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))

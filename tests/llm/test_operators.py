@@ -258,3 +258,15 @@ def test_small_batches_only_where_the_session_has_the_defaults(spark):
             assert max(sizes) == want and sum(sizes) == 2000
     finally:
         spark.conf.set(key, before)
+
+
+def test_pipeline_drops_near_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    rows = []
+    for i in range(16):
+        words = [f"w{i}x{j}" for j in range(204)]  # 200 shingles
+        other = 20 if i % 2 else 24  # similarity 180 / 220 = 0.82, or 176 / 224 = 0.79
+        rows += [(10 * i, " ".join(words), "a"), (10 * i + 1, " ".join(words[:-other] + [f"o{i}x{j}" for j in range(other)]), "a")]
+    got = corpus_pipeline.near(spark, docs(spark, rows), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, _, _ in rows if d % 10 == 0 or d // 10 % 2 == 0)
