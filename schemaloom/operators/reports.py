@@ -141,11 +141,13 @@ def catalog_totals(catalog: Catalog) -> DataFrame:
 
 
 def file_reports(entries: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row a file: counters summed over its entries, the last entry's encoding."""
-    both = stats.join(entries.select("project", "file", "entry_idx", "encoding", "text_bytes"), ["project", "file", "entry_idx"])
+    """One row a file: counters summed over its entries, the last entry's encoding. Rows with a `start` are parts of
+    the entry before them."""
+    start = F.col("start") if "start" in entries.columns else F.lit(None)
+    both = stats.join(entries.select("project", "file", "entry_idx", "encoding", "text_bytes", start.alias("start")), ["project", "file", "entry_idx"])
     return both.groupBy("project", "file").agg(
         F.sum("created").alias("tables"), F.sum("kept").alias("kept"), F.sum("statements").alias("statements"), F.sum("inserts").alias("inserts"),
-        F.sum("copy_blocks").alias("copy_blocks"), F.sum("chars").alias("chars"), F.sum("text_bytes").alias("text_bytes"), F.count(F.lit(1)).alias("entries"),
+        F.sum("copy_blocks").alias("copy_blocks"), F.sum("chars").alias("chars"), F.sum("text_bytes").alias("text_bytes"), F.count_if(F.col("start").isNull()).alias("entries"),
         F.max_by("encoding", "entry_idx").alias("encoding"), (F.sum("inserts") + F.sum("copy_blocks")).alias("data_skipped"))
 
 

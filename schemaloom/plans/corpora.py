@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def tree(documents: DataFrame) -> DataFrame:
     """One CREATE TABLE a document: table k = doc_id mod 250 of project doc_id div 250 references the tables
@@ -27,17 +29,40 @@ def tree(documents: DataFrame) -> DataFrame:
         (F.col("k") * 2 + F.col("s.n")).cast("int").alias("stmt_idx"), F.lit("create_table").alias("kind"), F.col("s.sql").alias("sql"))
 
 
+#: Bytes of INSERTs that one row of dumps() holds, about.
+PART_BYTES = 1 << 20
+
+
 def dumps(documents: DataFrame) -> DataFrame:
-    """One dump file a source: a table, an INSERT a document that quotes its text and a fake CREATE, a COPY block."""
+    """One dump file a source: a table, an INSERT a document that quotes its text and a fake CREATE, a COPY block.
+
+    Files of more than PART_BYTES come as parts, dealt by doc_id, which are one entry together: each starts between
+    two INSERTs or two COPY lines, and `start` says what the parts before it leave open (see Script)."""
     literal = F.concat(F.lit("INSERT INTO docs VALUES ("), F.col("doc_id").cast("string"), F.lit(", '"), F.regexp_replace(F.coalesce("text", F.lit("")), "'", "''"),
                        F.lit("; CREATE TABLE fake (x int); -- /* $a$');\n"))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", literal.alias("line")))), lambda s: s["line"]), "")
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "\t;'\n")
+    docs = documents.select(F.coalesce("source", F.lit("none")).alias("file"), "doc_id", "text")
     head = F.lit("SET standard_conforming_strings = on;\n-- a dump; CREATE TABLE fake (x int);\nCREATE TABLE docs (id bigint PRIMARY KEY, /* ; */ body text);\n")
-    body = F.concat(head, rows, F.lit("COPY docs (id) FROM stdin;\n"), ids, F.lit("\n\\.\nALTER TABLE docs ADD COLUMN n int;"))
-    files = documents.groupBy(F.coalesce("source", F.lit("none")).alias("file")).agg(body.alias("text"))
-    return files.select(F.lit("dump").alias("project"), "file", F.lit(0).alias("file_idx"), F.lit(0).alias("entry_idx"), "text", F.lit("utf-8").alias("encoding"),
-                        F.octet_length("text").cast("long").alias("text_bytes"))
+    copy, tail = F.lit("COPY docs (id) FROM stdin;\n"), F.lit("\n\\.\nALTER TABLE docs ADD COLUMN n int;")
+
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 80)
+    n_parts = F.ceil(size / PART_BYTES).cast("int")
+    sizes = written(docs.groupBy("file").agg(n_parts.alias("n_parts"), F.min("doc_id").alias("first_id")))
+    few = sizes.count() <= 200_000  # a row a source; beyond that the join is a shuffle join
+    docs = docs.join(F.broadcast(sizes) if few else sizes, "file").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("n_parts")).cast("int"))
+    ordered = lambda c: F.array_sort(F.collect_list(c))
+    lines = F.array_join(F.transform(ordered(F.struct("doc_id", literal.alias("line"))), lambda s: s["line"]), "")
+    parts = docs.groupBy("file", "n_parts", "part").agg(
+        lines.alias("lines"), F.array_join(ordered(F.col("doc_id").cast("string")), "\t;'\n").alias("ids"), F.min("doc_id").alias("least"), F.first("first_id").alias("first_id"))
+    one = lambda idx, start, text: F.struct(idx.cast("int").alias("entry_idx"), F.lit(start).cast("string").alias("start"), text.alias("text"))
+    n, k = F.col("n_parts"), F.col("part")
+    # The ids of all parts but the first id's begin with the end of the line before them.
+    ids = F.when(F.col("least") == F.col("first_id"), F.col("ids")).when(F.col("least").isNotNull(), F.concat(F.lit("\t;'\n"), F.col("ids"))).otherwise("")
+    whole = F.array(one(F.lit(0), None, F.concat(head, F.col("lines"), copy, F.col("ids"), tail)))
+    cut = F.array(one(k + 1, "literal", F.col("lines")), one(n + 2 + k, "copy", ids))
+    rows = parts.select("file", F.explode(F.when(n == 1, whole).otherwise(cut)).alias("e"))
+    ends = sizes.where("n_parts > 1").select("file", F.explode(F.array(one(F.lit(0), None, head), one(n + 1, "literal", copy), one(2 * n + 2, "copy", tail))).alias("e"))
+    return rows.unionByName(ends).select(F.lit("dump").alias("project"), "file", F.lit(0).alias("file_idx"), "e.entry_idx", "e.text", F.lit("utf-8").alias("encoding"),
+                                         F.octet_length("e.text").cast("long").alias("text_bytes"), "e.start")
 
 
 def migrations(events: DataFrame) -> DataFrame:

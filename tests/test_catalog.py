@@ -174,3 +174,22 @@ def test_classify(spark):
     df = read_statements(spark.createDataFrame([("create  table x (a int)", "s"), ("select 1", "s"), ("ALTER TABLE x ADD y int", "s")], "sql string, source string"))
     assert rows(df, "kind") == [("alter_table",), ("create_table",)]
     assert spark.range(1).select(classify_statement(F.lit("REPLACE INTO x"))).first()[0] == "data"
+
+
+@pytest.mark.parametrize("name", ["dump_file_reports", "dump_retained_ddl"])
+def test_dumps_come_in_bounded_parts(spark, tmp_path, monkeypatch, name):
+    import duckdb
+
+    from schemaloom.plans import corpora, oracles, queries
+
+    monkeypatch.setattr(corpora, "PART_BYTES", 5000)
+    texts = ["it's a \\", "'", "x\n\\.\n", None, "é " * 30, "\\' -- /*", "$a$ ; CREATE TABLE no (x int);"]
+    made = [(i, texts[i % 7], "hot" if i % 3 else f"s{i % 5}" if i % 2 else None) for i in range(900)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    entries = corpora.dumps(docs).cache()
+    assert entries.agg(F.max("text_bytes")).first()[0] < 12_000 and entries.where("file = 'hot'").count() > 10
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert rows(got, *got.columns) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.ORACLES[name]})").fetchall(), key=repr)
