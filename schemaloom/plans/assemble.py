@@ -51,7 +51,7 @@ def resolve_table(refs: DataFrame, keys: DataFrame, bare: DataFrame, parts: str,
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One table's column events in order; runs only on tables that are altered after their creation."""
+    """One table's column events in order; runs only on tables with a renamed or a twice declared column."""
     pdf = pdf.sort_values(["phase", "file_idx", "entry_idx", "stmt_idx", "item_idx"])
     fields = ["name", "type", "nullable", "primary_key", "unique", "auto_increment", "default_value", "comment"]
     cols: list[dict] = []
@@ -69,16 +69,45 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(project=pdf["project"].iloc[0], key=pdf["key"].iloc[0], pos=range(len(cols)))[[c.split()[0] for c in COLUMN.split(", ")]]
 
 
+def _folded(mine: DataFrame) -> DataFrame:
+    """One row per (project, key, low = lower-case name): the column after all its events (null `born` where nothing
+    adds it), and whether the table needs _fold, as a CHANGE renames it or it is declared twice. Only aggregates, so
+    that a table with any number of events costs each task one row a column."""
+    at, event = F.struct(*STATEMENT, "item_idx"), F.col("event")
+    born, modified, changed = event.isin("column", "add"), event == "modify", event.isin("set", "comment_column")
+    said = lambda c: F.col(c).isNotNull()
+    last = lambda c, when: F.max(F.when(when, F.struct(at.alias("at"), F.col(c).alias("v"))))
+    fields = ("name", "type", "nullable", "primary_key", "unique", "auto_increment", "default_value", "comment")
+    renames = modified & (F.lower("old") != F.lower("name"))
+    found = mine.groupBy("project", "key", "low").agg(
+        F.min(F.when(born, F.struct(at.alias("at"), *[F.col(f) for f in fields]))).alias("born"),
+        last("name", modified).alias("_name"), last("type", modified & (F.col("type") != "") | changed & said("type")).alias("_type"),
+        last("nullable", modified | changed & said("nullable")).alias("_nullable"), last("auto_increment", changed & said("auto_increment")).alias("_auto"),
+        *[last(c, (modified | changed) & said(c)).alias(f"_{c}") for c in ("default_value", "comment")],
+        *[last(c, modified & F.col(c)).alias(f"_{c}") for c in ("primary_key", "unique", "auto_increment")],
+        (F.coalesce(F.bool_or(renames), F.lit(False)) | (F.count_if(event == "column") > 1)).alias("hard"))
+    later = lambda c: F.coalesce(F.col(f"{c}.at") > F.col("born.at"), F.lit(False))
+    value = lambda c: F.when(later(f"_{c}"), F.col(f"_{c}.v")).otherwise(F.col(f"born.{c}")).alias(c)
+    flag = lambda c: (F.col(f"born.{c}") | later(f"_{c}")).alias(c)
+    since = F.when(later("_auto"), F.col("_auto.at")).otherwise(F.col("born.at"))
+    auto = F.when(later("_auto"), F.col("_auto.v")).otherwise(F.col("born.auto_increment")) | F.coalesce(F.col("_auto_increment.at") > since, F.lit(False))
+    return found.select("project", "key", "hard", F.col("born.at").alias("born"), value("name"), value("type"), value("nullable"), flag("primary_key"), flag("unique"),
+                        auto.alias("auto_increment"), value("default_value"), value("comment"))
+
+
 def fold_columns(events: DataFrame) -> DataFrame:
     """Columns of each table after all its ALTERs and column comments, in order (pos)."""
-    later = events.where(F.col("event").isin("add", "modify", "set", "comment_column"))
-    touched = later.select("project", "key").distinct()
     mine = events.where(F.col("event").isin("column", "add", "modify", "set", "comment_column"))
-    order = Window.partitionBy("project", "key").orderBy(*STATEMENT, "item_idx")
-    plain = mine.join(touched, ["project", "key"], "left_anti").withColumn("pos", F.row_number().over(order) - 1)
+    mine = mine.withColumn("low", F.lower(F.coalesce("old", "name", F.lit(""))))
+    folded = written(_folded(mine))
+    hard = written(folded.where("hard").select("project", "key").distinct())
+    order = Window.partitionBy("project", "key").orderBy("born")
+    easy = folded.where("born is not null").join(hard, ["project", "key"], "left_anti").withColumn("pos", F.row_number().over(order) - 1)
     names = [c.split()[0] for c in COLUMN.split(", ")]
-    folded = mine.join(touched, ["project", "key"], "left_semi").drop("parts", "columns", "ref_parts", "ref_columns", "ord").groupBy("project", "key").applyInPandas(_fold, COLUMN)
-    return plain.select(*names).unionByName(folded.select(*names))
+    if not hard.count():
+        return easy.select(*names)
+    one_by_one = mine.join(hard, ["project", "key"], "left_semi").drop("parts", "columns", "ref_parts", "ref_columns", "ord", "low").groupBy("project", "key").applyInPandas(_fold, COLUMN)
+    return easy.select(*names).unionByName(one_by_one.select(*names))
 
 
 def build(statements: DataFrame) -> Catalog:

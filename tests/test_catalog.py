@@ -176,6 +176,33 @@ def test_classify(spark):
     assert spark.range(1).select(classify_statement(F.lit("REPLACE INTO x"))).first()[0] == "data"
 
 
+def test_columns_fold_as_events_in_order(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    name = lambda: r.choice(["a", "A", "b", "c", "D"])
+    alter = lambda t: r.choice([
+        f"ALTER TABLE {t} ADD COLUMN {name()} int{r.choice(['', ' UNIQUE', ' DEFAULT 4'])}", f"ALTER TABLE {t} MODIFY {name()} bigint{r.choice(['', ' NOT NULL', ' AUTO_INCREMENT', ' PRIMARY KEY'])}",
+        f"ALTER TABLE {t} ALTER COLUMN {name()} {r.choice(['SET NOT NULL', 'DROP NOT NULL', 'TYPE text', 'SET DEFAULT 7', 'ADD GENERATED ALWAYS AS IDENTITY'])}",
+        f"COMMENT ON COLUMN {t}.{name()} IS 'n{r.randint(0, 9)}'"])
+    texts = [";\n".join([f"CREATE TABLE t{i} (id int, b text COMMENT 'x')", *[alter(f"t{i}") for _ in range(r.randint(0, 12))]]) + ";" for i in range(60)]
+    events = ddl.extract_ddl(split_statements(entries(spark, *texts))).withColumn("key", assemble.table_key(F.col("parts"))).withColumn("ord", F.struct(*assemble.STATEMENT)).cache()
+    mine = events.where(F.col("event").isin("column", "add", "modify", "set", "comment_column")).toPandas()
+    mine = mine.astype(object).where(mine.notna(), None)
+    want = [tuple(x) for _, g in mine.groupby("key") for x in assemble._fold(g).astype(object).itertuples(index=False)]
+
+    def refused(pdf):
+        raise AssertionError("one group in memory")
+
+    with monkeypatch.context() as m:
+        m.setattr(assemble, "_fold", refused)
+        got = rows(assemble.fold_columns(events), *[c.split()[0] for c in assemble.COLUMN.split(", ")])
+    clean = lambda x: tuple(None if v is None or v != v else v for v in x)
+    assert got == sorted(map(clean, want), key=repr) and len(got) > 150
+    changed = build(spark, "CREATE TABLE t (a int, b int); ALTER TABLE t CHANGE a z text; ALTER TABLE t MODIFY z bigint; CREATE TABLE d (x int, X text);")
+    assert rows(changed.columns, "key", "name", "type", "pos") == sorted([("t", "z", "bigint", 0), ("t", "b", "int", 1), ("d", "x", "int", 0), ("d", "X", "text", 1)], key=repr)
+
+
 @pytest.mark.parametrize("name", ["dump_file_reports", "dump_retained_ddl"])
 def test_dumps_come_in_bounded_parts(spark, tmp_path, monkeypatch, name):
     import duckdb
