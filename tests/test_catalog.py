@@ -1,8 +1,11 @@
+import bz2
 import gzip
 import io
+import lzma
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +223,21 @@ def test_dumps_come_in_bounded_parts(spark, tmp_path, monkeypatch, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = queries.QUERIES[name](spark, str(tmp_path))
     assert rows(got, *got.columns) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.ORACLES[name]})").fetchall(), key=repr)
+
+
+def test_entries_cut_at_the_limit_say_so(spark, monkeypatch):
+    monkeypatch.setattr(files, "MAX_ENTRY", 30)
+    sql, more = b"CREATE TABLE a (number integer)", b";CREATE TABLE b (x int);"
+    t = io.BytesIO()
+    with tarfile.open(fileobj=t, mode="w") as f:
+        for name, raw in (("no.md", b"no"), ("x.sql", sql + more), ("y.sql", sql[:30])):
+            info = tarfile.TarInfo(name)
+            info.size = len(raw)
+            f.addfile(info, io.BytesIO(raw))
+    packers = [gzip.compress, bz2.compress, lzma.compress, lambda x: pa.compress(x, codec="zstd", asbytes=True)]
+    made = [(f"{i}{j}.sql", pack(raw)) for i, pack in enumerate(packers) for j, raw in enumerate((sql[:30], sql + more))] + [("t.tar", t.getvalue())]
+    out = [("p", name, k, i, *e) for k, (name, raw) in enumerate(made) for i, e in enumerate(files.entries_of(name, raw))]
+    got = [(name, note) for _, _, _, _, name, _, _, _, note in out if note and note.startswith("stopped")]
+    assert got == [(f"{i}1.sql", files.TOO_LONG) for i in range(4)] + [("t.tar/x.sql", files.TOO_LONG)]
+    found = files.readable_entries(spark.createDataFrame([(*o[:5], list(o[5]), *o[6:]) for o in out], files.ENTRY))
+    assert rows(files.skipped_files(found), "file", "skipped", "reason") == [(n, False, files.TOO_LONG) for n in ("01.sql", "11.sql", "21.sql", "31.sql", "t.tar")]
