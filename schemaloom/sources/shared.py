@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a local session (one machine) has a temporary folder; on a cluster
+    there is no safe place for intermediate tables, and the job stops."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/schemaloom-shared").rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in spark.checkpoint.dir (a temporary folder only where that is unset), read again."""
+    """`df` written as a table in the shared folder and read again: lineage ends here, and a lost executor costs a
+    read, not the work above. The owner of the folder clears it."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/schemaloom-shared"
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
