@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import mapped, pieces
+from .common import named, pieces
 
 CACHE = 200_000
 LETTER, NUMBER, SPACE = r"A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
@@ -250,23 +250,23 @@ def _decode(path: str):
 def encode(docs: DataFrame, path: str, column: str = "text", keep=("doc_id",)) -> DataFrame:
     """Columns `keep` of `docs` and ids, the token ids of `column`. Null and empty texts have no ids;
     a text of any length is one row in memory; repeated rows repeat; no rows give no rows."""
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.col(column).alias("text"))
+    rows = docs.select(F.struct(*[named(c) for c in keep]).alias("row"), F.col(column).alias("text"))
     schema = rows.select("row").withColumn("ids", F.array().cast("array<int>")).schema
-    return mapped(rows, _encode(path), schema).select("row.*", "ids")
+    return rows.mapInArrow(_encode(path), schema).select("row.*", "ids")
 
 
 def decode(encoded: DataFrame, path: str, keep=("doc_id",)) -> DataFrame:
     """Columns `keep` of `encoded`, ids, and decoded: the tokens' strings, joined as the tokenizer's
     file says (no decoder: by spaces). Null ids decode to the empty string."""
-    rows = encoded.select(F.struct(*[encoded[c] for c in keep]).alias("row"), "ids")
+    rows = encoded.select(F.struct(*[named(c) for c in keep]).alias("row"), "ids")
     schema = rows.withColumn("decoded", F.lit("")).schema
-    return mapped(rows, _decode(path), schema).select("row.*", "ids", "decoded")
+    return rows.mapInArrow(_decode(path), schema).select("row.*", "ids", "decoded")
 
 
 def round_trip(docs: DataFrame, path: str, column: str = "text", keep=("doc_id",)) -> DataFrame:
     """decode(encode(docs)), with both in one Python worker: a task starts one worker instead of two, and
     ids do not pass through the JVM in between."""
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.col(column).alias("text"))
+    rows = docs.select(F.struct(*[named(c) for c in keep]).alias("row"), F.col(column).alias("text"))
     schema = rows.select("row").withColumn("ids", F.array().cast("array<int>")).withColumn("decoded", F.lit("")).schema
     to_ids, to_texts = _encode(path), _decode(path)
-    return mapped(rows, lambda batches: to_texts(to_ids(batches)), schema).select("row.*", "ids", "decoded")
+    return rows.mapInArrow(lambda batches: to_texts(to_ids(batches)), schema).select("row.*", "ids", "decoded")

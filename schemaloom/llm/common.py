@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
+
+from ..sources.shared import written
 
-#: Largest number of rows of a slim table (a few dozen bytes a row) that is sent to every executor.
-#: Callers count the table first; beyond it the join is a shuffle join with the same result.
-BROADCAST_ROWS = 200_000
+#: Largest size of a table that is sent to every executor; measured first, and beyond it the join is a
+#: shuffle join with the same result.
+BROADCAST_BYTES = 32 << 20
+#: Rows of one key that meet in one task of hot_join().
+HOT_ROWS = 100_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/schemaloom-shared"
-    return found.rstrip("/")
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (a written table) with a broadcast hint if its rows, as measured, take at most `limit` bytes."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c = named(f.name)
+        own = F.octet_length(c) if isinstance(f.dataType, (StringType, BinaryType)) else F.size(c) * 8 if isinstance(f.dataType, ArrayType) else F.lit(0)
+        size = size + F.coalesce(own, F.lit(0)) + 16
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame | None = None, per: int = HOT_ROWS) -> DataFrame:
+    """The inner join of two written tables on the columns `on`, where `right` has a row or few a key. A key with
+    more than `per` rows on the left is cut into pieces by a hash of `by`, and its rows on the right are
+    repeated for each, so that no key meets in one task. `counts` (`on`, n) saves counting the left side."""
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = small(written(counts.where(F.col("n") > per).select(*on, F.ceil(F.col("n") / per).cast("int").alias("_cuts"))))
+    cuts = F.coalesce("_cuts", F.lit(1))
+    left = left.join(hot, on, "left").withColumn("_cut", F.pmod(F.xxhash64(by), cuts).cast("int")).drop("_cuts")
+    right = right.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")
+    return left.join(right, [*on, "_cut"]).drop("_cut")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written as a table in the shared folder and read again: lineage ends here, and a lost
-    executor costs a read, not the work above. The owner of the folder clears it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def named(c: str) -> Column:
+    """A column by its very name, dots and all."""
+    return F.col("`" + c.replace("`", "``") + "`")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (a written table) with a broadcast hint if a count shows that it is small enough."""
-    return F.broadcast(df) if df.count() <= rows else df
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of `docs` as one struct, so that their names cannot clash with an operator's own."""
+    return F.struct(*[named(c) for c in docs.columns])
 
 
 def ascii_lower(c: Column) -> Column:
@@ -50,14 +62,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with small batches, which the executor and its Python workers hold
-    outside the heap. The batch settings are the session's and stay."""
-    conf = df.sparkSession.conf
-    for name, default, value in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
-        if conf.get(f"spark.sql.execution.arrow.{name}") == default:
-            conf.set(f"spark.sql.execution.arrow.{name}", str(value))
-    return df.mapInArrow(run, schema)
+class small_batches:
+    """Jobs that run within have small Arrow batches, which the executor and its Python workers hold outside
+    the heap. The session's settings come back after it."""
+
+    SETTINGS = (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES))
+
+    def __init__(self, spark: SparkSession):
+        self.conf, self.before = spark.conf, {}
+
+    def __enter__(self):
+        for name, default, value in self.SETTINGS:
+            key = f"spark.sql.execution.arrow.{name}"
+            if self.conf.get(key) == default:
+                self.before[key] = default
+                self.conf.set(key, str(value))
+
+    def __exit__(self, *_):
+        for key, value in self.before.items():
+            self.conf.set(key, value)
+
+
+def mapped_table(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) as a written table, made with small batches."""
+    with small_batches(df.sparkSession):
+        return written(df.mapInArrow(run, schema))
 
 
 def pieces(batches, rows: int = ARROW_ROWS):
@@ -67,3 +96,7 @@ def pieces(batches, rows: int = ARROW_ROWS):
         for start in range(0, b.num_rows, rows):
             yield b.slice(start, rows)
     pa.default_memory_pool().release_unused()
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    return df.mapInArrow(run, schema)

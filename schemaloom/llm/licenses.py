@@ -1,19 +1,21 @@
 """License scans by ordered signature rules.
 
-Rules are regexes over a text's words (lower-case, one space between), built from the families and
-forms below. A rule runs only on texts that hold its keyword. Detections are intervals of words with
-a priority; one that lies inside another of at least its priority is suppressed. The base phrases
-are counted at every place and their labels always stay.
+Rules are the regexes of signatures.py over a text's words (lower-case, one space between). A rule runs
+only on texts that hold its keyword. Detections are intervals of words with a priority; one that lies
+inside another of at least its priority is suppressed (of equal intervals and priorities the earlier
+rule's stays). The base phrases are counted at every place and their labels always stay.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped, pieces
+from .common import pieces
+from .signatures import IDENTIFIERS, SIGNATURES
 
 #: Phrases (as words) and their labels.
 BASE = (
@@ -22,114 +24,80 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: label, keyword, name (a regex over words), versions.
-FAMILIES = (
-    ("gpl", "gpl", "(?:gnu )?gpl", ("1", "2", "3")),
-    ("gpl", "gnu", "gnu general public (?:license|licence)", ("1", "2", "3")),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", ("2", "2 1", "3")),
-    ("lgpl", "lesser", "gnu lesser general public (?:license|licence)", ("2 1", "3")),
-    ("lgpl", "library", "gnu library general public (?:license|licence)", ("2",)),
-    ("agpl", "agpl", "(?:gnu )?agpl", ("1", "3")),
-    ("agpl", "affero", "(?:gnu )?affero general public (?:license|licence)", ("1", "3")),
-    ("gfdl", "documentation", "gnu free documentation (?:license|licence)", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", "apache (?:software )?(?:license|licence)", ("1", "1 1", "2", "2 0")),
-    ("mit", "mit", "mit (?:license|licence)", ()),
-    ("mit", "expat", "expat (?:license|licence)", ()),
-    ("bsd", "bsd", "(?:2 clause |3 clause |4 clause |new |simplified |modified )?bsd (?:2 clause |3 clause |4 clause )?(?:license|licence)", ()),
-    ("isc", "isc", "isc (?:license|licence)", ()),
-    ("mpl", "mozilla", "mozilla public (?:license|licence)", ("1 0", "1 1", "2 0")),
-    ("mpl", "mpl", "mpl", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", "eclipse public (?:license|licence)", ("1 0", "2 0")),
-    ("eupl", "european", "european union public (?:license|licence)", ("1 1", "1 2")),
-    ("cddl", "cddl", "cddl", ("1 0", "1 1")),
-    ("cddl", "distribution", "common development and distribution (?:license|licence)", ("1 0", "1 1")),
-    ("artistic", "artistic", "artistic (?:license|licence)", ("1 0", "2 0")),
-    ("zlib", "zlib", "zlib (?:libpng )?(?:license|licence)", ()),
-    ("boost", "boost", "boost software (?:license|licence)", ("1 0",)),
-    ("unlicense", "unlicense", "unlicense", ()),
-    ("wtfpl", "wtfpl", "wtfpl", ("2",)),
-    ("ofl", "sil", "sil open font (?:license|licence)", ("1 0", "1 1")),
-    ("odbl", "odbl", "odbl", ("1 0",)),
-    ("odbl", "database", "open (?:data commons open )?database (?:license|licence)", ("1 0",)),
-    ("cc0", "cc0", "cc0", ("1 0",)),
-    ("cc-by-nc-nd", "cc", "cc by nc nd", ("2 0", "3 0", "4 0")),
-    ("cc-by-nc-sa", "cc", "cc by nc sa", ("2 0", "3 0", "4 0")),
-    ("cc-by-nc", "cc", "cc by nc", ("2 0", "3 0", "4 0")),
-    ("cc-by-nd", "cc", "cc by nd", ("2 0", "3 0", "4 0")),
-    ("cc-by-sa", "cc", "cc by sa", ("2 0", "3 0", "4 0")),
-    ("cc-by", "cc", "cc by", ("2 0", "3 0", "4 0")),
-    ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike", ("3 0", "4 0")),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial", ("3 0", "4 0")),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike", ("3 0", "4 0")),
-    ("cc-by", "creative", "creative commons attribution", ("3 0", "4 0")),
-    ("public-domain", "domain", "public domain", ()),
-    ("proprietary", "reserved", "all rights reserved", ()),
-    ("proprietary", "proprietary", "proprietary (?:license|licence|software)", ()),
-    ("proprietary", "confidential", "confidential and proprietary", ()),
-)
-#: name of the form, regex around the name (%s), priority.
-FORMS = (
-    ("spdx", r"spdx (?:license|licence) identifier %s(?: only| or later)?", 4),
-    ("grant", r"(?:this (?:work|file|software|program|text|document) is )?(?:licensed|licenced|released|distributed|published|available) under (?:the )?(?:terms of )?(?:the )?%s", 3),
-    ("see", r"(?:see|subject to|governed by|terms of) (?:the )?%s", 2),
-    ("name", r"%s", 1),
-)
-GRANTS = {4: 0.9, 3: 0.8, 2: 0.5, 1: 0.3}
+#: How sure a detection of each priority is.
+GRANTS = {6: 0.95, 5: 0.9, 4: 0.8, 3: 0.6, 2: 0.4, 1: 0.2}
 
 #: Lower-cases A-Z, keeps digits, a-z and every byte of other characters, and blanks the rest.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def rules() -> list[tuple[str, str, int, str, str]]:
-    """Ordered rules (keyword, label, priority, rule name, regex): highest priority first, and
-    within it those with a version before those without."""
-    out = []
-    for label, keyword, name, versions in FAMILIES:
-        for form, around, priority in FORMS:
-            for v in versions:
-                version = rf"{name},?(?: version| v)? {v}" if " " in v else rf"{name}(?: version)? v?{v}(?: 0)?"
-                out.append((keyword, label, priority * 2 + 1, f"{label}-{v.replace(' ', '.')}/{form}", around % version))
-            out.append((keyword, label, priority * 2, f"{label}/{form}", around % name))
-    return sorted(out, key=lambda r: -r[2])
+def _version(m: re.Match) -> str:
+    number = m[1].split(".")
+    return r"(?:version |v ?)?" + (" ".join(number) if len(number) > 1 else f"{m[1]}(?: 0)?")
 
 
-def _compiled() -> list[tuple[bytes, list]]:
+def rules() -> list[tuple[str, str, int, str]]:
+    """Ordered rules (keyword, label, priority, regex); the word that stands for a detection is in the group
+    `at`, or the whole match does."""
+    out = []
+    for line in SIGNATURES.strip().splitlines():
+        label, priority, pattern = line.split(" | ")
+        keyword = re.search(r"~(\w+)", pattern)[1]
+        pattern = re.sub(r"<([0-9.]+)>", _version, pattern.replace("~", "").replace("LIC", "(?:license|licence)"))
+        out.append((keyword, label, int(priority), pattern))
+    for name in IDENTIFIERS:
+        words = " ".join(re.findall("[0-9a-z]+", name.lower()))
+        # Any member of an expression: what stands before it ends with an operator.
+        out.append(("spdx", name.lower(), 5, rf"spdx (?:license|licence) identifier (?:(?:\S+ ){{1,16}}?(?:or|and|with) )?(?P<at>{words})"))
+    return out
+
+
+def _compiled() -> dict[bytes, list]:
     by: dict[bytes, list] = {}
-    for keyword, label, priority, name, pattern in rules():
-        by.setdefault(b" " + keyword.encode() + b" ", []).append((label, priority, name, re.compile(rf" (?={pattern} )(?:{pattern})".encode())))
-    return list(by.items())
+    for order, (keyword, label, priority, pattern) in enumerate(rules()):
+        by.setdefault(keyword.encode(), []).append((order, label, priority, re.compile(rf" (?:{pattern})(?= )".encode())))
+    return by
+
+
+def suppressed(found: list[tuple]) -> list[tuple]:
+    """Detections (start, end, priority, label, order) without those inside another of at least their priority."""
+    found = sorted(found, key=lambda d: (d[0], -d[1], -d[2], d[4]))
+    kept, near = [], []
+    for d in found:
+        # They come by start, longer first, so what holds one comes before it. A rule's own matches do not overlap:
+        # no more than one a rule is still open here.
+        near = [k for k in near if k[1] > d[0]]
+        if not any(k[1] >= d[1] and k[2] >= d[2] for k in near):
+            near.append(d)
+            kept.append(d)
+    return kept
 
 
 _state: dict = {}
 
 
-def scan(text: str) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, int, str, str]]]:
+def scan(text: str) -> tuple[int, list[tuple[int, str]], list[tuple]]:
     """Number of words; base places (word, label); detections that stay (start, end, priority, label,
-    rule), in words."""
+    order of the rule), in words."""
     if not _state:
         _state["rules"] = _compiled()
-        _state["base"] = [(p.split()[0].encode(), re.compile(rf" (?={p} )".encode()), label) for p, label in BASE]
-    words = text.encode("utf-8", "surrogatepass").translate(TABLE).split(b" ")
-    words = [w for w in words if w]
+        _state["base"] = [(p.split()[0].encode(), re.compile(rf" {p}(?= )".encode()), label) for p, label in BASE]
+        _state["words"] = frozenset(_state["rules"]) | {first for first, _, _ in _state["base"]}
+    words = text.encode("utf-8", "surrogatepass").translate(TABLE).split()
+    held = _state["words"].intersection(words)
+    if not held:
+        return len(words), [], []
     flat = b" " + b" ".join(words) + b" "
-    base = [(flat.count(b" ", 0, m.start()), label) for word, p, label in _state["base"] if word in flat for m in p.finditer(flat)]
+    blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)  # the i-th is the one before word i
+    at = lambda place: int(np.searchsorted(blanks, place))
+    base = [(at(m.start()), label) for word, p, label in _state["base"] if word in held for m in p.finditer(flat)]
     found = []
-    for keyword, own in _state["rules"]:
-        if keyword in flat:
-            for label, priority, name, p in own:
-                for m in p.finditer(flat):
-                    start = flat.count(b" ", 0, m.start())
-                    found.append((start, start + m[0].count(b" "), priority, label, name))
-    order = lambda d: (d[0], -d[1], -d[2], d[4])
-    found.sort(key=order)
-    kept, near = [], []
-    for d in found:
-        # Intervals come by start, longer first: one that ends before this one starts meets no later one.
-        kept += [k for k in near if k[1] <= d[0]]
-        near = [k for k in near if k[1] > d[0]]
-        if not any(k[1] >= d[1] and k[2] >= d[2] for k in near):
-            near = [k for k in near if not (k[0] >= d[0] and k[1] <= d[1] and k[2] < d[2])] + [d]
-    return len(words), base, sorted(kept + near, key=order)
+    for keyword in held:
+        for order, label, priority, p in _state["rules"].get(keyword, ()):
+            for m in p.finditer(flat):
+                start, end = (m.start("at") - 1, m.end("at")) if "at" in p.groupindex else m.span()
+                found.append((at(start), at(end), priority, label, order))
+    return len(words), base, suppressed(found)
 
 
 def _scan(batches):
@@ -140,28 +108,28 @@ def _scan(batches):
             at = [w for w, _ in base]
             missing = 1.0
             for d in found:
-                missing *= 1 - GRANTS[d[2] // 2]
+                missing *= 1 - GRANTS[d[2]]
             rows.append((
                 n, len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})),
                 ",".join(sorted({x for _, x in base} | {d[3] for d in found})), 1 - missing,
-                [{"start": d[0], "end": d[1], "label": d[3], "rule": d[4]} for d in found]))
+                [{"start": d[0], "end": d[1], "label": d[3], "priority": d[2]} for d in found]))
         cols = list(zip(*rows)) or [()] * 8
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), DETECTIONS]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], ["doc_id", *COLUMNS])
 
 
 COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
-DETECTIONS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("rule", pa.string())]))
+DETECTIONS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int32())]))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (columns doc_id, text; others are ignored): doc_id, n_words, n_base,
     first_word, last_word, base_labels, labels, score (1 less the product of what each detection
-    leaves open) and detections (start, end, label, rule; in words).
+    leaves open) and detections (start, end, label, priority; in words).
 
     Null and empty texts have no words, no labels (empty strings) and score 0. A text of any length is
     one row in memory. Repeated rows repeat; no rows give no rows."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
-              "detections array<struct<start: long, end: long, label: string, rule: string>>")
-    return mapped(docs.select("doc_id", "text"), _scan, schema)
+              "detections array<struct<start: long, end: long, label: string, priority: int>>")
+    return docs.select("doc_id", "text").mapInArrow(_scan, schema)

@@ -3,8 +3,8 @@
 A text's UTF-8 bytes are cut into chunks of CHUNK bytes that overlap by OVERLAP and cover all of it.
 Learned filters run over the embedded bytes of each chunk, their responses are max-pooled, a small
 dense layer reads each chunk's pooled responses, and the mean and maximum over the chunks give one
-probability. Scoring runs in tasks over all texts; training runs on the driver, on a sample of
-labelled texts with documented bounds.
+probability. Scoring runs in tasks over all texts; training runs on the driver, on whole texts of a
+bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces
+from .common import pieces, whole_row
 
 CHUNK, OVERLAP, STRIDE, DIM, FILTERS, HIDDEN = 512, 32, 4, 8, 48, 16
-#: Bounds of the training sample: documents, and chunks of each (spread over the whole text).
-TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, SEED = 2500, 6, 8, 7
+#: Bounds of the training sample: labelled rows, and bytes of their texts (the row that would pass it and all
+#: after it stay out). Texts of the sample are used whole.
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS, SEED = 2500, 64 << 20, 8, 7
+#: Chunks whose responses are held at once.
+BLOCK = 128
 THRESHOLD = 0.3
 PAD = 256
 
@@ -43,24 +46,32 @@ def new_weights(seed: int = SEED) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
+def responses(w: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chunk and filter the place of the largest response (in strides) and the response, a block of chunks at a time."""
+    half, at, top = STRIDE * DIM, [], []
+    filters = np.concatenate([w["conv"][:half], w["conv"][half:]], axis=1)
+    for i in range(0, len(x), BLOCK):
+        blocks = w["embed"][x[i : i + BLOCK]].reshape(-1, half)
+        own = (blocks @ filters).reshape(-1, CHUNK // STRIDE, 2 * FILTERS)
+        response = own[:, :-1, :FILTERS] + own[:, 1:, FILTERS:]
+        at.append(response.argmax(axis=1))
+        top.append(np.take_along_axis(response, at[-1][:, None, :], axis=1)[:, 0] + w["conv_b"])
+    return np.concatenate(at), np.concatenate(top)
+
+
 def forward(w: dict, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Probabilities of documents whose chunks are rows of x, document i from row starts[i]."""
-    blocks = w["embed"][x].reshape(len(x), CHUNK // STRIDE, STRIDE * DIM)
-    half = STRIDE * DIM
-    own = (blocks.reshape(-1, half) @ np.concatenate([w["conv"][:half], w["conv"][half:]], axis=1)).reshape(len(x), -1, 2 * FILTERS)
-    response = own[:, :-1, :FILTERS] + own[:, 1:, FILTERS:]
-    at = response.argmax(axis=1)
-    top = np.take_along_axis(response, at[:, None, :], axis=1)[:, 0] + w["conv_b"]
+    at, top = responses(w, x)
     pooled = np.concatenate([np.maximum(top, 0), (x != PAD).mean(axis=1, dtype=np.float32)[:, None]], axis=1)
     hidden = np.maximum(pooled @ w["dense"] + w["dense_b"], 0)
     count = np.diff(np.append(starts, len(x))).astype(np.float32)[:, None]
     both = np.concatenate([np.add.reduceat(hidden, starts) / count, np.maximum.reduceat(hidden, starts)], axis=1)
     logit = both @ w["out"] + w["out_b"]
-    return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), (blocks, at, top, pooled, hidden, count, both)
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), (at, top, pooled, hidden, count, both)
 
 
 def gradients(w: dict, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    p, (blocks, at, top, pooled, hidden, count, both) = forward(w, x, starts)
+    p, (at, top, pooled, hidden, count, both) = forward(w, x, starts)
     g, d = {}, ((p - y) / len(y)).astype(np.float32)
     g["out"], g["out_b"] = both.T @ d, d.sum(keepdims=True)
     of = np.repeat(np.arange(len(starts)), count[:, 0].astype(int))
@@ -70,14 +81,14 @@ def gradients(w: dict, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict
     dh *= hidden > 0
     g["dense"], g["dense_b"] = pooled.T @ dh, dh.sum(axis=0)
     dt = (dh @ w["dense"].T)[:, :FILTERS] * (top > 0)
-    g["conv_b"] = dt.sum(axis=0)
-    rows = np.arange(len(x))[:, None]
-    window = np.concatenate([blocks[rows, at], blocks[rows, at + 1]], axis=2)  # only the largest response has a gradient
-    g["conv"] = np.einsum("nfk,nf->kf", window, dt, optimize=True)
-    dw = dt[:, :, None] * w["conv"].T[None]
-    bytes_at = x[rows[:, :, None], (at[:, :, None] * STRIDE + np.arange(2 * STRIDE))]
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], bytes_at.ravel(), dw.reshape(-1, DIM))
+    g["conv_b"], g["conv"], g["embed"] = dt.sum(axis=0), np.zeros_like(w["conv"]), np.zeros_like(w["embed"])
+    for i in range(0, len(x), BLOCK):  # only the largest response has a gradient
+        d_top, rows = dt[i : i + BLOCK], np.arange(i, min(i + BLOCK, len(x)))
+        bytes_at = x[rows[:, None, None], at[rows][:, :, None] * STRIDE + np.arange(2 * STRIDE)]
+        window = w["embed"][bytes_at].reshape(len(rows), FILTERS, -1)
+        g["conv"] += np.einsum("nfk,nf->kf", window, d_top, optimize=True)
+        dw = d_top[:, :, None] * w["conv"].T[None]
+        np.add.at(g["embed"], bytes_at.ravel(), dw.reshape(-1, DIM))
     return g
 
 
@@ -98,77 +109,71 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     return w
 
 
-def _sampled(batches):
-    for b in pieces(batches):
-        rows = [chunks(t or "") for t in b.column("text").to_pylist()]
-        rows = [c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).round().astype(int))] for c in rows]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("quality"), pa.array([c.astype("<i2").tobytes() for c in rows], pa.binary())], ["quality", "chunks"])
-
-
 def held_out(doc_id):
     """Whether a row is kept from training: crc32 of doc_id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
-    """Weights learnt from at most `n_docs` labelled documents that are not held out, the first by a
-    hash of doc_id. Rows without doc_id, quality or text teach nothing; with no labelled rows the
-    weights are the initial ones and all scores lie near one half."""
+def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, n_bytes: int = TRAIN_BYTES) -> dict[str, np.ndarray]:
+    """Weights learnt from at most `n_docs` labelled documents of at most `n_bytes` together that are not held
+    out, the first by a hash of doc_id. Rows without doc_id, quality or text teach nothing; of labels that
+    disagree on a doc_id the larger counts; with no labelled rows the weights are the initial ones and all
+    scores lie near one half."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).select("text", "quality")
-    found = mapped(rows, _sampled, "quality int, chunks binary").toPandas()
-    if found.empty:
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # n_docs slim rows
+    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("n"), "text", "quality")
+    slim = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "hash").select("doc_id", "hash", "n").limit(n_docs).toPandas()
+    slim = slim[slim["n"].cumsum() <= n_bytes]
+    if slim.empty:
         return new_weights()
-    found = found.sort_values(["chunks", "quality"])  # an order of its own, however the rows came
-    return train([np.frombuffer(c, "<i2").reshape(-1, CHUNK) for c in found["chunks"]], found["quality"].to_numpy(np.float32))
+    chosen = docs.sparkSession.createDataFrame(slim[["doc_id", "hash"]].drop_duplicates(), "doc_id long, hash long")
+    found = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).select("text", "quality").toPandas()
+    found = found.sort_values(["text", "quality"])  # an order of its own, however the rows came
+    return train([chunks(t) for t in found["text"]], found["quality"].to_numpy(np.float32))
 
 
-def score_text(w: dict, text: str, rows: int = 64) -> float:
-    """The network over a text of any length, a block of chunks at a time."""
-    x = chunks(text)
-    if len(x) <= rows:
-        return float(forward(w, x, np.zeros(1, int))[0][0])
-    hidden = np.concatenate([forward(w, x[i : i + rows], np.zeros(1, int))[1][4] for i in range(0, len(x), rows)])
-    logit = np.concatenate([hidden.mean(axis=0), hidden.max(axis=0)]) @ w["out"] + w["out_b"][0]
-    return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+def score_text(w: dict, text: str) -> float:
+    """The network over one text of any length."""
+    return float(forward(w, chunks(text), np.zeros(1, int))[0][0])
 
 
-def _scored(w: dict, keep):
+def _scored(w: dict, column: str):
     def run(batches):
         for b in pieces(batches):
-            column = b.column("row").field("text") if "text" in keep else b.column("text")
-            texts, scores, held, starts, at = column.to_pylist(), [], [], [], 0
+            row = b.column("row")
+            texts = row.field(row.type.get_field_index(column)).to_pylist() if column != "text_" else b.column("text_").to_pylist()
+            scores, held, starts, at = [], [], [], 0
 
             def flush():
-                scores.extend(forward(w, np.concatenate(held), np.array(starts))[0].tolist())
+                if held:
+                    scores.extend(forward(w, np.concatenate(held), np.array(starts))[0].tolist())
 
             for t in texts:
                 x = chunks(t or "")
-                if len(x) > 64 or at + len(x) > 96:
-                    if held:
-                        flush()
+                if at + len(x) > 96:
+                    flush()
                     held, starts, at = [], [], 0
-                if len(x) > 64:
-                    scores.append(score_text(w, t))
-                else:
-                    held.append(x)
-                    starts.append(at)
-                    at += len(x)
-            if held:
-                flush()
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
+                held.append(x)
+                starts.append(at)
+                at += len(x)
+            flush()
+            yield pa.RecordBatch.from_arrays([row, pa.array(scores, pa.float64())], ["row", "score"])
 
     return run
 
 
-def score(docs: DataFrame, weights: dict, keep=("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """Columns `keep` of `docs`, score and predicted for every row, by text alone; null text counts as
-    empty, repeated rows repeat, no rows give no rows."""
-    text = [] if "text" in keep else [F.col("text").alias("text")]  # sent once
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), *text)
-    schema = rows.select("row").withColumn("score", F.lit(0.0)).schema
-    out = mapped(rows, _scored(weights, tuple(keep)), schema)
-    return out.select("row.*", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+def judged(docs: DataFrame, weights: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """Every row of `docs` with all its columns as struct `row`, and score and predicted, by the column text
+    alone; null text counts as empty, repeated rows repeat, no rows give no rows. Other columns may
+    have any names."""
+    rows = docs.select(whole_row(docs).alias("row"))
+    out = rows.mapInArrow(_scored(weights, "text"), rows.withColumn("score", F.lit(0.0)).schema)
+    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def score(docs: DataFrame, weights: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score and predicted of every row of `docs`, as judged() has them."""
+    rows = docs.select(F.struct("doc_id").alias("row"), F.col("text").alias("text_"))
+    out = rows.mapInArrow(_scored(weights, "text_"), rows.select("row").withColumn("score", F.lit(0.0)).schema)
+    return out.select("row.doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

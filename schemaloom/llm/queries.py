@@ -1,4 +1,5 @@
-"""The queries of this subpackage: thin wrappers that derive each contract's columns."""
+"""The queries of this subpackage: thin wrappers that derive each contract's columns. Those whose main work is
+in Python write their slim results at once, with small Arrow batches; the session's settings stay."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, licenses, line_dedup, minhash, mixing, quality_cnn, token_counts, url_tree
-from .common import table
+from .common import small_batches, table, written
 from .oracles import ORACLES
 
 
@@ -22,11 +23,13 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+    with small_batches(spark):
+        return written(licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    with small_batches(spark):
+        return written(token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +45,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_cnn.score(docs, weights)
+    with small_batches(spark):
+        scored = written(quality_cnn.score(docs, weights))
     return scored.select("doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -55,14 +59,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return bpe_digests(table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(decoded: DataFrame) -> DataFrame:
-    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to; a written table."""
+    with small_batches(docs.sparkSession):
+        decoded = bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+        joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+        return written(decoded.select(
+            "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+            F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
 QUERIES = {f.__name__: f for f in (
