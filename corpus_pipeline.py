@@ -7,21 +7,19 @@ takes. Rows with null texts count as empty texts throughout.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from schemaloom import ship
-from schemaloom.llm import bpe, exact_dedup, minhash, mixing, quality_cnn
-from schemaloom.llm.common import table, written
+from schemaloom.llm import exact_dedup, minhash, mixing, quality_cnn
+from schemaloom.llm.common import small_batches, table, written
 from schemaloom.llm.queries import bpe_digests
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as quality 0 go."""
     weights = quality_cnn.fit(docs, table(ship(spark), sf_dir, "labels"))
-    scored = quality_cnn.score(docs, weights, keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    with small_batches(spark):
+        return written(quality_cnn.judged(docs, weights).where("predicted = 1").select("row.*"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the text that they decode to, as digests."""
-    path = public_tokenizers.path("word_bpe_49k.json")
     ship(spark)
-    return bpe_digests(bpe.round_trip(docs, path))
+    return bpe_digests(docs)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("bpe", encode)]
@@ -57,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if stage is not encode:
+        if stage not in (quality, encode):  # these two write their own results
             docs = written(docs)
     return docs
