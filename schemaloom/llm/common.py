@@ -28,16 +28,16 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame | None = None, per: int = HOT_ROWS) -> DataFrame:
-    """The inner join of two written tables on the columns `on`, where `right` has a row or few a key. A key with
-    more than `per` rows on the left is cut into pieces by a hash of `by`, and its rows on the right are
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame | None = None, per: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """The inner or left join of two written tables on the columns `on`, where `right` has a row or few a key. A key
+    with more than `per` rows on the left is cut into pieces by a hash of `by`, and its rows on the right are
     repeated for each, so that no key meets in one task. `counts` (`on`, n) saves counting the left side."""
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     hot = small(written(counts.where(F.col("n") > per).select(*on, F.ceil(F.col("n") / per).cast("int").alias("_cuts"))))
     cuts = F.coalesce("_cuts", F.lit(1))
     left = left.join(hot, on, "left").withColumn("_cut", F.pmod(F.xxhash64(by), cuts).cast("int")).drop("_cuts")
     right = right.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")
-    return left.join(right, [*on, "_cut"]).drop("_cut")
+    return left.join(right, [*on, "_cut"], how).drop("_cut")
 
 
 def named(c: str) -> Column:
@@ -96,7 +96,3 @@ def pieces(batches, rows: int = ARROW_ROWS):
         for start in range(0, b.num_rows, rows):
             yield b.slice(start, rows)
     pa.default_memory_pool().release_unused()
-
-
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    return df.mapInArrow(run, schema)

@@ -4,16 +4,21 @@
    copies of any size cost one row each.
 2. Each class has KEYS minima. BANDS groups of ROWS of them are its bucket keys; the low BITS bits of
    all of them, packed by bit planes into longs, are its signature.
-3. In every bucket each class is compared with the smallest one only. Pairs whose sizes or whose
-   estimate (share of equal places by bit counts, corrected for chance agreement) rule a link out
-   are dropped; the rest are confirmed on the full sets.
-4. Connected components of the confirmed links. In buckets that still hold several components, pairs
-   of classes of different components are compared too, joined by bucket and size class, with the
-   estimate inside the join, and confirmed. A bucket full of near copies is one component by then.
-
-So every pair that shares a bucket is either confirmed, ruled out, or joined by other links. For a
-link at the similarity 0.85 the chance to share no bucket is 8e-7, and to be ruled out by the
-estimate's margin of five deviations 3e-7; at 0.80 and with 40 bands the first is 1e-7. A pair is compared in the first bucket that it shares.
+3. In every bucket each class is compared with the smallest one, its hub, only. Pairs whose sizes or
+   whose estimate (share of equal places by bit counts, corrected for chance agreement) rule a link
+   out are dropped; the rest are confirmed on the full sets. Their components are parts.
+4. Buckets that still hold several parts go into one group for each part of a hub. A group's centre is
+   the set of shingles that more than half of its classes hold, and each class goes on as its
+   differences from the centre. Two sets differ exactly where their differences do, so classes link if
+   they share at least as many differences as their numbers ask for. Candidates come from a prefix
+   filter: differences in order of rarity, each class by as many of its rarest as a partner of a given
+   distance from the centre has to share one of. First every class meets the one nearest to the centre
+   of its group and of each shared difference only, then classes of parts that are still apart meet.
+   All of it is exact: every pair of a bucket is confirmed, ruled out, or joined by other links.
+
+For a link at the similarity 0.85 the chance to share no bucket is 8e-7, and to be ruled out by the
+estimate's margin of five deviations 3e-7; at 0.80 and with 40 bands the first is 1e-7. The second
+does not touch pairs of step 4.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, small, written
+from .common import hot_join, mapped_table, pieces, small, whole_row, written
 
 SHINGLE, PERCENT = 5, 85
 KEYS, ROWS, BANDS, BITS = 512, 5, 24, 2
@@ -77,6 +82,16 @@ def bands(low: np.ndarray, n: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _longs(rows: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of 64-bit values."""
+    ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows).view(np.int64) if rows else [], pa.int64()))
+
+
+def _set_id(h: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
+
+
 def _sets(k: int, n_bands: int):
     def run(batches):
         for b in pieces(batches):
@@ -84,16 +99,22 @@ def _sets(k: int, n_bands: int):
             for t in b.column("text").to_pylist():
                 h = shingles(t or "", k)
                 n.append(len(h))
-                ids.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                ids.append(_set_id(h))
                 low = minima(h)
                 sigs.append(signature(low) if len(h) else np.empty(0, np.int64))
                 keys.append(bands(low, n_bands) if len(h) else np.empty(0, np.int64))
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64()))
-                for x in (sigs, keys)
-            ]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *lists], ["doc_id", "n_shingles", "set_id", "sig", "bands"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), _longs(sigs), _longs(keys)],
+                ["doc_id", "text_hash", "n_shingles", "set_id", "sig", "bands"])
+
+    return run
+
+
+def _hashes(k: int):
+    def run(batches):
+        for b in pieces(batches, 64):
+            rows = [shingles(t, k) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in rows], pa.binary()), _longs(rows)], ["set_id", "h"])
 
     return run
 
@@ -120,41 +141,21 @@ def _likely(a: str, b: str, percent: int) -> Column:
     return sizes & (estimate(F.col(f"{a}_sig"), F.col(f"{b}_sig")) >= at - margin)
 
 
-def _confirmed(k: int, percent: int):
-    def run(batches):
-        known, held = {}, 0
-
-        def of(i, n, text):
-            nonlocal held
-            if (i, n) not in known:
-                if held > 2_000_000:  # hashes kept
-                    known.clear()
-                    held = 0
-                known[i, n] = shingles(text, k)
-                held += len(known[i, n])
-            return known[i, n]
-
-        for batch in pieces(batches):
-            keep = []
-            cols = [batch.column(c).to_pylist() for c in ("a", "a_n", "a_text", "b", "b_n", "b_text")]
-            for a, a_n, a_text, b, b_n, b_text in zip(*cols):
-                x, y = of(a, a_n, a_text), of(b, b_n, b_text)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(len(x) == a_n and len(y) == b_n and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    return run
+def full_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """node, n, h (the shingles' hashes) of `classes` (node, set_id, rep, n), each read from a text of its own; a written table."""
+    ids = written(classes.select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").select("text")
+    found = mapped_table(texts, _hashes(k), "set_id binary, h array<long>")
+    own = small(written(classes.select("node", "set_id", "n")))
+    return written(found.join(own, "set_id").select("node", "n", "h").dropDuplicates(["node"]))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, a_n, b_n) whose full shingle sets are similar enough; a written table (a, b)."""
-    pairs = written(pairs.select("a", "a_n", "b", "b_n"))
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = written(docs.select("doc_id", "text").where("text is not null").join(small(ids), "doc_id", "left_semi").distinct())
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    both = pairs.join(tb, "b").join(ta, "a").select("a", "a_n", "a_text", "b", "b_n", "b_text")
-    return written(mapped(both, _confirmed(k, percent), "a long, b long").distinct())
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; a written table. Many pairs may share a b."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("h").alias(f"{c}_h"))
+    both = hot_join(pairs, of("b"), ["b"], "a").join(of("a"), "a")
+    shared = F.size(F.array_intersect("a_h", "b_h"))
+    return written(both.where(100 * shared >= percent * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,6 +182,134 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
+def _stars(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes with their buckets' hubs that sizes and estimate leave possible; a written table (a, b)."""
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sig").alias(f"{c}_sig"))
+    pairs = written(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    return written(hot_join(pairs, of("b"), ["b"], "a").join(of("a"), "a").where(_likely("a", "b", percent)).select("a", "b"))
+
+
+def _in_parts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` (part, ...) with the parts that further links (node, component: of parts) have joined."""
+    to = small(written(found.select(F.col("node").alias("part"), "component")))
+    return rows.join(to, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+
+
+def differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """g, node, part (a written table) -> with n, d (number of differences from the group's centre), diff (them)
+    and x: classes link if 2 * (100 + percent) times the differences they share reach the sum of their x."""
+    rows = written(groups.join(sets, "node"))
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    held = written(rows.select("g", F.explode("h").alias("e")).groupBy("g", "e").count().where("count > 1"))
+    most = hot_join(held, sizes, ["g"], "e").where("2 * count > size").groupBy("g").agg(F.collect_list("e").alias("centre"))
+    centres = written(sizes.join(most, "g", "left").select("g", F.coalesce("centre", F.array().cast("array<bigint>")).alias("centre")))
+    diff = F.concat(F.array_except("h", "centre"), F.array_except("centre", "h"))
+    rows = hot_join(rows, centres, ["g"], "node", sizes.withColumnRenamed("size", "n")).select("g", "node", "part", "n", diff.alias("diff"))
+    rows = rows.withColumn("d", F.size("diff").cast("long"))
+    return written(rows.withColumn("x", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")))
+
+
+def postings(diffs: DataFrame, percent: int) -> DataFrame:
+    """A row for each shared difference of a class by which partners of some distance from the centre can find it:
+    g, j (range of sizes), e (the difference), own and other (levels of x of the two), node, part, d, x, p (the
+    difference's place in order of rarity)."""
+    each = diffs.select("g", "node", "part", F.explode("diff").alias("e"))
+    # Differences that only one part holds join nothing; they come first in the order, as if they were rarest.
+    freq = written(each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("g", "e", "n"))
+    shared = hot_join(each.drop("part"), freq.withColumnRenamed("n", "often"), ["g", "e"], "node", freq)
+    by = Window.partitionBy("g", "node")
+    shared = shared.withColumn("p", F.row_number().over(by.orderBy("often", "e")) - 1 - F.count(F.lit(1)).over(by))
+    rows = shared.join(diffs.select("g", "node", "part", "n", "d", "x"), ["g", "node"]).withColumn("p", F.col("d") + F.col("p"))
+    # Sizes of a link differ by the factor 100 / percent at most, so both are in one range of two such steps.
+    ratio, wide = 100 / percent, float(100 - percent)
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio)) + 1e-9).cast("int")
+    rows = rows.withColumn("j", F.explode(F.array(step, step - 1)))
+    size = F.pow(F.lit(ratio), F.col("j").cast("double"))
+    rows = rows.withColumn("w", F.greatest(F.lit(1), F.floor(wide * size / 2))).withColumn("own", F.floor(F.col("x") / F.col("w")))
+    span = F.ceil(2 * wide * size * ratio * ratio / F.col("w")) + 1
+    # A partner at level m shares at least (own + m) * w / 2 / (100 + percent) of d; this place counts if that leaves it in.
+    last = F.least(F.col("own") + span, F.floor(2 * (100 + percent) * (F.col("d") - F.col("p")) / F.col("w")) - F.col("own"))
+    rows = rows.withColumn("first", F.col("own") - span).withColumn("last", last).where("last >= first")
+    return rows.select("g", "j", "e", "own", F.explode(F.sequence("first", "last")).alias("other"), "node", "part", "d", "x", "p")
+
+
+def _checked(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (g, a, b, a_part, b_part) that link, by their differences; a written table (a, b) of parts."""
+    of = lambda c: diffs.select("g", F.col("node").alias(c), F.col("x").alias(f"{c}_x"), F.col("diff").alias(f"{c}_diff"))
+    both = hot_join(written(pairs.distinct()), of("b"), ["g", "b"], "a").join(of("a"), ["g", "a"])
+    both = both.where(2 * (100 + percent) * F.size(F.array_intersect("a_diff", "b_diff")) >= F.col("a_x") + F.col("b_x"))
+    return written(both.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())
+
+
+def links_across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, component of the parts that links within the groups (g, node, part; a written table) join."""
+    diffs = differences(groups, sets, percent)
+    # Classes that share no difference can link only near the centre, and then also with the nearest one.
+    slim = diffs.select("g", "node", "part", "x")
+    nearest = slim.groupBy("g").agg(F.min(F.struct("x", "node", "part")).alias("b"))
+    near = hot_join(slim, nearest, ["g"], "node").where("x + b.x <= 0 and part <> b.part")
+    near = written(near.select(F.col("part").alias("a"), F.col("b.part").alias("b")).distinct())
+
+    posts = written(postings(diffs, percent))
+    key = ["g", "j", "e", "lo", "hi"]
+    posts = posts.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    pivots = written(posts.groupBy(*key).agg(
+        F.min(F.struct("x", "d", "node", "part")).alias("b"), F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q"))
+    posts = written(hot_join(posts, pivots.select(*key, "b"), key, "node", pivots.select(*key, "n")))
+    needed = lambda x, y: F.ceil((x + y) / (2 * (100 + percent)))
+    met = posts.where("part <> b.part").where(needed(F.col("x"), F.col("b.x")) <= F.least("d", "b.d"))
+    met = _checked(met.select("g", F.col("node").alias("a"), F.col("b.node").alias("b"), F.col("part").alias("a_part"), F.col("b.part").alias("b_part")), diffs, percent)
+    first = written(components(near.union(met)))
+
+    posts = _in_parts(posts.drop("b"), first)
+    side = lambda t: [*key, *[F.col(c).alias(f"{t}_{c}") for c in ("node", "part", "d", "x", "p")]]
+    both = posts.where("own <= other").select(*side("a")).join(posts.where("own >= other").select(*side("b")), key)
+    least = needed(F.col("a_x"), F.col("b_x"))
+    both = both.where((F.col("a_part") != F.col("b_part")) & ((F.col("lo") < F.col("hi")) | (F.col("a_node") < F.col("b_node"))))
+    pairs = both.where((F.col("a_p") <= F.col("a_d") - least) & (F.col("b_p") <= F.col("b_d") - least)).select("g", F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_part", "b_part")
+    second = written(components(_checked(pairs, diffs, percent)))
+    return _joined_up(first, second)
+
+
+def _joined_up(first: DataFrame, second: DataFrame) -> DataFrame:
+    """node, component of links found in two steps, the second between the components of the first; a written table."""
+    moved = _in_parts(first.select("node", F.col("component").alias("part")), second).select("node", F.col("part").alias("component"))
+    return written(moved.unionByName(second))
+
+
+def _classified(docs: DataFrame, k: int, percent: int, n_bands: int) -> DataFrame:
+    """near_duplicates() with the hash of each row's text (text_hash; of "" for null)."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sets = mapped_table(slim, _sets(k, n_bands), "doc_id long, text_hash long, n_shingles long, set_id binary, sig array<long>, bands array<long>")
+    classes = written(
+        sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_id")
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    # A class goes by its smallest doc_id, or by a hash of its own where a doc_id has texts of several classes.
+    twice = small(written(classes.groupBy("rep").count().where("count > 1")))
+    classes = classes.join(twice, "rep", "left").withColumn("node", F.when(F.col("count").isNull(), F.col("rep")).otherwise(F.xxhash64("set_id"))).drop("count")
+
+    places = classes.select("node", F.explode("bands").alias("bucket"))
+    hubs = written(places.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = written(hot_join(places, hubs.select("bucket", "hub"), ["bucket"], "node", hubs.select("bucket", "n")))
+    met = members.select("node").distinct()
+    full = full_sets(slim, classes.select("node", "set_id", "rep", "n").join(met, "node", "left_semi"), k)
+    first = written(components(confirm(_stars(members, classes, percent), full, percent)))
+
+    part = written(members.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")))
+    split = written(part.groupBy("bucket").agg(F.min("part").alias("g"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("g <> q"))
+    groups = written(hot_join(part, split.select("bucket", "g"), ["bucket"], "node", split.select("bucket", "n")).select("g", "node", "part").distinct())
+    across = links_across(groups, full, percent)
+
+    linked = _joined_up(first, across)
+    everyone = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
+    least = classes.select("node", "rep").join(everyone, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = written(hot_join(everyone, least, ["component"], "node").select("node", "component_id"))
+    named = classes.select("set_id", "node", "rep").join(small(linked), "node", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
+    out = sets.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n_bands: int = BANDS) -> DataFrame:
     """One row per row of `docs` (columns doc_id, text; others are ignored): doc_id, n_shingles,
     component_id, kept.
@@ -189,44 +318,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n
     doc_id link with nothing, have a null component_id and are kept. Rows that repeat a doc_id with
     the same text are one document; with different texts each row's set links on its own. Links hold
     at 100 * intersection >= percent * union. No rows give no rows."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = written(mapped(slim, _sets(k, n_bands), "doc_id long, n_shingles long, set_id binary, sig array<long>, bands array<long>"))
-    classes = written(
-        sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    places = classes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = places.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(places.join(hubs.select("bucket", "hub"), "bucket"))
-    stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    of = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("sig").alias(f"{c}_sig"))
-    links = confirm(stars.join(of("a"), "a").join(of("b"), "b").where(_likely("a", "b", percent)), slim, k, percent)
-    first = written(components(links))
-
-    part = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-    part = written(part)
-    split = part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    rest = part.join(split, "bucket").join(classes.select("rep", "n", "sig", "bands"), "rep")
-    level = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(percent / 100))).cast("int")
-    rest = written(rest.withColumn("level", level))
-    x = rest.select("bucket", F.explode(F.array("level", F.col("level") + 1, F.col("level") + 2)).alias("level"), *[F.col(c).alias(t) for c, t in (("rep", "a"), ("part", "a_part"), ("n", "a_n"), ("sig", "a_sig"), ("bands", "a_bands"))])
-    y = rest.select("bucket", "level", *[F.col(c).alias(t) for c, t in (("rep", "b"), ("part", "b_part"), ("n", "b_n"), ("sig", "b_sig"), ("bands", "b_bands"))])
-    order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
-    on = (x["bucket"] == y["bucket"]) & (x["level"] == y["level"]) & order & (F.col("a_part") != F.col("b_part")) & _likely("a", "b", percent)
-    on = on & (F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0)) == x["bucket"])  # a pair counts in its first bucket only
-    more = confirm(x.join(y, on).select("a", "a_n", "b", "b_n").distinct(), slim, k, percent)
-    to = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-    between = more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    second = components(between)
-
-    joined = classes.select("set_id", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("node"))
-    joined = joined.join(second, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = sets.select("doc_id", "n_shingles", "set_id").join(joined, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` that near_duplicates() keeps, with all their columns."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    return row.join(gone, "id", "left_anti").select("row.*")
+    return _classified(docs, k, percent, n_bands).drop("text_hash")
+
+
+def dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n_bands: int = BANDS) -> DataFrame:
+    """The rows of `docs` that near_duplicates() keeps, with all their columns. Rows that repeat a doc_id
+    are told apart by their texts."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    row = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash.alias("hash"))
+    gone = written(_classified(docs, k, percent, n_bands).where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct())
+    return row.join(small(gone), ["id", "hash"], "left_anti").select("row.*")
