@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 #: Weights of the sources in order of their names, repeating; and start and end of their shares' schedule.
 WEIGHTS = (5, 2, 1)
 SCHEDULES = ((1.0, 3.0), (1.0, 1.0), (3.0, 1.0))
@@ -65,7 +67,7 @@ def allot(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, passes: int = M
     document has words, all targets are 0. No rows give no rows."""
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"),
+        whole_row(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
     rows = rows.withColumn("shard", F.substring("h", 1, 3)).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     sums = rows.groupBy("key", "source", "shard").agg(F.sum("size").alias("shard_size"))
