@@ -3,29 +3,46 @@
 from . import line_dedup as ld
 from . import mixing, url_tree
 
+def _rounds() -> str:
+    """One group of CTEs for each look at the lines of a leaf, from now0 (leaf, line) and names0."""
+    out = []
+    for r in range(ld.ROUNDS):
+        out.append(f"""
+each{r} AS (
+  SELECT leaf, line, i, array_to_string(list_transform(string_split(line, ' '), lambda t, j: CASE WHEN i = j THEN '' ELSE t END), ' ') AS rest
+  FROM (SELECT leaf, line, unnest(range({ld.DEPTH + 1}, len(string_split(line, ' ')) + 1)) AS i FROM now{r})),
+fields{r} AS (SELECT leaf, i, rest FROM each{r} GROUP BY ALL HAVING count(*) >= {ld.MIN_VALUES}),
+own{r} AS (SELECT leaf, line, list(i) AS fields FROM each{r} SEMI JOIN fields{r} USING (leaf, i, rest) GROUP BY leaf, line),
+made{r} AS (SELECT leaf, line, array_to_string(list_transform(string_split(line, ' '), lambda t, j: CASE WHEN list_contains(fields, j) THEN '{ld.ANY}' ELSE t END), ' ') AS became FROM own{r}),
+found{r} AS (SELECT * FROM made{r} WHERE {_ENOUGH.format("became", "len(string_split(became, ' '))")}),
+names{r + 1} AS (
+  SELECT n.leaf, n.line, coalesce(f.became, n.became) AS became FROM names{r} n LEFT JOIN found{r} f ON f.leaf = n.leaf AND f.line = n.became
+  UNION ALL SELECT leaf, line, became FROM found{r} ANTI JOIN names{r} USING (leaf, line)),
+now{r + 1} AS (
+  SELECT leaf, line FROM now{r} WHERE leaf IN (SELECT leaf FROM found{r}) AND (leaf, line) NOT IN (SELECT (leaf, line) FROM found{r}) UNION SELECT leaf, became FROM found{r})""")
+    return ",".join(out)
+
+
+_ENOUGH = "{1} - (length({0}) - length(replace({0}, '" + ld.ANY + "', ''))) / " + str(len(ld.ANY)) + " >= " + str(ld.MIN_CONSTANT) + " * {1}"
+
 LINE_DEDUP = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (
+cut AS (
   SELECT doc_id, text AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
-tokens AS (
-  SELECT doc_id, whole, pos, list_filter(string_split_regex(line, '[ \t\r\f]+'), lambda t: t <> '') AS tokens FROM lines),
-masked AS (
-  SELECT *, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{ld.ANY}' ELSE t END) AS masked FROM tokens WHERE len(tokens) > 0),
-leafed AS (SELECT *, concat_ws(' ', len(tokens)::VARCHAR, array_to_string(masked[1:{ld.DEPTH}], ' ')) AS leaf FROM masked),
-leaves AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, whole FROM leafed) GROUP BY leaf HAVING count(*) >= {ld.MIN_DOCS}),
-hot AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM leaves)),
-vals AS (SELECT DISTINCT leaf, unnest(masked) AS value, generate_subscripts(masked, 1) AS i FROM (SELECT DISTINCT leaf, masked FROM hot)),
-fields AS (
-  SELECT leaf, list(i) AS fields FROM (SELECT leaf, i FROM vals GROUP BY leaf, i HAVING count(*) > {ld.MAX_VALUES}) GROUP BY leaf),
-general AS (
-  SELECT hot.*, list_transform(masked, lambda t, i: CASE WHEN list_contains(coalesce(fields, []), i) THEN '{ld.ANY}' ELSE t END) AS general
-  FROM hot LEFT JOIN fields USING (leaf)),
-found AS (
-  SELECT doc_id, whole, pos,
-    array_to_string(CASE WHEN len(list_filter(general, lambda t: t <> '{ld.ANY}')) / len(general) >= {ld.MIN_CONSTANT} THEN general ELSE tokens END, ' ') AS template
-  FROM general),
-often AS (SELECT template FROM (SELECT DISTINCT template, doc_id, whole FROM found) GROUP BY template HAVING count(*) >= {ld.MIN_DOCS}),
-gone AS (SELECT doc_id, whole, list(DISTINCT pos) AS gone FROM found WHERE template IN (SELECT template FROM often) GROUP BY doc_id, whole)
+plain AS (
+  SELECT doc_id, whole, pos, regexp_replace(trim(translate(line, chr(9) || chr(13) || chr(12), '   '), ' '), ' +', ' ', 'g') AS line FROM cut),
+sized AS (
+  SELECT *, len(string_split(line, ' ')) AS n, regexp_replace(line, '(^| )[^ 0-9]*[0-9][^ ]*', '{ld.ANY}', 'g') AS masked FROM plain WHERE line <> ''),
+lines AS (
+  SELECT doc_id, whole, pos, n, concat_ws(' ', n::VARCHAR, array_to_string(string_split(masked, ' ')[1:{ld.DEPTH}], ' ')) AS leaf,
+    CASE WHEN {_ENOUGH.format("masked", "n")} THEN masked ELSE line END AS line FROM sized),
+now0 AS (
+  SELECT DISTINCT leaf, line FROM lines WHERE leaf IN (SELECT leaf FROM lines WHERE n > {ld.DEPTH} GROUP BY leaf HAVING count(DISTINCT line) >= {ld.MIN_VALUES})),
+names0 AS (SELECT '' AS leaf, '' AS line, '' AS became WHERE false),
+{_rounds()},
+named AS (SELECT l.*, coalesce(became, l.line) AS template FROM lines l LEFT JOIN names{ld.ROUNDS} n ON n.leaf = l.leaf AND n.line = l.line),
+often AS (SELECT leaf, template FROM named GROUP BY leaf, template, n HAVING count(DISTINCT whole) >= CASE WHEN n >= {ld.LONG_LINE} THEN 2 ELSE {ld.MIN_DOCS} END),
+gone AS (SELECT doc_id, whole, list(DISTINCT pos) AS gone FROM named SEMI JOIN often USING (leaf, template) GROUP BY doc_id, whole)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
   sha256(CASE WHEN gone IS NULL THEN coalesce(d.text, '')
     ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END) AS clean_sha256
@@ -84,33 +101,45 @@ def _rules(what: int) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
+#: Segments of the longest path that the SQL below follows; the tree itself goes as deep as paths go.
+LEVELS = 6
+
+
 def _levels() -> str:
     """One group of CTEs for each level of the tree, as templates() does it."""
     u, out = url_tree, []
-    for i in range(u.LEVELS + 1):
-        smooth = f"(sum(blocked) + {u.STRENGTH} * max(above)) / (sum(labelled) + {u.STRENGTH})"
+    smooth = lambda b, n, above: f"(({b} + {u.STRENGTH}::DOUBLE * {above}) / ({n} + {u.STRENGTH}::DOUBLE))"
+    for i in range(LEVELS):
         out.append(f"""
-at{i} AS (SELECT *, segments[{i + 1}] AS segment FROM tree{i}),
-child{i} AS (SELECT host, template, segment, sum(n) AS n_child FROM at{i} WHERE segment IS NOT NULL GROUP BY ALL),
+at{i} AS (SELECT *, segments[{i + 1}] AS segment FROM tree{i} WHERE NOT done),
+child{i} AS (SELECT host, template, segment, sum(n) AS n_child FROM at{i} GROUP BY ALL),
 node{i} AS (SELECT host, template, count(*) AS n_children, sum(n_child) AS n_node FROM child{i} GROUP BY ALL),
 wild{i} AS (
   SELECT a.*, CASE WHEN n_children > {u.MAX_CHILDREN} AND n_child < {u.MIN_SHARE}::DOUBLE * n_node THEN '*' ELSE a.segment END AS general
-  FROM at{i} a LEFT JOIN child{i} USING (host, template, segment) LEFT JOIN node{i} USING (host, template)),
+  FROM at{i} a JOIN child{i} USING (host, template, segment) JOIN node{i} USING (host, template)),
 branch{i} AS (
-  SELECT host, template, general, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked, max(purity) AS above
-  FROM wild{i} WHERE general IS NOT NULL GROUP BY ALL),
+  SELECT host, template, general, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked, max(purity) AS above,
+    count(DISTINCT segments[{i + 2}]) AS kinds, sum(CASE WHEN contains(segments[{i + 2}], '#') THEN n ELSE 0 END) AS digits, sum(n * (len(segments) - {i + 1})) AS below
+  FROM wild{i} GROUP BY ALL),
+like{i} AS (
+  SELECT *, CASE WHEN general IN ('*', '') THEN general ELSE concat_ws('.', length(n::BIGINT::VARCHAR)::VARCHAR,
+      CASE WHEN kinds <= 1 THEN kinds::VARCHAR WHEN kinds <= {u.MAX_CHILDREN} THEN 'few' ELSE 'many' END,
+      floor(10 * digits / n + 0.5::DOUBLE)::BIGINT::VARCHAR, floor(below / n + 0.5::DOUBLE)::BIGINT::VARCHAR) END AS like_,
+    CASE WHEN labelled > 0 THEN floor({smooth("blocked", "labelled", "above")} * 10)::BIGINT END AS known FROM branch{i}),
 profile{i} AS (
-  SELECT *, CASE WHEN general IN ('*', '') THEN general ELSE (CASE WHEN labelled = 0 THEN 'u'
-    ELSE floor((blocked + {u.STRENGTH} * above) / (labelled + {u.STRENGTH}) * 10)::INT::VARCHAR END) || '.' || length(n::BIGINT::VARCHAR) END AS profile FROM branch{i}),
+  SELECT *, concat_ws('.', like_, coalesce(coalesce(known, CASE WHEN min(known) OVER w = max(known) OVER w THEN max(known) OVER w END)::VARCHAR, 'u')) AS profile
+  FROM like{i} WINDOW w AS (PARTITION BY host, template, like_)),
 alike{i} AS (
-  SELECT host, template, profile, count(*) AS alike, {smooth} AS own FROM profile{i} GROUP BY ALL),
+  SELECT host, template, profile, count(*) AS alike, {smooth("sum(blocked)", "sum(labelled)", "max(above)")} AS own FROM profile{i} GROUP BY ALL),
 merged{i} AS (
   SELECT p.host, p.template, p.general, CASE WHEN alike > 1 THEN '{{' || profile || '}}' ELSE general END AS name, own
   FROM profile{i} p JOIN alike{i} USING (host, template, profile)),
+made{i} AS (
+  SELECT host, segments, n, labelled, blocked, template || '/' || name AS template, own AS purity FROM wild{i} JOIN merged{i} USING (host, template, general)),
 tree{i + 1} AS (
-  SELECT w.host, w.segments, w.n, w.labelled, w.blocked, CASE WHEN name IS NULL THEN w.template ELSE w.template || '/' || name END AS template,
-    CASE WHEN name IS NULL THEN w.purity ELSE own END AS purity
-  FROM wild{i} w LEFT JOIN merged{i} m ON w.host = m.host AND w.template = m.template AND w.general = m.general)""")
+  SELECT host, segments, n, labelled, blocked, CASE WHEN done AND len(segments) > {i + 1} THEN template || '/' || array_to_string(segments[{i + 2}:], '/') ELSE template END AS template,
+    purity, done FROM (
+    SELECT *, len(segments) = {i + 1} OR count(*) OVER w = 1 OR sum(n) OVER w < {u.MIN_LABELLED} AS done FROM made{i} WINDOW w AS (PARTITION BY host, template)))""")
     return ",".join(out)
 
 
@@ -119,21 +148,20 @@ WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, in
 parsed AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
-ruled AS (
-  SELECT *, {_rules(0)} AS rule, {_rules(1)} AS ruled,
-    string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') AS parts FROM parsed),
 rows AS (
-  SELECT *, CASE WHEN len(parts) > {url_tree.LEVELS} THEN list_append(parts[1:{url_tree.LEVELS}],
-    CASE WHEN length(array_to_string(parts[{url_tree.LEVELS + 1}:], '/')) > 0 THEN '**' ELSE '' END) ELSE parts END AS segments FROM ruled),
+  SELECT *, {_rules(0)} AS rule, {_rules(1)} AS ruled,
+    string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') AS segments FROM parsed),
 shapes AS (SELECT host, segments, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM rows GROUP BY ALL),
 prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0.0 END::DOUBLE AS prior FROM shapes),
 tree0 AS (
-  SELECT s.*, '' AS template, h.purity FROM shapes s JOIN (
+  SELECT s.*, '' AS template, h.purity, false AS done FROM shapes s JOIN (
     SELECT host, (sum(blocked) + {url_tree.STRENGTH}::DOUBLE * max(prior)) / (sum(labelled) + {url_tree.STRENGTH}::DOUBLE) AS purity FROM shapes, prior GROUP BY host) h USING (host)),
 {_levels()},
-own AS (SELECT host, template, sum(labelled) AS t_labelled FROM tree{url_tree.LEVELS + 1} GROUP BY ALL)
-SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN t_labelled >= {url_tree.MIN_LABELLED} AND purity >= {url_tree.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, t.template
-FROM rows r JOIN tree{url_tree.LEVELS + 1} t ON r.host = t.host AND r.segments = t.segments JOIN own o ON t.host = o.host AND t.template = o.template
+tree AS ({" UNION ALL ".join(f"SELECT * FROM tree{i} WHERE done" for i in range(1, LEVELS + 1))}),
+own AS (SELECT host, template, sum(n) AS t_n, sum(labelled) AS t_labelled FROM tree GROUP BY ALL)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN t_labelled >= {url_tree.MIN_LABELLED} AND t_labelled >= {url_tree.MIN_KNOWN}::DOUBLE * t_n
+  AND purity >= {url_tree.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, t.template
+FROM rows r JOIN tree t ON r.host = t.host AND r.segments = t.segments JOIN own o ON t.host = o.host AND t.template = o.template
 """
 
 ORACLES = {"op1_line_dedup": LINE_DEDUP, "op5_exact_dedup": EXACT_DEDUP, "op6_mixing": MIXING, "op9_url_filter": URL_FILTER}
