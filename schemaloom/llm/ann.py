@@ -1,12 +1,16 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
-The coarse centroids and the codebooks are fitted on the driver, on a sample of at most SAMPLE
-vectors; the number of lists follows the square root of the number of vectors, and the number of
-lists that a query probes is the smallest that finds RECALL of the true neighbours within the
-sample. Every vector is indexed: its list, and its residual's code. Lists are cut into shards of
-about SHARD vectors by a hash of the id and their queries into blocks of BLOCK, so neither a hot list
-nor a hot query group meets in one task. In each shard, distance tables rank the codes, and the best
-SHORTLIST a query are ranked again by exact distance on the original vectors.
+The coarse centroids and the codebooks are fitted on the driver, on a bounded sample; the number of lists
+follows the square root of the number of vectors, and the number of lists that a query probes is the
+smallest that finds RECALL of the true neighbours within the sample. Every vector is indexed: its list,
+and its residual's code. Lists are cut into shards of about SHARD codes by a hash of the id and their
+queries into blocks of BLOCK, so neither a hot list nor a hot query group meets in one task; what meets
+is ids and codes of a few bytes, no vectors but the queries'. In each shard, distance tables rank the
+codes, and the best SHORTLIST a query go on; of those of all its lists the best RERANK meet the original
+vectors and are ranked by exact distance.
+
+Of rows with the very same vector only the k + 1 of smallest id can be among anyone's k nearest, so those
+are the candidates, picked before the shuffle; a vector that a third of all rows share costs k + 1 rows.
 """
 
 from __future__ import annotations
@@ -16,10 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
-SAMPLE, PARTS, CODES, ROUNDS, SEED = 20_000, 16, 256, 8, 11
-SHARD, BLOCK, SHORTLIST, RECALL = 4096, 1024, 100, 0.97
+#: Vectors that the index is fitted on: SAMPLE, or SAMPLE_PER_LIST for each of at most MAX_LISTS lists.
+SAMPLE, SAMPLE_PER_LIST, MAX_LISTS, PARTS, CODES, ROUNDS, SEED = 20_000, 8, 16_384, 16, 256, 8, 11
+SHARD, BLOCK, SHORTLIST, RERANK, RECALL = 8192, 1024, 100, 300, 0.97
+
+
+def n_lists(n: int) -> int:
+    return int(min(MAX_LISTS, max(1, round(n**0.5))))
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -47,7 +56,7 @@ class Index:
     def __init__(self, sample: np.ndarray, n: int, recall: float = RECALL):
         self.dim, self.width = sample.shape[1], -(-sample.shape[1] // PARTS)
         x = self.padded(sample)
-        self.centers = kmeans(x, int(min(4096, max(1, round(n**0.5)), len(x))))
+        self.centers = kmeans(x, min(n_lists(n), len(x)))
         rest = x - self.centers[nearest(x, self.centers)]
         self.books = np.stack([kmeans(rest[:, p * self.width : (p + 1) * self.width], min(CODES, len(x))) for p in range(PARTS)])
         self.probes = self.calibrated(x, recall)
@@ -83,13 +92,13 @@ class Index:
 
 
 def usable(vectors: DataFrame, column: str) -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part: those of the commonest length,
-    not zero, without null or non-finite components, and with an id."""
-    v = vectors.select("vec_id", F.col(column).cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    """vec_id, embedding (doubles), h (its hash) and length of the vectors that take part: not empty or zero, without
+    null or non-finite components, and with an id. Rows that repeat both count once. A written table."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
-    v = v.where(finite & F.exists("embedding", lambda x: x != 0))
-    common = v.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    return v.where(F.size("embedding") == common["length"]) if common else v
+    v = v.where("vec_id is not null and embedding is not null").where(finite & F.exists("embedding", lambda x: x != 0))
+    v = v.select("vec_id", "embedding", F.xxhash64("embedding").alias("h"), F.size("embedding").alias("length"))
+    return written(v.dropDuplicates(["vec_id", "h"]))
 
 
 def _stack(s: pd.Series) -> np.ndarray:
@@ -101,7 +110,7 @@ def _indexed(index: Index):
         for b in batches:
             if len(b):
                 at, codes = index.encode(_stack(b["embedding"]))
-                yield b.assign(list_id=at.astype(np.int32), code=[c.tobytes() for c in codes])
+                yield b[["vec_id", "h"]].assign(list_id=at.astype(np.int32), code=[c.tobytes() for c in codes])
 
     return run
 
@@ -111,68 +120,86 @@ def _probes(index: Index):
         for b in batches:
             if len(b):
                 lists = index.probed(_stack(b["embedding"]))
-                yield b.rename(columns={"vec_id": "query_id"}).assign(list_id=list(lists.astype(np.int32)))
+                yield b.rename(columns={"vec_id": "query_id", "h": "query_h"}).assign(list_id=list(lists.astype(np.int32)))
 
     return run
 
 
-def _searched(index: Index, k: int):
+FOUND = "query_id long, query_h long, vec_id long, h long, rough double"
+
+
+def _searched(index: Index):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            ids, codes = right["vec_id"].to_numpy(), np.frombuffer(b"".join(right["code"]), np.uint8).reshape(-1, PARTS)
-            order = np.argsort(ids, kind="stable")
-            ids, codes, x = ids[order], codes[order], _stack(right["embedding"])[order]
+            ids, hs, codes = right["vec_id"].to_numpy(), right["h"].to_numpy(), np.frombuffer(b"".join(right["code"]), np.uint8).reshape(-1, PARTS)
+            order = np.lexsort((hs, ids))
+            ids, hs, codes = ids[order], hs[order], codes[order]
             center = index.centers[left["list_id"].iloc[0]]
-            queries, q = left["query_id"].to_numpy(), _stack(left["embedding"])
+            queries, query_h, q = left["query_id"].to_numpy(), left["query_h"].to_numpy(), _stack(left["embedding"])
             for start in range(0, len(q), 64):
                 tables = index.tables(q[start : start + 64], center)
                 rough = sum(tables[:, p, :][:, codes[:, p]] for p in range(PARTS))
-                for i, row in enumerate(rough):
-                    mine = queries[start + i]
-                    short = np.argpartition(row, SHORTLIST)[: SHORTLIST + 1] if len(row) > SHORTLIST + 1 else np.arange(len(row))
-                    # All that tie with the last stay in reach; ids are ascending, so the smallest come first.
-                    short = np.flatnonzero(row <= row[short].max()) if len(short) < len(row) else short
-                    exact = np.sqrt(((x[short] - q[start + i]) ** 2).sum(axis=1))
-                    short, exact = short[ids[short] != mine], exact[ids[short] != mine]
-                    best = np.lexsort((ids[short], exact))[:k]
-                    found.append(pd.DataFrame({"query_id": mine, "vec_id": ids[short][best], "score": exact[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+                rough[queries[start : start + 64, None] == ids[None]] = np.inf  # not oneself
+                # A stable sort: of equal estimates the smallest ids stay.
+                best = np.argsort(rough, axis=1, kind="stable")[:, :SHORTLIST]
+                rows = np.repeat(np.arange(start, start + len(best)), best.shape[1])
+                best, far = best.ravel(), np.take_along_axis(rough, best, axis=1).ravel()
+                near = np.isfinite(far)
+                found.append(pd.DataFrame({"query_id": queries[rows], "query_h": query_h[rows], "vec_id": ids[best], "h": hs[best], "rough": far})[near])
+        return pd.concat(found) if found else pd.DataFrame({c.split()[0]: pd.Series(dtype="int64" if "long" in c else "float64") for c in FOUND.split(", ")})
 
     return run
 
 
-def search(vectors: DataFrame, k: int = 10, query=None, column: str = "embedding", recall: float = RECALL) -> DataFrame:
-    """The k nearest found by Euclidean distance, for every vector for which `query` (a condition; by
-    default vec_id divisible by 100) holds, among all others: query_id, rank, vec_id, score.
-
-    Ties go to the smaller vec_id. Vectors that are null, zero, of another length than the commonest, or
-    hold null or non-finite components take no part; of rows that repeat a vec_id with the same vector,
-    each is a candidate once. No usable vectors, or no queries, give no rows."""
-    spark = vectors.sparkSession
-    v = written(usable(vectors.select("vec_id", column), column).dropDuplicates(["vec_id"]))
-    n = v.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
-        return empty
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+def _search_length(rows: DataFrame, asked: DataFrame, k: int, recall: float) -> DataFrame:
+    """query_id, query_h, vec_id, score of the k nearest among vectors of one length (written tables)."""
+    n = rows.count()
+    same = Window.partitionBy("h", "embedding").orderBy("vec_id")
+    rows = written(rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy"))
+    sample = rows.orderBy(F.xxhash64("vec_id", "h"), "vec_id", "h").limit(max(SAMPLE, SAMPLE_PER_LIST * n_lists(n))).toPandas()
     index = Index(_stack(sample["embedding"]), n, recall)
-    rows = written(v.mapInPandas(_indexed(index), "vec_id long, embedding array<double>, list_id int, code binary"))
-    asked = v.where(F.col("vec_id") % 100 == 0 if query is None else query)
+    codes = written(rows.mapInPandas(_indexed(index), "vec_id long, h long, list_id int, code binary"))
     probes = written(
-        asked.mapInPandas(_probes(index), "query_id long, embedding array<double>, list_id array<int>")
-        .select("query_id", "embedding", F.explode("list_id").alias("list_id")))
-    # At most 4,096 lists: one row each.
-    lists = rows.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
+        asked.select("vec_id", "h", "embedding").mapInPandas(_probes(index), "query_id long, query_h long, embedding array<double>, list_id array<int>")
+        .select("query_id", "query_h", "embedding", F.explode("list_id").alias("list_id")))
+    # At most MAX_LISTS lists: one row each.
+    lists = codes.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
     blocks = probes.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     plan = F.broadcast(written(lists.join(blocks, "list_id")))
-    shard = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = probes.join(plan, "list_id").withColumn("block", shard("query_id", "blocks"))
-    left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("list_id", "shard", "block", "query_id", "embedding")
-    right = rows.join(plan, "list_id").withColumn("shard", shard("vec_id", "shards"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list_id", "shard", "block", "vec_id", "code", "embedding")
+    shard = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    left = probes.join(plan, "list_id").withColumn("block", shard(("query_id", "query_h"), "blocks"))
+    left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("list_id", "shard", "block", "query_id", "query_h", "embedding")
+    right = codes.join(plan, "list_id").withColumn("shard", shard(("vec_id", "h"), "shards"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list_id", "shard", "block", "vec_id", "h", "code")
     key = ["list_id", "shard", "block"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_searched(index, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_searched(index), FOUND)
+    mine = Window.partitionBy("query_id", "query_h")
+    near = written(near.withColumn("place", F.row_number().over(mine.orderBy("rough", "vec_id", "h"))).where(F.col("place") <= RERANK).select("query_id", "query_h", "vec_id", "h"))
+    near = hot_join(near, rows.select("vec_id", "h", F.col("embedding").alias("x")), ["vec_id", "h"], "query_id")
+    near = near.join(asked.select(F.col("vec_id").alias("query_id"), F.col("h").alias("query_h"), F.col("embedding").alias("q")), ["query_id", "query_h"])
+    square = F.aggregate(F.zip_with("x", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    return near.select("query_id", "query_h", "vec_id", F.sqrt(square).alias("score"))
+
+
+def search(vectors: DataFrame, k: int = 10, query=None, column: str = "embedding", recall: float = RECALL) -> DataFrame:
+    """The k nearest found by Euclidean distance, for every vector for which `query` (a condition; by
+    default vec_id divisible by 100) holds, among all others: query_id, rank, vec_id, score.
+
+    Ties go to the smaller vec_id. Vectors that are null, empty, zero, or hold null or non-finite components
+    take no part. Distances are between vectors of one length: each length is an index of its own (lengths
+    are listed on the driver). Rows that repeat a vec_id with the same vector are one row; with different
+    vectors each is a candidate and, where it is asked for, a query of its own under the same query_id; rows of
+    the query's own vec_id are never its neighbours. No usable vectors, or no queries, give no rows."""
+    found, v = None, usable(vectors, column)
+    for r in v.groupBy("length").count().orderBy("length").collect():
+        rows = v.where(F.col("length") == r["length"]).drop("length")
+        asked = rows.where(F.col("vec_id") % 100 == 0 if query is None else query)
+        if r["count"] > 1 and not asked.isEmpty():
+            one = _search_length(rows, asked, k, recall)
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_h").orderBy("score", "vec_id")
+    near = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
