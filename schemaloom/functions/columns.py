@@ -101,10 +101,9 @@ def format_bytes(n: Column) -> Column:
     return out
 
 
-def file_format_label(layers: Column, entries: Column) -> Column:
-    archive = F.array_contains(layers, "zip") | F.array_contains(layers, "tar")
-    label = layers_label(layers)
-    return F.when(archive, F.concat(label, F.lit(" · "), entries.cast("string"), F.lit(" .sql"))).otherwise(label)
+def file_format_label(label: Column, entries: Column) -> Column:
+    """A file's layers_label(), with the number of its entries if it is an archive; null without layers."""
+    return F.when(label.rlike("(^|→ )(zip|tar)$"), F.concat(label, F.lit(" · "), entries.cast("string"), F.lit(" .sql"))).otherwise(label)
 
 
 def layers_label(layers: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,7 +24,7 @@ def key_violations(df: DataFrame, key: list[str]) -> DataFrame:
 def orphans(child: DataFrame, fk: list[str], parent: DataFrame, pk: list[str]) -> DataFrame:
     """Rows whose reference (no column null) has no parent."""
     full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in fk])
-    known = parent.select(*[F.col(p).alias(f) for f, p in zip(fk, pk)]).distinct()
+    known = parent.select(*[F.col(p).alias(f) for f, p in zip(fk, pk)])
     return child.where(full).join(known, fk, "left_anti")
 
 
@@ -48,19 +48,39 @@ def observed_link_pairs(link: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs")).crossJoin(most(a, "max_b_of_a")).crossJoin(most(b, "max_a_of_b"))  # one row each
 
 
-def verify_relationship(name: str, child: DataFrame, fk: list[str], parent: DataFrame, pk: list[str], declared: str, optional: bool) -> DataFrame:
-    """One declared relationship beside what the rows show."""
-    seen = observed_cardinality(child, fk)
-    lost = orphans(child, fk, parent, pk).agg(F.count(F.lit(1)).alias("n_orphans"))
-    return seen.crossJoin(lost).select(
-        F.lit(name).alias("relationship"), F.lit(declared).alias("declared"), F.col("cardinality").alias("observed"), F.lit(optional).alias("declared_optional"),
-        F.col("optional").alias("observed_optional"), "max_children", "null_rows", "n_orphans")
-
-
-def verify_catalog(relationships: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
-    """Every declared relationship (rows of a catalog small enough to plan over) against its tables."""
-    parts = [
-        verify_relationship(r["rel_id"], tables[r["from_table"]], r["from_columns"], tables[r["to_table"]], r["to_columns"], r["cardinality"], r["optional"])
-        for r in relationships if r["from_table"] in tables and r["to_table"] in tables
-    ]
-    return reduce(DataFrame.unionByName, parts)
+VERIFIED = "relationship string, declared string, observed string, declared_optional boolean, observed_optional boolean, max_children long, null_rows long, n_orphans long"
+
+
+def verify_child(child: DataFrame, declared: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
+    """The references that one table declares (rel_id, from_columns, to_table, to_columns, cardinality, optional) beside
+    what its rows show: the table is read once, each reference's key is counted once, and only the counted keys meet
+    the parents."""
+    keys = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.array(*[F.col(c).cast("string") for c in r["from_columns"]]).alias("k")) for i, r in enumerate(declared)])
+    full = F.forall("k", lambda v: v.isNotNull())
+    counted = child.select(F.explode(keys).alias("e")).select("e.i", "e.k").withColumn("k", F.when(full, F.col("k"))).groupBy("i", "k").agg(F.count(F.lit(1)).alias("n"))
+    parents = reduce(DataFrame.unionByName, [
+        tables[r["to_table"]].select(F.lit(i).alias("i"), F.array(*[F.col(c).cast("string") for c in r["to_columns"]]).alias("k"), F.lit(True).alias("known"))
+        for i, r in enumerate(declared)])
+    met = counted.join(parents.dropDuplicates(["i", "k"]), ["i", "k"], "left")
+    null = F.col("k").isNull()
+    seen = met.groupBy("i").agg(
+        F.coalesce(F.max(F.when(~null, F.col("n"))), F.lit(0)).alias("max_children"), F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("null_rows"),
+        F.coalesce(F.sum(F.when(~null & F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("n_orphans"))
+    said = child.sparkSession.createDataFrame(
+        [(i, r["rel_id"], r["cardinality"], r["optional"]) for i, r in enumerate(declared)], "i int, relationship string, declared string, declared_optional boolean")
+    out = said.join(seen, "i", "left").fillna(0)
+    return out.select(
+        "relationship", "declared", F.when(F.col("max_children") <= 1, "one-to-one").otherwise("many-to-one").alias("observed"), "declared_optional",
+        (F.col("null_rows") > 0).alias("observed_optional"), "max_children", "null_rows", "n_orphans")
+
+
+def verify_catalog(spark: SparkSession, relationships: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
+    """Every declared relationship between tables at hand (rows of a catalog small enough to plan over) against their
+    rows, one pass over each table. No relationships give no rows."""
+    by: dict[str, list[dict]] = {}
+    for r in relationships:
+        if r["from_table"] in tables and r["to_table"] in tables:
+            by.setdefault(r["from_table"], []).append(r)
+    parts = [verify_child(tables[name], declared, tables) for name, declared in by.items()]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], VERIFIED))

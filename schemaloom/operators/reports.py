@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cardinality_sentence, key_label, markdown
+from ..functions.columns import cardinality_sentence, file_format_label, key_label, layers_label, markdown
 from ..plans.assemble import Catalog
+from ..sources.files import skipped_files
 
 
 def relationship_list(relationships: DataFrame) -> DataFrame:
@@ -151,8 +152,22 @@ def file_reports(entries: DataFrame, stats: DataFrame) -> DataFrame:
         F.max_by("encoding", "entry_idx").alias("encoding"), (F.sum("inserts") + F.sum("copy_blocks")).alias("data_skipped"))
 
 
-def first_skipped(reports: DataFrame, k: int = 3, reason: Column | None = None) -> DataFrame:
-    """The first k skipped files of each project, in file order."""
-    skipped = reports.where((reason if reason is not None else F.col("skipped")).isNotNull())
+def import_reports(files: DataFrame, entries: DataFrame, stats: DataFrame) -> DataFrame:
+    """file_reports() for every input file (project, file, file_idx, length), also those without a readable entry, with its
+    size, the layers of its last entry up to an archive (format), whether anything was decrypted, and why it was skipped."""
+    layers = F.when(F.size("layers") > 0, layers_label(F.col("layers")))
+    seen = entries.groupBy("project", "file").agg(F.max_by(layers, F.when(layers.isNotNull(), F.col("entry_idx"))).alias("format"), F.bool_or("encrypted").alias("encrypted"))
+    read = file_reports(entries.where("text is not null"), stats)
+    gone = skipped_files(entries).where("skipped").select("project", "file", F.col("reason").alias("skipped"))
+    out = files.select("project", "file", "file_idx", F.col("length").alias("size"))
+    for more in (seen, read, gone):
+        out = out.join(more, ["project", "file"], "left")
+    counts = [c for c in read.columns if c not in ("project", "file", "encoding")]
+    out = out.fillna(0, counts).fillna(False, ["encrypted"]).fillna("utf-8", ["encoding"])
+    return out.withColumn("format_label", file_format_label(F.col("format"), F.col("entries")))
+
+
+def first_skipped(skipped: DataFrame, k: int = 3) -> DataFrame:
+    """The first k files of each project that were skipped as a whole (rows of skipped_files()), in file order."""
     order = Window.partitionBy("project").orderBy("file_idx")
-    return skipped.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    return skipped.where("skipped").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

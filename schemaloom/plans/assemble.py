@@ -1,4 +1,6 @@
-"""From DDL event rows to a schema catalog: joins, windows and aggregations by project."""
+"""From DDL event rows to a schema catalog: joins, windows and aggregations by project.
+
+A project is an import: its files, tables and columns may be any number, one table's columns fit in a row."""
 
 from __future__ import annotations
 
@@ -100,20 +102,67 @@ def fold_columns(events: DataFrame) -> DataFrame:
     mine = events.where(F.col("event").isin("column", "add", "modify", "set", "comment_column"))
     mine = mine.withColumn("low", F.lower(F.coalesce("old", "name", F.lit(""))))
     folded = written(_folded(mine))
-    hard = written(folded.where("hard").select("project", "key").distinct())
+    hard = folded.where("hard").select("project", "key").distinct()
     order = Window.partitionBy("project", "key").orderBy("born")
-    easy = folded.where("born is not null").join(hard, ["project", "key"], "left_anti").withColumn("pos", F.row_number().over(order) - 1)
     names = [c.split()[0] for c in COLUMN.split(", ")]
-    if not hard.count():
-        return easy.select(*names)
+    easy = folded.where("born is not null")
+    if hard.isEmpty():
+        return easy.withColumn("pos", F.row_number().over(order) - 1).select(*names)
+    easy = easy.join(hard, ["project", "key"], "left_anti").withColumn("pos", F.row_number().over(order) - 1)
     one_by_one = mine.join(hard, ["project", "key"], "left_semi").drop("parts", "columns", "ref_parts", "ref_columns", "ord", "low").groupBy("project", "key").applyInPandas(_fold, COLUMN)
     return easy.select(*names).unionByName(one_by_one.select(*names))
 
 
-def build(statements: DataFrame) -> Catalog:
-    """The catalog of statement rows (project, file, file_idx, entry_idx, stmt_idx, kind, sql)."""
-    events = extract_ddl(statements).withColumn("ord", F.struct(*STATEMENT))
-    events = written(events)
+def keyed_tables(live: DataFrame, known: DataFrame, columns: DataFrame) -> DataFrame:
+    """The tables with their keys, comments and columns (cols, in order), one row each. A key is the last one declared,
+    else the columns flagged; its members are not null. Unique lists are those of tables and indexes, then one for each
+    unique column."""
+    at, is_ = F.struct(*STATEMENT, "item_idx"), lambda e: F.col("event") == e
+    said = known.groupBy("project", "key").agg(
+        F.max_by("columns", F.when(is_("pk") & (F.size("columns") > 0), at)).alias("declared"),
+        F.sort_array(F.collect_list(F.when(is_("unique"), F.struct(at.alias("at"), "columns")))).alias("lists"),
+        F.max_by("comment", F.when(is_("comment_table") & F.col("comment").isNotNull(), at)).alias("said"))
+    fields = ["pos", "name", "type", "nullable", "primary_key", "unique", "auto_increment", "default_value", "comment"]
+    cols = columns.groupBy("project", "key").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("cols"))
+    none = F.array().cast(cols.schema["cols"].dataType)
+    t = live.join(said, ["project", "key"], "left").join(cols, ["project", "key"], "left").withColumn("cols", F.coalesce("cols", none))
+    flagged = lambda f: F.transform(F.filter("cols", lambda c: c[f]), lambda c: c["name"])
+    lists = F.coalesce(F.transform("lists", lambda u: u["columns"]), F.array().cast("array<array<string>>"))
+    t = t.withColumn("pk", F.coalesce("declared", flagged("primary_key"))).withColumn("uniques", F.concat(lists, F.transform(flagged("unique"), lambda n: F.array(n))))
+    t = t.withColumn("low_pk", lowered(F.col("pk"))).withColumn("alone", F.transform(F.filter("uniques", lambda u: F.size(u) == 1), lambda u: F.lower(u[0])))
+    of = lambda c: F.struct(
+        c["pos"].alias("pos"), c["name"].alias("name"), c["type"].alias("type"), (c["nullable"] & ~F.array_contains("low_pk", F.lower(c["name"]))).alias("nullable"),
+        (c["primary_key"] | F.array_contains("low_pk", F.lower(c["name"]))).alias("primary_key"), (c["unique"] | F.array_contains("alone", F.lower(c["name"]))).alias("unique"),
+        c["auto_increment"].alias("auto_increment"), c["default_value"].alias("default_value"), c["comment"].alias("comment"))
+    return written(t.select(
+        "project", "key", "ord", "table_id", "name", "schema", F.col("file").alias("source"), F.coalesce("said", "comment").alias("comment"), "pk", "uniques",
+        F.transform("cols", of).alias("cols")))
+
+
+def related(fks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Relationships of the foreign keys (a written table with their resolved targets, to_key), the first of each id."""
+    child = tables.select("project", "key", F.col("ord").alias("table_ord"), "table_id", "pk", "uniques", "cols")
+    parent = tables.select("project", F.col("key").alias("to_key"), F.col("table_id").alias("to_table"), F.col("pk").alias("to_pk"), F.transform("cols", lambda c: c["name"]).alias("to_names"))
+    rel = fks.where("to_key is not null").join(child, ["project", "key"]).join(parent, ["project", "to_key"])
+    first = lambda n: F.get(F.filter("cols", lambda c: F.lower(c["name"]) == F.lower(n)), F.lit(0))
+    own = F.transform("columns", lambda n: F.struct(F.coalesce(first(n)["name"], n).alias("name"), F.coalesce(first(n)["nullable"], F.lit(True)).alias("nullable")))
+    wanted = F.when(F.size("ref_columns") > 0, F.col("ref_columns")).otherwise(F.col("to_pk"))
+    spelled = F.transform(wanted, lambda n: F.coalesce(F.get(F.filter("to_names", lambda c: F.lower(c) == F.lower(n)), F.lit(0)), n))
+    rel = rel.withColumn("own", own).withColumn("to_columns", spelled).withColumn("from_columns", F.transform("own", lambda c: c["name"]))
+    one = same_set(F.col("from_columns"), F.col("pk")) | F.exists("uniques", lambda u: same_set(F.col("from_columns"), u))
+    rel = rel.select(
+        "project", relationship_id(F.col("table_id"), F.col("from_columns"), F.col("to_table")).alias("rel_id"), F.col("fk_name").alias("name"), F.col("key").alias("from_key"),
+        F.col("table_id").alias("from_table"), "from_columns", "to_key", "to_table", "to_columns", F.when(one, "one-to-one").otherwise("many-to-one").alias("cardinality"),
+        F.exists("own", lambda c: c["nullable"]).alias("optional"), subset(F.col("from_columns"), F.col("pk")).alias("identifying"), "on_delete", "on_update",
+        (F.size("pk") >= 2).alias("wide"), "table_ord", "fk_ord")
+    by = Window.partitionBy("project", "rel_id").orderBy("table_ord", "fk_ord")
+    return written(rel.withColumn("nth", F.row_number().over(by)).where("nth = 1").drop("nth"))
+
+
+def build(statements: DataFrame, notes: DataFrame | None = None) -> Catalog:
+    """The catalog of statement rows (project, file, file_idx, entry_idx, stmt_idx, kind, sql). `notes` (project, seq,
+    message: what the import has to say, as files.import_notes() has it) lead the warnings."""
+    events = written(extract_ddl(statements).withColumn("ord", F.struct(*STATEMENT)))
     creates = events.where("event = 'create'").select("project", "file", "ord", "parts", "comment")
     creates = creates.withColumn("key", table_key(F.col("parts"))).withColumn("table_id", table_id(F.col("parts")))
     creates = creates.withColumn("name", F.element_at("parts", -1)).withColumn("schema", F.get("parts", F.size("parts") - 2))
@@ -124,85 +173,47 @@ def build(statements: DataFrame) -> Catalog:
     # Events of the live CREATE statements, and those of other statements by the table that they name.
     own = events.where("phase = 0").join(live.select("project", "ord", "key"), ["project", "ord"])
     named = resolve_table(events.where("phase = 1 and parts is not null"), keys, bare, "parts", "key")
-    known = written(own.unionByName(named.where("key is not null").select(*own.columns)))
-    columns = written(fold_columns(known))
-
-    # Keys: the last declared one, else the columns flagged; members are not null.
-    at = F.struct(*STATEMENT, "item_idx")
-    declared = known.where("event = 'pk' and size(columns) > 0").groupBy("project", "key").agg(F.max_by("columns", at).alias("declared"))
-    flagged = columns.where("primary_key").groupBy("project", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("flagged"))
-    lists = known.where("event = 'unique'").groupBy("project", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "columns"))), lambda s: s["columns"]).alias("lists"))
-    singles = columns.where("`unique`").groupBy("project", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: F.array(s["name"])).alias("singles"))
-    said = known.where("event = 'comment_table'").groupBy("project", "key").agg(F.max_by("comment", at).alias("said"))
-    tables, none = live, F.array().cast("array<string>")
-    for extra in (declared, flagged, lists, singles, said):
-        tables = tables.join(extra, ["project", "key"], "left")
-    nothing = F.array().cast("array<array<string>>")
-    tables = written(tables.select(
-        "project", "key", "ord", "table_id", "name", "schema", F.col("file").alias("source"), F.coalesce("said", "comment").alias("comment"),
-        F.coalesce("declared", "flagged", none).alias("pk"), F.concat(F.coalesce("lists", nothing), F.coalesce("singles", nothing)).alias("uniques")))
-    low = F.lower("name")
-    keyed = columns.join(tables.select("project", "key", "pk", "uniques", "table_id"), ["project", "key"])
-    in_pk = F.array_contains(lowered(F.col("pk")), low)
-    alone = F.exists("uniques", lambda u: (F.size(u) == 1) & (F.lower(F.get(u, F.lit(0))) == low))
-    columns = written(keyed.withColumn("in_pk", in_pk).select(
-        "project", "key", "table_id", "pos", "name", "type", (F.col("nullable") & ~F.col("in_pk")).alias("nullable"),
-        (F.col("primary_key") | F.col("in_pk")).alias("primary_key"), (F.col("unique") | alone).alias("unique"), "auto_increment", "default_value", "comment"))
-
-    # Foreign keys -> relationships.
-    fks = known.where("event = 'fk'").select("project", "key", *[F.col(c).alias(f"fk_{c}") for c in STATEMENT], "item_idx", "columns", "ref_parts", "ref_columns", F.col("name").alias("fk_name"), "on_delete", "on_update")
-    fks = resolve_table(fks, keys, bare, "ref_parts", "to_key")
-    spelled = columns.groupBy("project", "key").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "nullable"))).alias("cols"))
-    child = tables.join(spelled, ["project", "key"], "left").select("project", "key", F.col("ord").alias("table_ord"), "table_id", "pk", "uniques", "cols")
-    parent = child.select("project", F.col("key").alias("to_key"), F.col("table_id").alias("to_table"), F.col("pk").alias("to_pk"), F.col("cols").alias("to_cols"))
-    fks = fks.join(child, ["project", "key"])
-    fk_ord = F.struct("fk_phase", "fk_file_idx", "fk_entry_idx", "fk_stmt_idx", "item_idx")
-    fks = written(fks.withColumn("fk_ord", fk_ord))
-
-    def match(names, cols):
-        first = lambda n: F.get(F.filter(F.col(cols), lambda c: F.lower(c["name"]) == F.lower(n)), F.lit(0))
-        return F.transform(names, lambda n: F.struct(F.coalesce(first(n)["name"], n).alias("name"), F.coalesce(first(n)["nullable"], F.lit(True)).alias("nullable")))
-
-    rel = fks.join(parent, ["project", "to_key"])
-    wanted = F.when(F.size("ref_columns") > 0, F.col("ref_columns")).otherwise(F.col("to_pk"))
-    rel = rel.withColumn("own", match(F.col("columns"), "cols")).withColumn("to_columns", F.transform(match(wanted, "to_cols"), lambda c: c["name"]))
-    rel = rel.withColumn("from_columns", F.transform("own", lambda c: c["name"]))
-    one = same_set(F.col("from_columns"), F.col("pk")) | F.exists("uniques", lambda u: same_set(F.col("from_columns"), u))
-    rel = rel.withColumn("rel_id", relationship_id(F.col("table_id"), F.col("from_columns"), F.col("to_table")))
-    first = F.row_number().over(Window.partitionBy("project", "rel_id").orderBy("table_ord", "fk_ord"))
-    rel = rel.withColumn("_first", first).where("_first = 1")
-    rel = written(rel.select(
-        "project", "rel_id", F.col("fk_name").alias("name"), F.col("key").alias("from_key"), F.col("table_id").alias("from_table"), "from_columns", "to_key", "to_table", "to_columns",
-        F.when(one, "one-to-one").otherwise("many-to-one").alias("cardinality"), F.exists("own", lambda c: c["nullable"]).alias("optional"),
-        subset(F.col("from_columns"), F.col("pk")).alias("identifying"), "on_delete", "on_update", "pk", "table_ord", "fk_ord"))
+    known = written(own.unionByName(named.select(*own.columns)))
+    ignored = known.where("key is null")
+    known = known.where("key is not null")
+    tables = keyed_tables(live, known, fold_columns(known))
+    columns = tables.select("project", "key", "table_id", F.explode("cols").alias("c")).select("project", "key", "table_id", "c.*")
+
+    fks = known.where("event = 'fk'").select(
+        "project", "key", F.struct(*[F.col(c).alias(f"fk_{c}") for c in STATEMENT], "item_idx").alias("fk_ord"), "columns", "ref_parts", "ref_columns", F.col("name").alias("fk_name"), "on_delete", "on_update")
+    fks = written(resolve_table(fks, keys, bare, "ref_parts", "to_key"))
+    rel = related(fks, tables)
 
     # Link tables: a key of two or more columns whose parts reference exactly two other tables.
-    inside = rel.where((F.size("pk") >= 2) & (F.col("from_key") != F.col("to_key")) & F.col("identifying"))
+    inside = rel.where((F.col("from_key") != F.col("to_key")) & F.col("identifying") & F.col("wide"))
     ends = inside.groupBy("project", "from_key", "from_table", "to_table").agg(F.min(F.struct("table_ord", "fk_ord")).alias("o"))
     ends = ends.groupBy("project", "from_key", "from_table").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "to_table"))), lambda s: s["to_table"]).alias("ends"))
     links = ends.where("size(ends) = 2")
     many = links.select("project", F.col("from_table").alias("via"), F.get("ends", F.lit(0)).alias("a"), F.get("ends", F.lit(1)).alias("b"))
     junction = links.select("project", F.col("from_key").alias("key"), F.lit(True).alias("is_junction"))
-    counts = columns.groupBy("project", "key").agg(F.count(F.lit(1)).alias("n_columns"))
-    tables = tables.join(junction, ["project", "key"], "left").join(counts, ["project", "key"], "left")
-    tables = tables.withColumns({"is_junction": F.coalesce("is_junction", F.lit(False)), "n_columns": F.coalesce("n_columns", F.lit(0))}).withColumnRenamed("pk", "primary_key")
-
-    return Catalog(tables, columns, rel.drop("pk"), many, warnings(events, definitions, named, fks))
+    shown = tables.withColumn("n_columns", F.size("cols").cast("long")).drop("cols").join(junction, ["project", "key"], "left")
+    shown = shown.withColumn("is_junction", F.coalesce("is_junction", F.lit(False))).withColumnRenamed("pk", "primary_key")
+    lost = fks.where("to_key is null").join(tables.select("project", "key", "table_id", F.col("ord").alias("table_ord")), ["project", "key"])
+    said = warnings(events, definitions, ignored, lost)
+    if notes is not None:
+        said = said.unionByName(notes.select("project", F.lit(0).alias("rank"), F.lpad(F.col("seq").cast("string"), 12, "0").alias("at"), "message"))
+    return Catalog(shown, columns, rel.drop("wide"), many, said)
 
 
-def warnings(events: DataFrame, definitions: DataFrame, named: DataFrame, fks: DataFrame) -> DataFrame:
+def warnings(events: DataFrame, definitions: DataFrame, ignored: DataFrame, lost: DataFrame) -> DataFrame:
     """project, rank, at, message: statement warnings in order, then unknown references by table."""
     two = F.when(F.col("before.file") != F.col("file"), F.concat(F.lit(" ("), F.col("before.file"), F.lit(" and "), F.col("file"), F.lit(")"))).otherwise("")
-    place = lambda *c: F.concat_ws("/", *[F.lpad(F.col(x).cast("string"), 9, "0") for x in c])
+    place = lambda *c: F.concat_ws("/", *[F.lpad(F.col(x).cast("string"), 12, "0") for x in c])
     of = lambda s: place(*[f"{s}.{c}" for c in STATEMENT])
     twice = definitions.where("before is not null").select(
         "project", F.lit(1).alias("rank"), of("ord").alias("at"),
         F.concat(F.lit('Table "'), "table_id", F.lit('" is defined more than once'), two, F.lit("; the last definition is used.")).alias("message"))
     unread = events.where("event = 'warning'").select("project", F.lit(1).alias("rank"), of("ord").alias("at"), "message")
     joined = F.array_join("parts", ".")
-    ignored = named.where("event = 'alter' and key is null").select(
+    ignored = ignored.where("event = 'alter'").select(
         "project", F.lit(1).alias("rank"), of("ord").alias("at"), F.concat(F.lit('ALTER TABLE on unknown table "'), joined, F.lit('" was ignored.')).alias("message"))
-    orphan = fks.where("to_key is null").select(
-        "project", F.lit(2).alias("rank"), F.concat_ws("/", of("table_ord"), place("fk_phase", "fk_file_idx", "fk_entry_idx", "fk_stmt_idx", "item_idx")).alias("at"),
+    fk_at = place(*[f"fk_ord.fk_{c}" for c in STATEMENT], "fk_ord.item_idx")
+    orphan = lost.select(
+        "project", F.lit(2).alias("rank"), F.concat_ws("/", of("table_ord"), fk_at).alias("at"),
         F.concat("table_id", F.lit(': foreign key references unknown table "'), F.array_join("ref_parts", "."), F.lit('".')).alias("message"))
     return twice.unionByName(unread).unionByName(ignored).unionByName(orphan)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 
+def _zero():
+    return F.lit(0).cast("long")
+
+
 def tree(documents: DataFrame) -> DataFrame:
     """One CREATE TABLE a document: table k = doc_id mod 250 of project doc_id div 250 references the tables
     k div 2 (column a_id) and k - 1 (b_id); see the oracles for the variants by k."""
@@ -25,8 +29,8 @@ def tree(documents: DataFrame) -> DataFrame:
     once = F.array(F.struct(F.lit(0).alias("n"), F.concat(body, F.lit(")")).alias("sql")))
     rows = documents.select(F.concat(F.lit("p"), text(F.floor(i / 250))).alias("project"), k.alias("k"), F.explode(F.concat(once, F.coalesce(again, F.array().cast("array<struct<n:int,sql:string>>")))).alias("s"))
     return rows.select(
-        "project", F.concat(F.lit("f"), text(F.col("k") % 4 + F.col("s.n"))).alias("file"), F.lit(0).alias("file_idx"), F.lit(0).alias("entry_idx"),
-        (F.col("k") * 2 + F.col("s.n")).cast("int").alias("stmt_idx"), F.lit("create_table").alias("kind"), F.col("s.sql").alias("sql"))
+        "project", F.concat(F.lit("f"), text(F.col("k") % 4 + F.col("s.n"))).alias("file"), _zero().alias("file_idx"), _zero().alias("entry_idx"),
+        (F.col("k") * 2 + F.col("s.n")).cast("long").alias("stmt_idx"), F.lit("create_table").alias("kind"), F.col("s.sql").alias("sql"))
 
 
 #: Bytes of INSERTs that one row of dumps() holds, about.
@@ -53,7 +57,7 @@ def dumps(documents: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform(ordered(F.struct("doc_id", literal.alias("line"))), lambda s: s["line"]), "")
     parts = docs.groupBy("file", "n_parts", "part").agg(
         lines.alias("lines"), F.array_join(ordered(F.col("doc_id").cast("string")), "\t;'\n").alias("ids"), F.min("doc_id").alias("least"), F.first("first_id").alias("first_id"))
-    one = lambda idx, start, text: F.struct(idx.cast("int").alias("entry_idx"), F.lit(start).cast("string").alias("start"), text.alias("text"))
+    one = lambda idx, start, text: F.struct(idx.cast("long").alias("entry_idx"), F.lit(start).cast("string").alias("start"), text.alias("text"))
     n, k = F.col("n_parts"), F.col("part")
     # The ids of all parts but the first id's begin with the end of the line before them.
     ids = F.when(F.col("least") == F.col("first_id"), F.col("ids")).when(F.col("least").isNotNull(), F.concat(F.lit("\t;'\n"), F.col("ids"))).otherwise("")
@@ -61,7 +65,7 @@ def dumps(documents: DataFrame) -> DataFrame:
     cut = F.array(one(k + 1, "literal", F.col("lines")), one(n + 2 + k, "copy", ids))
     rows = parts.select("file", F.explode(F.when(n == 1, whole).otherwise(cut)).alias("e"))
     ends = sizes.where("n_parts > 1").select("file", F.explode(F.array(one(F.lit(0), None, head), one(n + 1, "literal", copy), one(2 * n + 2, "copy", tail))).alias("e"))
-    return rows.unionByName(ends).select(F.lit("dump").alias("project"), "file", F.lit(0).alias("file_idx"), "e.entry_idx", "e.text", F.lit("utf-8").alias("encoding"),
+    return rows.unionByName(ends).select(F.lit("dump").alias("project"), "file", _zero().alias("file_idx"), "e.entry_idx", "e.text", F.lit("utf-8").alias("encoding"),
                                          F.octet_length("e.text").cast("long").alias("text_bytes"), "e.start")
 
 
@@ -77,9 +81,9 @@ def migrations(events: DataFrame) -> DataFrame:
     turn = F.col("event_id") % 3
     project = F.concat(F.lit("m"), (F.col("user_id") % 8).cast("string"))
     alter = events.select(
-        project.alias("project"), F.lit("events").alias("file"), (at / 1_000_000).cast("int").alias("file_idx"), (at % 1_000_000).cast("int").alias("entry_idx"), F.col("event_id").cast("int").alias("stmt_idx"),
+        project.alias("project"), F.lit("events").alias("file"), F.floor(at / 1_000_000).alias("file_idx"), (at % 1_000_000).alias("entry_idx"), F.col("event_id").cast("long").alias("stmt_idx"),
         F.when(turn == 2, "comment_on").otherwise("alter_table").alias("kind"), F.when(turn == 0, add).when(turn == 1, modify).otherwise(comment).alias("sql"))
     create = events.select("user_id").distinct().select(
-        project.alias("project"), F.lit("users").alias("file"), F.lit(0).alias("file_idx"), F.lit(0).alias("entry_idx"), F.col("user_id").cast("int").alias("stmt_idx"), F.lit("create_table").alias("kind"),
+        project.alias("project"), F.lit("users").alias("file"), _zero().alias("file_idx"), _zero().alias("entry_idx"), F.col("user_id").cast("long").alias("stmt_idx"), F.lit("create_table").alias("kind"),
         F.concat(F.lit("CREATE TABLE u"), user, F.lit(" (id int PRIMARY KEY)")).alias("sql"))
     return create.unionByName(alter)

@@ -18,11 +18,20 @@ _built: dict = {}
 
 
 def tree_catalog(spark: SparkSession, sf_dir: str) -> assemble.Catalog:
-    """The catalog of the tree corpus; its tables are written, so queries of one session and folder share them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The catalog of the tree corpus; its tables are written, so queries of one session share them while the ids that
+    the corpus is made of stay the same and the tables can still be read."""
+    ids = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id")
+    stamp = tuple(ids.agg(F.count("doc_id"), F.bit_xor(F.xxhash64("doc_id")), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))).first())
+    key = (spark.sparkContext.applicationId, sf_dir, stamp)
+    if key in _built:
+        try:
+            for df in (_built[key].tables, _built[key].relationships):
+                df.isEmpty()
+        except Exception:  # cleared by the owner of the folder
+            del _built[key]
     if key not in _built:
         _built.clear()
-        _built[key] = assemble.build(corpora.tree(table(spark, sf_dir, "documents").where("doc_id is not null")))
+        _built[key] = assemble.build(corpora.tree(ids))
     return _built[key]
 
 
@@ -165,7 +174,7 @@ def check_star_schema(spark, sf_dir):
     ddl = spark.createDataFrame(star_ddl(), "sql string, source string, n int")
     catalog = assemble.build(st.read_statements(ddl, order="n"))
     declared = [r.asDict() for r in catalog.relationships.collect()]  # the seven references of the declaration above
-    return checks.verify_catalog(declared, {name: table(spark, sf_dir, name) for name, *_ in STAR})
+    return checks.verify_catalog(spark, declared, {name: table(spark, sf_dir, name) for name, *_ in STAR})
 
 
 QUERIES = {f.__name__: f for f in (

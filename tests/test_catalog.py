@@ -14,16 +14,17 @@ from schemaloom.plans import assemble
 from schemaloom.sources import ddl, files
 from schemaloom.sources.statements import Script, classify_statement, read_statements, retained_ddl, split_statements
 
-SHOP = """
-CREATE TABLE users (id BIGSERIAL PRIMARY KEY, email VARCHAR(255) NOT NULL UNIQUE, made TIMESTAMP WITH TIME ZONE NOT NULL DEFAULT now());
-COMMENT ON TABLE users IS 'People; who buy';
-CREATE TABLE profiles (user_id BIGINT PRIMARY KEY REFERENCES users(id) ON DELETE CASCADE, bio TEXT);
-CREATE TABLE categories (id SERIAL PRIMARY KEY, parent_id INT REFERENCES categories(id), slug TEXT NOT NULL UNIQUE);
-CREATE TABLE products (id BIGSERIAL PRIMARY KEY, sku TEXT NOT NULL, price NUMERIC(10, 2) NOT NULL);
-CREATE TABLE product_categories (product_id BIGINT NOT NULL REFERENCES products, category_id INT NOT NULL REFERENCES categories, PRIMARY KEY (product_id, category_id));
-CREATE TABLE payments (id BIGSERIAL PRIMARY KEY, user_id BIGINT NOT NULL UNIQUE);
-CREATE UNIQUE INDEX sku_once ON products (sku);
-ALTER TABLE payments ADD CONSTRAINT fk_pay FOREIGN KEY (user_id) REFERENCES users (id), ADD COLUMN note text COMMENT 'it''s';
+LIBRARY = """
+CREATE TABLE members (id BIGSERIAL PRIMARY KEY, card VARCHAR(20) NOT NULL UNIQUE, joined TIMESTAMP WITH TIME ZONE NOT NULL DEFAULT now());
+COMMENT ON TABLE members IS 'Readers; who borrow';
+CREATE TABLE badges (member_id BIGINT PRIMARY KEY REFERENCES members(id) ON DELETE CASCADE, photo TEXT);
+CREATE TABLE shelves (id SERIAL PRIMARY KEY, inside INT REFERENCES shelves(id), label TEXT NOT NULL UNIQUE);
+CREATE TABLE books (id BIGSERIAL PRIMARY KEY, isbn TEXT NOT NULL, worth NUMERIC(10, 2) NOT NULL);
+CREATE TABLE shelved (book_id BIGINT NOT NULL REFERENCES books, shelf_id INT NOT NULL REFERENCES shelves, PRIMARY KEY (book_id, shelf_id));
+CREATE TABLE deposits (id BIGSERIAL PRIMARY KEY, member_id BIGINT NOT NULL UNIQUE);
+CREATE UNIQUE INDEX isbn_once ON ONLY books (isbn);
+ALTER TABLE deposits ADD CONSTRAINT fk_dep FOREIGN KEY (member_id) REFERENCES members (id), ADD COLUMN note text COMMENT 'it''s';
+COMMENT ON TABLE members IS NULL;
 ALTER TABLE gone ADD COLUMN x int;
 """
 
@@ -41,30 +42,28 @@ def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=repr)
 
 
-def test_shop(spark):
-    c = build(spark, SHOP)
+def test_library(spark):
+    c = build(spark, LIBRARY)
     got = {r.rel_id: r for r in c.relationships.collect()}
-    assert set(got) == {
-        "profiles(user_id)->users", "categories(parent_id)->categories", "product_categories(product_id)->products",
-        "product_categories(category_id)->categories", "payments(user_id)->users"}
-    one = got["profiles(user_id)->users"]
+    assert set(got) == {"badges(member_id)->members", "shelves(inside)->shelves", "shelved(book_id)->books", "shelved(shelf_id)->shelves", "deposits(member_id)->members"}
+    one = got["badges(member_id)->members"]
     assert (one.cardinality, one.optional, one.identifying, one.on_delete) == ("one-to-one", False, True, "CASCADE")
-    pay = got["payments(user_id)->users"]
-    assert (pay.cardinality, pay.identifying, pay.name) == ("one-to-one", False, "fk_pay")
-    assert got["categories(parent_id)->categories"].optional
-    assert rows(c.many_to_many, "via", "a", "b") == [("product_categories", "products", "categories")]
+    dep = got["deposits(member_id)->members"]
+    assert (dep.cardinality, dep.identifying, dep.name) == ("one-to-one", False, "fk_dep")
+    assert got["shelves(inside)->shelves"].optional
+    assert rows(c.many_to_many, "via", "a", "b") == [("shelved", "books", "shelves")]
     assert rows(c.warnings, "message") == [('ALTER TABLE on unknown table "gone" was ignored.',)]
     cols = {(r.table_id, r.name): r for r in c.columns.collect()}
-    assert cols["products", "price"].type == "NUMERIC(10, 2)" and cols["products", "sku"].unique
-    assert cols["users", "made"].type == "TIMESTAMP WITH TIME ZONE" and cols["users", "made"].default_value == "now()"
-    assert cols["users", "id"].auto_increment and not cols["users", "id"].nullable
-    assert cols["payments", "note"].comment == "it's"
-    assert {r.table_id: r.comment for r in c.tables.collect()}["users"] == "People; who buy"
+    assert cols["books", "worth"].type == "NUMERIC(10, 2)" and cols["books", "isbn"].unique
+    assert cols["members", "joined"].type == "TIMESTAMP WITH TIME ZONE" and cols["members", "joined"].default_value == "now()"
+    assert cols["members", "id"].auto_increment and not cols["members", "id"].nullable
+    assert cols["deposits", "note"].comment == "it's"
+    assert {r.table_id: r.comment for r in c.tables.collect()}["members"] == "Readers; who borrow"
     roles = dict(rows(reports.connectivity(c.tables, c.relationships), "table_id", "role"))
-    assert roles["product_categories"] == "Link table" and roles["users"] == "Root / lookup" and roles["profiles"] == "Leaf"
+    assert roles["shelved"] == "Link table" and roles["members"] == "Root / lookup" and roles["badges"] == "Leaf"
     er = render.document(c, "er").first().text
-    assert er.startswith("erDiagram\n  users {\n    BIGSERIAL id PK\n") and '  profiles |o--|| users : "user_id"' in er
-    assert "## products\n\n_Source: f0.sql_\n\n| Column |" in render.document(c, "dictionary").first().text
+    assert er.startswith("erDiagram\n  members {\n    BIGSERIAL id PK\n") and '  badges |o--|| members : "member_id"' in er
+    assert "## books\n\n_Source: f0.sql_\n\n| Column |" in render.document(c, "dictionary").first().text
 
 
 def test_order_of_files_does_not_matter_and_ddl_reads_back(spark):
@@ -112,17 +111,18 @@ def test_splitting_is_linear():
 
 
 def test_partitions_do_not_matter(spark):
-    e = entries(spark, SHOP, "CREATE TABLE x (y int);" * 3, "")
+    e = entries(spark, LIBRARY, "CREATE TABLE x (y int);" * 3, "")
     want = rows(split_statements(e), "file", "stmt_idx", "sql")
     for n in (1, 2, 7):
         assert rows(split_statements(e.repartition(n)), "file", "stmt_idx", "sql") == want
 
 
 def test_ddl_helpers():
-    assert ddl.split_top_level("a, (b, c), 'd, e', \"f,g\"") == ["a", "(b, c)", "'d, e'", '"f,g"']
+    cut = lambda s: [" ".join(t.text for t in item) for item in ddl.tokens(s)]
+    assert cut("a, (b, c), 'd, e', \"f,g\"") == ["a", "(b, c)", "'d, e'", '"f,g"']
     assert ddl.ident_parts('[dbo]."x""y".`z`') == ["dbo", 'x"y', "z"]
-    assert [e["event"] for e in ddl.events_of("CREATE TABLE a AS SELECT 1")] == ["warning"]
-    assert ddl.events_of("CREATE TABLE a (n text DEFAULT 'n/a'::text, m [int] IDENTITY(1,1))")[1]["default_value"] == "'n/a'::text"
+    assert [e["event"] for e in ddl.events_of("CREATE TABLE a AS SELECT 1", "create_table")] == ["warning"]
+    assert ddl.events_of("CREATE TABLE a (n text DEFAULT 'n/a'::text, m [int] IDENTITY(1,1))", "create_table")[1]["default_value"] == "'n/a'::text"
 
 
 def test_diagram_ids_collide(spark):
@@ -155,14 +155,22 @@ def test_containers(spark, tmp_path):
 
 
 def test_streaming_rebuild(spark, tmp_path):
-    from schemaloom.streaming.ingest import stream_sql_files
+    from schemaloom.streaming.ingest import read_catalog, stream_sql_files
 
     (tmp_path / "in" / "p").mkdir(parents=True)
     args = (f"{tmp_path}/in/p", f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/ck")
-    for name, text in (("1.sql", "ALTER TABLE b ADD FOREIGN KEY (x) REFERENCES a (x); CREATE TABLE b (x int);"), ("2.sql", "CREATE TABLE a (x int PRIMARY KEY);")):
+    steps = [
+        ("2.sql", "ALTER TABLE b ADD FOREIGN KEY (x) REFERENCES a (x); CREATE TABLE b (x int);", 0, [("b", "x")]),
+        ("3.sql", "CREATE TABLE a (x int PRIMARY KEY);", 1, [("a", "x"), ("b", "x")]),
+        ("1.sql", "CREATE TABLE b (x int, gone int);", 1, [("a", "x"), ("b", "x")])]  # 2.sql defines b after it, though it came first
+    for name, text, n_links, columns in steps:
         (tmp_path / "in" / "p" / name).write_text(text)
         stream_sql_files(spark, *args).awaitTermination()
-    assert [r.rel_id for r in spark.read.parquet(f"{tmp_path}/out/relationships").collect()] == ["b(x)->a"]
+        c = read_catalog(spark, args[2])
+        said = [r.message for r in c.warnings.collect()]
+        assert c.relationships.count() == n_links and rows(c.columns, "table_id", "name") == columns
+        assert any("unknown table" in m for m in said) == (n_links == 0), "what was wrong before is not said again"
+    assert [r.rel_id for r in c.relationships.collect()] == ["b(x)->a"] and any("1.sql and 2.sql" in m for m in said)
 
 
 def test_checks(spark):
@@ -173,6 +181,97 @@ def test_checks(spark):
     assert rows(checks.observed_cardinality(child, ["fk"]), "max_children", "null_rows", "cardinality", "optional") == [(2, 1, "many-to-one", True)]
 
 
+def test_verified_catalogs(spark):
+    child = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, None, 3), (3, 9, 3)], "id int, fk int, own int")
+    parent = spark.createDataFrame([(1,), (2,)], "id bigint")
+    assert checks.verify_catalog(spark, [], {}).count() == 0
+    declared = [dict(rel_id=f"c({f})->p", from_table="c", from_columns=[f], to_table="p", to_columns=["id"], cardinality="many-to-one", optional=False) for f in ("fk", "own")]
+    got = checks.verify_catalog(spark, [*declared, {**declared[0], "to_table": "elsewhere"}], {"c": child, "p": parent})
+    assert rows(got, "relationship", "observed", "observed_optional", "max_children", "null_rows", "n_orphans") == [
+        ("c(fk)->p", "many-to-one", True, 2, 1, 1), ("c(own)->p", "many-to-one", False, 2, 0, 2)]
+    assert checks.verify_catalog(spark, declared, {"c": child.limit(0), "p": parent}).count() == 2
+
+
+def test_bare_names(spark):
+    """Without its schema a name means the first table that has it, or the latest redefinition."""
+    fk = "CREATE TABLE r (x int REFERENCES t (id));"
+    first = build(spark, "CREATE TABLE a.t (id int); CREATE TABLE b.t (id int);" + fk)
+    assert rows(first.relationships, "to_table") == [("a.t",)]
+    again = build(spark, "CREATE TABLE a.t (id int); CREATE TABLE b.t (id int); CREATE TABLE b.t (id int, z int);" + fk)
+    assert rows(again.relationships, "to_table") == [("b.t",)]
+    own = build(spark, "CREATE TABLE a.t (id int); CREATE TABLE public.t (id int); CREATE TABLE a.t (id int);" + fk)
+    assert rows(own.relationships, "to_table") == [("t",)]
+
+
+def test_details_of_a_table(spark):
+    c = build(spark, LIBRARY)
+    got = reports.table_details(c, "SHELVES")
+    assert rows(got["columns"], "name") == [("id",), ("inside",), ("label",)]
+    assert rows(got["outgoing"], "rel_id") == [("shelves(inside)->shelves",)] and rows(got["incoming"], "rel_id") == [("shelved(shelf_id)->shelves",)]
+    assert rows(reports.find_table(c.tables, "Shelves"), "table_id") == [("shelves",)] and reports.related_edges(c.relationships, "shelves").count() == 2
+    assert rows(reports.isolated_count(c.tables, c.relationships), "isolated") == [(0,)]
+
+
+def test_imports_are_reported(spark, tmp_path):
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.sql", "CREATE TABLE a (x int);INSERT INTO a VALUES (1);")
+        f.writestr("b.bin.sql", b"\0\1\2")
+    for project, made in (("p", {"1.zip": z.getvalue(), "2.sql": b"\0\1", "3.7z": b"7z\xbc\xaf\x27\x1c00", "4.sql": b"BZh is no archive; CREATE TABLE q (x int);"}), ("q", {"x.sql": b"\0"})):
+        (tmp_path / "in" / project).mkdir(parents=True)
+        for name, raw in made.items():
+            (tmp_path / "in" / project / name).write_bytes(raw)
+    found = files.read_sql_files(spark, [f"{tmp_path}/in/p", f"{tmp_path}/in/q"]).cache()
+    e = files.readable_entries(files.expand_entries(found)).cache()
+    skipped = files.skipped_files(e).cache()
+    assert rows(skipped.where("skipped"), "file", "file_idx") == [("2.sql", 1), ("3.7z", 2), ("x.sql", 0)]
+    assert rows(files.all_skipped(found, skipped), "project", "all_skipped") == [("p", False), ("q", True)]
+    assert rows(reports.first_skipped(skipped, 1), "file") == [("2.sql",), ("x.sql",)]
+    from schemaloom.sources.statements import scan_stats
+
+    read = {r.file: r for r in reports.import_reports(found, e, scan_stats(e.where("text is not null"))).collect()}
+    assert (read["1.zip"].format_label, read["1.zip"].tables, read["1.zip"].inserts, read["1.zip"].entries) == ("zip · 1 .sql", 1, 1, 1)
+    assert (read["2.sql"].skipped, read["2.sql"].entries, read["4.sql"].entries, read["4.sql"].format_label, read["4.sql"].skipped) == ("it is not a text file", 0, 1, None, None)
+    c = assemble.build(split_statements(e.where("text is not null")), files.import_notes(e))
+    said = [r.message for r in c.warnings.where("project = 'p'").orderBy("rank", "at").collect()]
+    assert said[:2] == ['Skipped "1.zip/b.bin.sql": it is not a text file.', 'Skipped "2.sql": it is not a text file.'] and said[2].startswith('Skipped "3.7z": 7-Zip')
+    kept = retained_ddl(split_statements(e.where("text is not null")))
+    assert rows(files.persistable(e, kept), "project") == [("p",), ("q",)] and rows(files.persistable(e, kept, 5), "project") == [("q",)]
+    assert rows(files.sensitive_flag(e), "sensitive") == [(False,), (False,)]
+    known = found.where("file <> '4.sql'")
+    assert rows(files.new_files(found, known), "file") == [("4.sql",)]
+    text = files.read_plain_dumps(spark, f"{tmp_path}/in/p/4.sql")
+    assert rows(split_statements(text), "file", "kind") == [("4.sql", "create_table")]
+
+
+def test_statements_are_replaced_and_removed(spark):
+    s = split_statements(entries(spark, "CREATE TABLE a (x int);", "CREATE TABLE b (x int);"))
+    assert rows(files.remove_file(s, "p", "f0.sql"), "file") == [("f1.sql",)]
+    other = split_statements(entries(spark, "CREATE TABLE c (x int);").withColumn("file", F.lit("new.sql")))
+    assert rows(files.replace_files(s, other), "file") == [("new.sql",)] and files.replace_files(s, other.withColumn("project", F.lit("q"))).count() == 3
+
+
+def test_catalogs_are_written(spark, tmp_path):
+    c = build(spark, LIBRARY)
+    files.write_catalog(c, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/relationships").count() == 5
+    for kind in render.DOCUMENTS:
+        render.write_document(c, kind, f"{tmp_path}/{kind}")
+        assert "\n".join(r.value for r in spark.read.text(f"{tmp_path}/{kind}/project=p", wholetext=True).collect()).rstrip("\n") == render.document(c, kind).first().text.rstrip("\n")
+
+
+def test_scalar_helpers(spark):
+    from schemaloom.functions import columns as f
+
+    row = lambda c: spark.range(1).select(c).first()[0]
+    assert [row(f.format_bytes(F.lit(n))) for n in (12, 2048, 50 * 1024, 3 * 1024**3)] == ["12 B", "2.0 KB", "50 KB", "3.0 GB"]
+    assert row(f.layers_label(F.array(F.lit("gzip"), F.lit("tar"), F.lit("gzip")))) == "gzip → tar"
+    assert row(f.unquote_string(F.lit("'it''s \\\\ x'"))) == "it's \\ x" and row(f.normalise_type(F.lit("[int]  unsigned"))) == "int unsigned"
+    assert row(f.is_auto_increment(F.lit("bigserial"), F.lit(None).cast("string"))) and not row(f.is_auto_increment(F.lit("int"), F.lit("1")))
+    assert [row(files.wanted_entry(F.lit(n))) for n in ("a/b.sql", "b.SQL.gz", "x.tgz", ".a.sql", "__MACOSX/a.sql", "a.txt")] == [True, True, True, False, False, False]
+    assert [row(files.detect_format(F.lit(b))) for b in (b"BZh9", b"BZh is", b"\x1f\x8b", b"PK\3\4", b"x" * 257 + b"ustar")] == ["bzip2", "text", "gzip", "zip", "tar"]
+
+
 def test_classify(spark):
     df = read_statements(spark.createDataFrame([("create  table x (a int)", "s"), ("select 1", "s"), ("ALTER TABLE x ADD y int", "s")], "sql string, source string"))
     assert rows(df, "kind") == [("alter_table",), ("create_table",)]
@@ -240,4 +339,4 @@ def test_entries_cut_at_the_limit_say_so(spark, monkeypatch):
     got = [(name, note) for _, _, _, _, name, _, _, _, note in out if note and note.startswith("stopped")]
     assert got == [(f"{i}1.sql", files.TOO_LONG) for i in range(4)] + [("t.tar/x.sql", files.TOO_LONG)]
     found = files.readable_entries(spark.createDataFrame([(*o[:5], list(o[5]), *o[6:]) for o in out], files.ENTRY))
-    assert rows(files.skipped_files(found), "file", "skipped", "reason") == [(n, False, files.TOO_LONG) for n in ("01.sql", "11.sql", "21.sql", "31.sql", "t.tar")]
+    assert rows(files.skipped_files(found), "file", "skipped", "reason") == [(n, False, files.TOO_LONG.removeprefix("stopped partway: ")) for n in ("01.sql", "11.sql", "21.sql", "31.sql", "t.tar")]
