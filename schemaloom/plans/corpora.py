@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import io
+import lzma
+import tarfile
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +95,66 @@ def migrations(events: DataFrame) -> DataFrame:
         project.alias("project"), F.lit("users").alias("file"), _zero().alias("file_idx"), _zero().alias("entry_idx"), F.col("user_id").cast("long").alias("stmt_idx"), F.lit("create_table").alias("kind"),
         F.concat(F.lit("CREATE TABLE u"), user, F.lit(" (id int PRIMARY KEY)")).alias("sql"))
     return create.unionByName(alter)
+
+
+#: What archives() packs a document's script in, by doc_id mod 8: file name, and layers as expand_entries() names them.
+PACKED = ("d.sql", "d.sql.gz", "d.sql.bz2", "d.sql.xz", "d.zip", "d.tgz", "d.bin.sql", "d.7z")
+
+
+def _packed(batches):
+    """doc_id, script -> content, packed by doc_id mod 8."""
+    for b in batches:
+        ids, out = b.column("doc_id").to_pylist(), []
+        for i, script in zip(ids, b.column("script").to_pylist()):
+            raw, kind = script.encode(), i % len(PACKED)
+            if kind == 4:
+                made = io.BytesIO()
+                with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("in/a.sql.gz", gzip.compress(raw, mtime=0))
+                    z.writestr("in/b.sql", raw)
+                    z.writestr("README.md", "no SQL")
+                raw = made.getvalue()
+            elif kind == 5:
+                made = io.BytesIO()
+                with tarfile.open(fileobj=made, mode="w:gz") as t:
+                    info = tarfile.TarInfo("in/a.sql")
+                    info.size = len(raw)
+                    t.addfile(info, io.BytesIO(raw))
+                raw = made.getvalue()
+            out.append({0: lambda: raw, 1: lambda: gzip.compress(raw, mtime=0), 2: lambda: bz2.compress(raw), 3: lambda: lzma.compress(raw)}.get(
+                kind, lambda: b"\0" + raw if kind == 6 else b"7z\xbc\xaf\x27\x1c" + raw if kind == 7 else raw)())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("script"), pa.array(out, pa.binary())], ["doc_id", "script", "content"])
+
+
+def archives(documents: DataFrame) -> DataFrame:
+    """One input file a document, as read_sql_files() has them: a script with an INSERT of its text and a CREATE, packed
+    in one of eight ways. 64 files are a project."""
+    literal = F.regexp_replace(F.coalesce("text", F.lit("")), "'", "''")
+    i = F.col("doc_id")
+    script = F.concat(F.lit("SET standard_conforming_strings = on;\nINSERT INTO d VALUES ('"), literal, F.lit("');\nCREATE TABLE t"), i.cast("string"), F.lit(" (x int);\n"))
+    files = documents.where("doc_id is not null").select(i, script.alias("script")).mapInArrow(_packed, "doc_id long, script string, content binary")
+    name = F.element_at(F.array(*map(F.lit, PACKED)), (i % len(PACKED) + 1).cast("int"))
+    return files.select(
+        F.concat(F.lit("a"), F.floor(i / 64).cast("string")).alias("project"), F.concat(i.cast("string"), F.lit("."), name).alias("file"), (i % 64).alias("file_idx"),
+        F.octet_length("content").cast("long").alias("length"), F.timestamp_seconds(i).alias("modificationTime"), "content")
+
+
+def oddities(documents: DataFrame) -> DataFrame:
+    """Four to six statements a document, 50 documents a project: two tables of one bare name in two schemas, by k = doc_id
+    mod 50 a redefinition of the second (k mod 4 is 0), a reference to the bare name, an ALTER of an unknown table (k
+    mod 3 is 0), a unique index on the reference's column (k mod 5 is 0; it names the table after ONLY), a comment that is
+    taken back by NULL, which does nothing."""
+    i, k = F.col("doc_id"), F.col("doc_id") % 50
+    n = k.cast("string")
+    say = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("sql"))
+    every = [
+        say("create_table", "CREATE TABLE a.n", n, " (id int PRIMARY KEY)"), say("create_table", "CREATE TABLE b.n", n, " (id int PRIMARY KEY)"),
+        F.when(k % 4 == 0, say("create_table", "CREATE TABLE b.n", n, " (id int PRIMARY KEY, more int)")),
+        say("create_table", "CREATE TABLE r", n, " (x int REFERENCES N", n, ")"),
+        F.when(k % 3 == 0, say("alter_table", "ALTER TABLE lost", n, " ADD y int")),
+        F.when(k % 5 == 0, say("create_unique", "CREATE UNIQUE INDEX i ON ONLY public.r", n, " (X)")),
+        say("comment_on", "COMMENT ON TABLE r", n, " IS 'said ", n, "'"), say("comment_on", "COMMENT ON TABLE r", n, " IS NULL")]
+    rows = documents.where("doc_id is not null").select(i, k.alias("k"), F.posexplode(F.array(*every)).alias("at", "s")).where("s is not null")
+    return rows.select(
+        F.concat(F.lit("o"), F.floor(i / 50).cast("string")).alias("project"), F.lit("odd.sql").alias("file"), _zero().alias("file_idx"), _zero().alias("entry_idx"),
+        (F.col("k") * 10 + F.col("at")).alias("stmt_idx"), "s.kind", "s.sql")

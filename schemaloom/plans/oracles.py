@@ -140,3 +140,106 @@ SELECT '{child}({fk})->{parent}' AS relationship, 'many-to-one' AS declared, CAS
 
 
 ORACLES["check_star_schema"] = _star()
+
+
+#: Lines of each document by section, table, part and place, from the same facts.
+ORACLES["tree_documents"] = TREE + ROLES + COLUMNS + """,
+o AS (SELECT project, k, row_number() OVER (PARTITION BY project ORDER BY k) - 1 AS n FROM k),
+t AS (
+  SELECT d.*, substr(table_id, 2)::BIGINT AS k, n, (SELECT count(*) FROM cols c WHERE c.project = d.project AND c.table_id = d.table_id) AS n_cols FROM d JOIN o ON o.project = d.project AND 't' || o.k = table_id),
+m AS (
+  SELECT *, row_number() OVER (PARTITION BY project, k ORDER BY position) AS nth, concat_ws(', ', CASE WHEN pk THEN 'PK' END, CASE WHEN ref <> '' THEN 'FK' END, CASE WHEN uq AND NOT pk THEN 'UQ' END) AS keys FROM flags),
+links AS (
+  SELECT r.project, r.k, r.c, r.child, r.parent, r.one, r.optional, r.linked, x.n AS child_n, y.n AS parent_n, CASE WHEN r.optional THEN '0..1' ELSE '1' END AS lo,
+    CASE WHEN r.one THEN CASE WHEN r.optional THEN '0..1' ELSE '1' END ELSE '*' END AS hi FROM r JOIN o x ON x.project = r.project AND x.k = r.k JOIN o y ON y.project = r.project AND y.k = r.p),
+p AS (SELECT DISTINCT project FROM k),
+node AS (SELECT *, table_id || '<br/><small>' || n_cols || ' column' || CASE WHEN n_cols = 1 THEN '' ELSE 's' END || '</small>' AS label FROM t),
+lines AS (
+  SELECT project, 'er' AS kind, 0 AS section, 0 AS ord, 0 AS sub, 0 AS pos, 'erDiagram' AS line FROM p
+  UNION ALL SELECT project, 'er', 1, k, 0, 0, '  ' || table_id || ' {' FROM t
+  UNION ALL SELECT project, 'er', 1, k, 1, nth, '    ' || replace(replace(type, ' ', '_'), ',', '_') || ' ' || name || CASE WHEN keys = '' THEN '' ELSE ' ' || replace(keys, 'UQ', 'UK') END FROM m
+  UNION ALL SELECT project, 'er', 1, k, 2, 0, '  }' FROM t
+  UNION ALL SELECT project, 'er', 2, k, 0, ascii(c), '  ' || child || ' ' || CASE WHEN one THEN '|o' ELSE '}o' END || CASE WHEN linked THEN '--' ELSE '..' END ||
+    CASE WHEN optional THEN 'o|' ELSE '||' END || ' ' || parent || ' : "' || c || '"' FROM links
+  UNION ALL SELECT project, 'class', 0, 0, 0, 0, 'classDiagram' || chr(10) || '  direction LR' FROM p
+  UNION ALL SELECT project, 'class', 1, k, 0, 0, '  class ' || table_id || '["' || table_id || '"] {' FROM t
+  UNION ALL SELECT project, 'class', 1, k, 1, -1, '    <<link table>>' FROM t WHERE junction
+  UNION ALL SELECT project, 'class', 1, k, 1, nth, '    ' || CASE WHEN pk THEN '+' WHEN ref <> '' THEN '#' ELSE '-' END || name || ' : ' || translate(type, '()', '[]') ||
+    CASE WHEN nullable THEN '?' ELSE '' END || CASE WHEN keys = '' THEN '' ELSE ' [' || keys || ']' END FROM m
+  UNION ALL SELECT project, 'class', 1, k, 2, 0, '  }' FROM t
+  UNION ALL SELECT project, 'class', 2, k, 0, ascii(c), CASE WHEN linked THEN '  ' || parent || ' "' || lo || '" *-- "' || hi || '" ' || child || ' : ' || c
+    ELSE '  ' || child || ' "' || hi || '" --> "' || lo || '" ' || parent || ' : ' || c END FROM links
+  UNION ALL SELECT project, 'graph', 0, 0, 0, 0, 'flowchart LR' FROM p
+  UNION ALL SELECT project, 'graph', 1, k, 0, 0, '  t' || n || CASE WHEN junction THEN '{{"' || label || '"}}' ELSE '["' || label || '"]' END FROM node
+  UNION ALL SELECT project, 'graph', 2, k, 0, ascii(c), '  t' || child_n || CASE WHEN optional THEN ' -.->' ELSE ' -->' END || '|"' || c || CASE WHEN one THEN ' (1:1)' ELSE ' (N:1)' END || '"| t' || parent_n FROM links
+  UNION ALL SELECT project, 'graph', 3, 0, 0, 0, '  classDef root stroke-width:2px' || chr(10) || '  classDef junction stroke-dasharray:4 3' FROM p
+  UNION ALL SELECT project, 'graph', 3, 0, 0, 2, '  class ' || string_agg('t' || n, ',' ORDER BY k) || ' root' FROM t WHERE n_out = 0 GROUP BY project
+  UNION ALL SELECT project, 'graph', 3, 0, 0, 3, '  class ' || string_agg('t' || n, ',' ORDER BY k) || ' junction' FROM t WHERE junction GROUP BY project
+  UNION ALL SELECT project, 'dictionary', 0, 0, 0, 0, '# Data dictionary' || chr(10) FROM p
+  UNION ALL SELECT project, 'dictionary', 1, k, 0, 0, '## ' || table_id || chr(10) || chr(10) || '_Source: f' || (k % 4 + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END) || '_' || chr(10) || chr(10) ||
+    '| Column | Type | Key | Null | Default | References | Comment |' || chr(10) || '|---|---|---|---|---|---|---|' FROM t
+  UNION ALL SELECT project, 'dictionary', 1, k, 1, nth, '| ' || name || ' | ' || type || ' | ' || keys || ' | ' || CASE WHEN nullable THEN 'YES' ELSE 'NO' END || ' | ' ||
+    CASE WHEN name = 'name' THEN '''a, (b''' ELSE '' END || ' | ' || ref || ' |  |' FROM m
+  UNION ALL SELECT project, 'dictionary', 1, k, 2, 0, '' FROM t),
+texts AS (SELECT project, kind, string_agg(line, chr(10) ORDER BY section, ord, sub, pos) AS text FROM lines GROUP BY project, kind)
+SELECT project, kind, length(text) AS n_chars, sha256(text) AS sha256 FROM texts
+"""
+
+ORACLES["tree_details"] = TREE + COLUMNS + """
+SELECT project, 'columns' AS part, count(*) AS n FROM cols WHERE k = 22 GROUP BY project UNION ALL SELECT project, 'outgoing', count(*) FROM r WHERE k = 22 GROUP BY project
+UNION ALL SELECT project, 'incoming', count(*) FROM r WHERE p = 22 GROUP BY project UNION ALL SELECT project, 'edges', count(*) FROM r WHERE p = 22 OR k = 22 GROUP BY project
+UNION ALL SELECT project, 'itself', 1 FROM k WHERE k = 22
+"""
+ORACLES["tree_isolated"] = TREE + ROLES + "SELECT project, count(*) FILTER (n_in = 0 AND n_out = 0) AS isolated FROM d GROUP BY project"
+
+#: Files of corpora.archives() and what they hold.
+ARCHIVES = """
+WITH f AS (
+  SELECT doc_id AS i, doc_id % 8 AS kind, 'a' || (doc_id // 64) AS project, doc_id % 64 AS file_idx,
+    doc_id || '.' || ['d.sql', 'd.sql.gz', 'd.sql.bz2', 'd.sql.xz', 'd.zip', 'd.tgz', 'd.bin.sql', 'd.7z'][doc_id % 8 + 1] AS file,
+    [1, 1, 1, 1, 2, 1, 0, 0][doc_id % 8 + 1] AS n, [NULL, NULL, NULL, NULL, NULL, NULL, 'it is not a text file', '7-Zip archives are not supported; extract it first'][doc_id % 8 + 1] AS skipped,
+    'SET standard_conforming_strings = on;' || chr(10) || 'INSERT INTO d VALUES (''' || replace(coalesce(text, ''), '''', '''''') || ''');' || chr(10) || 'CREATE TABLE t' || doc_id || ' (x int);' || chr(10) AS script
+  FROM documents WHERE doc_id IS NOT NULL)
+"""
+ORACLES["archive_reports"] = ARCHIVES + """
+SELECT project, file, file_idx, [NULL, 'gzip', 'bzip2', 'xz', 'zip', 'gzip → tar', NULL, NULL][kind + 1] AS format, [NULL, 'gzip', 'bzip2', 'xz', 'zip · 2 .sql', 'gzip → tar · 1 .sql', NULL, NULL][kind + 1] AS format_label,
+  'utf-8' AS encoding, n AS entries, n AS tables, n AS kept, 3 * n AS statements, n AS inserts, n AS data_skipped, n * length(script) AS chars, n * strlen(script) AS text_bytes, false AS encrypted, skipped FROM f
+"""
+ORACLES["archive_warnings"] = ARCHIVES + """, w AS (
+  SELECT project, 0 AS rank, file_idx, 'Skipped "' || file || CASE WHEN kind = 4 THEN '/README.md": not an SQL file.' ELSE '": ' || skipped || '.' END AS message FROM f WHERE kind IN (4, 6, 7)
+  UNION ALL SELECT project, 1, file_idx, 'Table "t' || i || '" is defined more than once; the last definition is used.' FROM f WHERE kind = 4)
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY rank, file_idx) AS place, message FROM w
+"""
+ORACLES["archive_projects"] = ARCHIVES + """
+SELECT project, count(*) = count(skipped) AS all_skipped, false AS sensitive, min_by(file, file_idx) FILTER (skipped IS NOT NULL) AS first_skipped,
+  coalesce(sum(CASE WHEN n > 0 THEN n * (22 + length(i::VARCHAR)) + 3 * (n - 1) + 2 END), 0) <= 1540 AS persistable FROM f GROUP BY project
+"""
+ORACLES["archive_new_files"] = ARCHIVES + "SELECT project, count(*) AS n_new FROM f WHERE file_idx % 2 = 1 GROUP BY project"
+ORACLES["replaced_statements"] = TREE + """, s AS (SELECT project, 'f' || (k % 4) AS file FROM k UNION ALL SELECT project, 'f' || (k % 4 + 1) FROM k WHERE k % 13 = 0)
+SELECT project, file, count(*) AS n FROM s WHERE CASE WHEN project = 'p0' THEN file <> 'f2' ELSE file = 'f1' OR project NOT IN (SELECT project FROM s WHERE file = 'f1') END GROUP BY ALL
+"""
+
+#: Projects of corpora.oddities().
+ODD = "WITH o AS (SELECT 'o' || (doc_id // 50) AS project, doc_id % 50 AS k FROM documents WHERE doc_id IS NOT NULL)"
+ORACLES["odd_relationships"] = ODD + """
+SELECT project, 'r' || k AS child, 'x' AS child_columns, CASE WHEN k % 4 = 0 THEN 'b' ELSE 'a' END || '.n' || k AS parent, CASE WHEN k % 5 = 0 THEN '1 : 1' ELSE 'N : 1' END AS ratio,
+  'Each row has zero or one parent; parent has ' || CASE WHEN k % 5 = 0 THEN 'at most one' ELSE 'many' END AS meaning FROM o
+"""
+ORACLES["odd_tables"] = ODD + """
+SELECT project, 'a.n' || k AS table_id, NULL::VARCHAR AS comment, 1 AS n_columns FROM o UNION ALL SELECT project, 'b.n' || k, NULL, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END FROM o
+UNION ALL SELECT project, 'r' || k, 'said ' || k, 1 FROM o
+"""
+ORACLES["odd_warnings"] = ODD + """, w AS (
+  SELECT project, 0 AS phase, k, 'Table "b.n' || k || '" is defined more than once; the last definition is used.' AS message FROM o WHERE k % 4 = 0
+  UNION ALL SELECT project, 1, k, 'ALTER TABLE on unknown table "lost' || k || '" was ignored.' FROM o WHERE k % 3 = 0)
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY phase, k) AS place, message FROM w
+"""
+ORACLES["stream_tables"] = TREE + "SELECT project, 't' || k AS table_id, CASE WHEN k > 0 THEN 4 ELSE 2 END AS n_columns, linked AND k % 7 <> 0 AS is_junction FROM k"
+
+_bytes = "CASE WHEN {0} < 1024 THEN {0} || ' B' " + " ".join(
+    f"WHEN {{0}} < {1024 ** (i + 1)} OR {i} = 4 THEN CASE WHEN {{0}} / {1024**i}.0 < 10 THEN printf('%.1f', floor({{0}} / {1024**i}.0 * 10 + 0.5) / 10) ELSE floor({{0}} / {1024**i}.0 + 0.5)::BIGINT::VARCHAR END || ' {unit}'"
+    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1)) + " END"
+ORACLES["document_sizes"] = f"""
+WITH s AS (SELECT *, strlen(coalesce(text, ''))::BIGINT AS n FROM documents)
+SELECT doc_id, {_bytes.format("n")} AS size, {_bytes.format("(n * n)")} AS square, true AS same, 'varchar (' || n_chars || ')' AS kind, doc_id % 2 = 0 OR doc_id % 3 = 0 AS auto FROM s
+"""

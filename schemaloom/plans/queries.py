@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..operators import checks, render, reports
+from ..sources import files
 from ..sources import statements as st
+from ..sources.shared import shared_dir, written
+from ..streaming import ingest
 from . import assemble, corpora
 
 
@@ -177,7 +183,115 @@ def check_star_schema(spark, sf_dir):
     return checks.verify_catalog(spark, declared, {name: table(spark, sf_dir, name) for name, *_ in STAR})
 
 
+def tree_documents(spark, sf_dir):
+    """The text of each project's diagrams and dictionary, as a digest."""
+    c, out = tree_catalog(spark, sf_dir), None
+    for kind in render.DOCUMENTS:
+        one = render.document(c, kind).select("project", F.lit(kind).alias("kind"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def tree_details(spark, sf_dir):
+    """Of table T22 of each project: its id, columns, references out and in, and edges at it."""
+    c = tree_catalog(spark, sf_dir)
+    parts = {**reports.table_details(c, "T22"), "edges": reports.related_edges(c.relationships, "t22"), "itself": reports.find_table(c.tables, "T22")}
+    out = None
+    for name, df in parts.items():
+        one = df.groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit(name).alias("part"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def tree_isolated(spark, sf_dir):
+    c = tree_catalog(spark, sf_dir)
+    return reports.isolated_count(c.tables, c.relationships)
+
+
+def _imports(spark, sf_dir):
+    """Files, entries and statements of the packed corpus."""
+    found = written(corpora.archives(table(spark, sf_dir, "documents")))
+    entries = written(files.readable_entries(files.expand_entries(found)).drop("content"))
+    return found, entries, entries.where("text is not null")
+
+
+def archive_reports(spark, sf_dir):
+    found, entries, readable = _imports(spark, sf_dir)
+    out = reports.import_reports(found, entries, st.scan_stats(readable))
+    return out.select("project", "file", "file_idx", "format", "format_label", "encoding", "entries", "tables", "kept", "statements", "inserts", "data_skipped", "chars", "text_bytes", "encrypted", "skipped")
+
+
+def archive_warnings(spark, sf_dir):
+    """What the import of each project has to say, in order, before its catalog's own warnings."""
+    _, entries, readable = _imports(spark, sf_dir)
+    c = assemble.build(st.split_statements(readable), files.import_notes(entries))
+    place = F.row_number().over(Window.partitionBy("project").orderBy("rank", "at")).cast("long")
+    return c.warnings.select("project", place.alias("place"), "message")
+
+
+def archive_projects(spark, sf_dir):
+    """Projects by what may be kept of them, with their first skipped file."""
+    found, entries, readable = _imports(spark, sf_dir)
+    skipped = files.skipped_files(entries)
+    first = reports.first_skipped(skipped, 1).select("project", F.col("file").alias("first_skipped"))
+    kept = files.persistable(entries, st.retained_ddl(st.split_statements(readable)), 1540).withColumn("persistable", F.lit(True))
+    out = files.all_skipped(found, skipped).join(files.sensitive_flag(entries), "project").join(first, "project", "left").join(kept, "project", "left")
+    return out.fillna(False, ["persistable"])
+
+
+def archive_new_files(spark, sf_dir):
+    """Files that an earlier import of those with even numbers did not hold, by project."""
+    found = corpora.archives(table(spark, sf_dir, "documents")).drop("content")
+    return files.new_files(found, found.where("file_idx % 2 = 0")).groupBy("project").agg(F.count(F.lit(1)).alias("n_new"))
+
+
+def replaced_statements(spark, sf_dir):
+    """Kept statements a file after projects p1 and up are replaced by their first files, and file f2 of p0 is removed."""
+    every = corpora.tree(table(spark, sf_dir, "documents").where("doc_id is not null"))
+    now = files.replace_files(every, every.where("project <> 'p0' and file = 'f1'"))
+    return files.remove_file(now, "p0", "f2").groupBy("project", "file").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _odd(spark, sf_dir):
+    return assemble.build(corpora.oddities(table(spark, sf_dir, "documents")))
+
+
+def odd_relationships(spark, sf_dir):
+    """References by bare names, and what a unique index makes of them."""
+    return reports.relationship_list(_odd(spark, sf_dir).relationships).select("project", "child", "child_columns", "parent", "ratio", "meaning")
+
+
+def odd_tables(spark, sf_dir):
+    return _odd(spark, sf_dir).tables.select("project", "table_id", "comment", "n_columns")
+
+
+def odd_warnings(spark, sf_dir):
+    w = _odd(spark, sf_dir).warnings
+    place = F.row_number().over(Window.partitionBy("project").orderBy("rank", "at")).cast("long")
+    return w.select("project", place.alias("place"), "message")
+
+
+def stream_tables(spark, sf_dir):
+    """The tree corpus as files of a stream, read until all are in: tables of the catalogs that it leaves."""
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sql = corpora.tree(table(spark, sf_dir, "documents").where("doc_id is not null")).where("stmt_idx % 2 = 0").withColumn("sql", F.concat("sql", F.lit(";")))
+    sql.select("project", "sql").write.partitionBy("project").text(f"{top}/in")
+    ingest.stream_sql_files(spark, f"{top}/in/*", f"{top}/store", f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return ingest.read_catalog(spark, f"{top}/out").tables.select(F.regexp_replace("project", "^project=", "").alias("project"), "table_id", "n_columns", "is_junction")
+
+
+def document_sizes(spark, sf_dir):
+    """How large each document is, for people, and how its text would stand in an SQL script and come out of it again."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    back = columns.unquote_string(F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\\", r"\\\\"), "'", "''"), F.lit("'")))
+    kind = columns.normalise_type(F.concat(F.lit("[varchar]  ("), F.col("n_chars").cast("string"), F.lit(")")))
+    auto = columns.is_auto_increment(F.concat(F.lit("big"), F.when(F.col("doc_id") % 2 == 0, "serial").otherwise("int")), F.when(F.col("doc_id") % 3 == 0, "nextval('s')"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", columns.format_bytes(size).alias("size"), columns.format_bytes(size * size).alias("square"), (back == F.coalesce("text", F.lit(""))).alias("same"), kind.alias("kind"), auto.alias("auto"))
+
+
 QUERIES = {f.__name__: f for f in (
     tree_relationships, tree_tables, tree_connectivity, tree_many_to_many, tree_warnings, tree_dictionary, tree_search, tree_table_sets, tree_totals,
-    tree_er_edges, tree_class_edges, tree_graph_edges, tree_diagram_sizes, dump_file_reports, dump_retained_ddl, migration_columns, migration_kinds,
+    tree_er_edges, tree_class_edges, tree_graph_edges, tree_diagram_sizes, dump_file_reports, dump_retained_ddl, migration_columns, migration_kinds, tree_documents, tree_details, tree_isolated, archive_reports, archive_warnings, archive_projects,
+    archive_new_files, replaced_statements, odd_relationships, odd_tables, odd_warnings, stream_tables, document_sizes,
     check_nullable, check_keys, check_orphans, check_cardinality, check_optional, check_link_pairs, check_star_schema)}
