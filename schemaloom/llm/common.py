@@ -1,39 +1,28 @@
-"""Helpers that several operators share."""
+"""Helpers that several operators share.
+
+Joins have no hints: a written table's size is known from its files, and Spark sends it to every executor if that is
+within spark.sql.autoBroadcastJoinThreshold (10 MB by default), else the join is a shuffle join with the same result."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from ..sources.shared import written
 
-#: Largest size of a table that is sent to every executor; measured first, and beyond it the join is a
-#: shuffle join with the same result.
-BROADCAST_BYTES = 32 << 20
 #: Rows of one key that meet in one task of hot_join().
 HOT_ROWS = 100_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` (a written table) with a broadcast hint if its rows, as measured, take at most `limit` bytes."""
-    size = F.lit(0)
-    for f in df.schema.fields:
-        c = named(f.name)
-        own = F.octet_length(c) if isinstance(f.dataType, (StringType, BinaryType)) else F.size(c) * 8 if isinstance(f.dataType, ArrayType) else F.lit(0)
-        size = size + F.coalesce(own, F.lit(0)) + 16
-    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
-
-
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame | None = None, per: int = HOT_ROWS, how: str = "inner") -> DataFrame:
     """The inner or left join of two written tables on the columns `on`, where `right` has a row or few a key. A key
     with more than `per` rows on the left is cut into pieces by a hash of `by`, and its rows on the right are
     repeated for each, so that no key meets in one task. `counts` (`on`, n) saves counting the left side."""
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = small(written(counts.where(F.col("n") > per).select(*on, F.ceil(F.col("n") / per).cast("int").alias("_cuts"))))
+    hot = written(counts.where(F.col("n") > per).select(*on, F.ceil(F.col("n") / per).cast("int").alias("_cuts")))
     cuts = F.coalesce("_cuts", F.lit(1))
     left = left.join(hot, on, "left").withColumn("_cut", F.pmod(F.xxhash64(by), cuts).cast("int")).drop("_cuts")
     right = right.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")

@@ -6,8 +6,8 @@
    messages follows the blocks and the owners, and their bytes the rows.
 3. Owners decode and merge their messages and answer each with a bitmap: bit i is set if the i-th
    fingerprint of the message also came from another block, or several times from this one.
-4. Bitmaps meet their messages again and become suspects. Sent to all tasks if their bytes, as measured,
-   allow it, they are looked up where texts are read.
+4. Bitmaps meet their messages again and become suspects. Sent to all tasks if the size of their table
+   allows it, they are looked up where texts are read.
 5. So only suspects' texts are shuffled, grouped by the text itself (bytes are compared, no hash
    decides) with map-side aggregation, and a huge group of copies is one row per task.
 """
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, small, whole_row, written
+from .common import hot_join, whole_row, written
 
 MESSAGE = "block string, owner int, n int, k int, data binary, multi binary"
 #: Rows of a block, and fingerprints that one owner merges in memory.
@@ -129,7 +129,7 @@ def _sketch(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     slim = docs.select("doc_id", text.alias("text")).withColumn("fp", F.xxhash64("text"))
     sketch = written(slim.select("doc_id", "fp", F.sha2("text", 256).alias("text_sha256")))
     groups = (
-        slim.join(small(suspects(sketch)), "fp", "left_semi")
+        slim.join(suspects(sketch), "fp", "left_semi")
         .groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1"))
     return sketch, written(groups.select("fp", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
@@ -163,6 +163,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = written(held.where("not kept").select(F.col("doc_id").alias("id_"), F.col("fp").alias("fp_")).unionByName(again))
     rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"))
     on = F.col("id").eqNullSafe(F.col("id_")) & (F.col("fp") == F.col("fp_"))
-    alone = rows.join(small(gone), on, "left_anti")
-    one = rows.join(small(again), on, "left_semi").dropDuplicates(["id", "fp"])
+    alone = rows.join(gone, on, "left_anti")
+    one = rows.join(again, on, "left_semi").dropDuplicates(["id", "fp"])
     return alone.unionByName(one).select("row.*")

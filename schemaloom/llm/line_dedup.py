@@ -14,7 +14,7 @@ texts ("To.", "And."), against 106 lines of 50 or more. All lines of recurring t
 
 Each text is split and masked once, into a table; all counting reads hashes from it, and only lines of
 leaves with `min_values` or more different lines are cut into tokens. Tables of recurring lines are sent
-to all tasks if their bytes, as measured, allow it, and joined by a shuffle otherwise.
+to all tasks if the size of their files allows it, and joined by a shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, whole_row, written
+from .common import whole_row, written
 
 MIN_DOCS, LONG_LINE, DEPTH, MIN_VALUES, MIN_CONSTANT, ROUNDS = 5, 5, 3, 5, 0.5, 2
 ANY = "<*>"
@@ -61,8 +61,8 @@ def _generalised(lines: DataFrame, depth: int, min_values: int, min_constant: fl
     each = tokens.select("leaf", "h", whole.alias("whole"), F.posexplode("hashes").alias("i", "own")).where(F.col("i") >= depth)
     each = written(each.select("leaf", "h", "i", F.col("whole").bitwiseXOR(F.col("own")).alias("rest")))
     fields = written(each.groupBy("leaf", "i", "rest").count().where(F.col("count") >= min_values).drop("count"))
-    own = written(each.join(small(fields), ["leaf", "i", "rest"], "left_semi").groupBy("leaf", "h").agg(F.collect_set("i").alias("fields")))
-    found = tokens.select("leaf", "h", "tokens").join(small(own), ["leaf", "h"])
+    own = written(each.join(fields, ["leaf", "i", "rest"], "left_semi").groupBy("leaf", "h").agg(F.collect_set("i").alias("fields")))
+    found = tokens.select("leaf", "h", "tokens").join(own, ["leaf", "h"])
     general = F.array_join(F.transform("tokens", lambda t, i: F.when(F.array_contains("fields", i), ANY).otherwise(t)), " ")
     found = found.select("leaf", "h", general.alias("line"), F.size("tokens").alias("n"))
     return written(found.where(_enough(F.col("line"), F.col("n"), min_constant)).select("leaf", "h", F.xxhash64("line").alias("to"), "line"))
@@ -74,7 +74,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, long_line: int = LONG_L
     lines = _lines(docs, depth, min_constant)
     seen = written(lines.select("leaf", "h", "n", "text_hash").distinct())
     kinds = written(seen.where(F.col("n") > depth).select("leaf", "h").distinct().groupBy("leaf").count().where(F.col("count") >= min_values).select("leaf"))
-    now = written(lines.join(small(kinds), "leaf", "left_semi").groupBy("leaf", "h").agg(F.first("line").alias("line")))
+    now = written(lines.join(kinds, "leaf", "left_semi").groupBy("leaf", "h").agg(F.first("line").alias("line")))
     names = None  # leaf, h -> to: the lines that have become another template
     for _ in range(rounds):
         found = _generalised(now, depth, min_values, min_constant)
@@ -83,15 +83,15 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, long_line: int = LONG_L
             names = fresh
         else:
             step = fresh.select("leaf", F.col("h").alias("to"), F.col("to").alias("next"))
-            moved = names.join(small(step), ["leaf", "to"], "left").select("leaf", "h", F.coalesce("next", "to").alias("to"))
-            names = written(moved.unionByName(fresh.join(small(names.select("leaf", "h")), ["leaf", "h"], "left_anti")))
-        kept = now.join(small(found.select("leaf").distinct()), "leaf", "left_semi").join(small(fresh), ["leaf", "h"], "left_anti").select("leaf", "h", "line")
+            moved = names.join(step, ["leaf", "to"], "left").select("leaf", "h", F.coalesce("next", "to").alias("to"))
+            names = written(moved.unionByName(fresh.join(names.select("leaf", "h"), ["leaf", "h"], "left_anti")))
+        kept = now.join(found.select("leaf").distinct(), "leaf", "left_semi").join(fresh, ["leaf", "h"], "left_anti").select("leaf", "h", "line")
         now = written(kept.unionByName(found.select("leaf", F.col("to").alias("h"), "line")).dropDuplicates(["leaf", "h"]))
-    named = seen.join(small(names), ["leaf", "h"], "left").select("leaf", "h", "n", "text_hash", F.coalesce("to", "h").alias("to"))
+    named = seen.join(names, ["leaf", "h"], "left").select("leaf", "h", "n", "text_hash", F.coalesce("to", "h").alias("to"))
     often = F.when(F.col("n") >= long_line, 2).otherwise(min_docs)
     often = written(named.select("leaf", "to", "n", "text_hash").distinct().groupBy("leaf", "to", "n").count().where(F.col("count") >= often).select("leaf", "to"))
-    gone = written(named.join(small(often), ["leaf", "to"], "left_semi").select("leaf", "h").distinct())
-    return lines.select("doc_id", "text_hash", "pos", "leaf", "h").join(small(gone), ["leaf", "h"], "left_semi").select("doc_id", "text_hash", "pos")
+    gone = written(named.join(often, ["leaf", "to"], "left_semi").select("leaf", "h").distinct())
+    return lines.select("doc_id", "text_hash", "pos", "leaf", "h").join(gone, ["leaf", "h"], "left_semi").select("doc_id", "text_hash", "pos")
 
 
 def clean(docs: DataFrame, **how) -> DataFrame:
@@ -107,7 +107,7 @@ def clean(docs: DataFrame, **how) -> DataFrame:
     rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-    rows = rows.join(small(gone), on, "left")
+    rows = rows.join(gone, on, "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
     return rows.select(

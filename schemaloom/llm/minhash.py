@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, mapped_table, pieces, small, whole_row, written
+from .common import hot_join, mapped_table, pieces, whole_row, written
 
 SHINGLE, PERCENT = 5, 85
 KEYS, ROWS, BANDS, BITS = 512, 5, 24, 2
@@ -144,9 +144,9 @@ def _likely(a: str, b: str, percent: int) -> Column:
 def full_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """node, n, h (the shingles' hashes) of `classes` (node, set_id, rep, n), each read from a text of its own; a written table."""
     ids = written(classes.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").select("text")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
     found = mapped_table(texts, _hashes(k), "set_id binary, h array<long>")
-    own = small(written(classes.select("node", "set_id", "n")))
+    own = written(classes.select("node", "set_id", "n"))
     return written(found.join(own, "set_id").select("node", "n", "h").dropDuplicates(["node"]))
 
 
@@ -191,7 +191,7 @@ def _stars(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _in_parts(rows: DataFrame, found: DataFrame) -> DataFrame:
     """`rows` (part, ...) with the parts that further links (node, component: of parts) have joined."""
-    to = small(written(found.select(F.col("node").alias("part"), "component")))
+    to = written(found.select(F.col("node").alias("part"), "component"))
     return rows.join(to, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
 
 
@@ -285,7 +285,7 @@ def _classified(docs: DataFrame, k: int, percent: int, n_bands: int) -> DataFram
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_id")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     # A class goes by its smallest doc_id, or by a hash of its own where a doc_id has texts of several classes.
-    twice = small(written(classes.groupBy("rep").count().where("count > 1")))
+    twice = written(classes.groupBy("rep").count().where("count > 1"))
     classes = classes.join(twice, "rep", "left").withColumn("node", F.when(F.col("count").isNull(), F.col("rep")).otherwise(F.xxhash64("set_id"))).drop("count")
 
     places = classes.select("node", F.explode("bands").alias("bucket"))
@@ -304,7 +304,7 @@ def _classified(docs: DataFrame, k: int, percent: int, n_bands: int) -> DataFram
     everyone = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
     least = classes.select("node", "rep").join(everyone, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = written(hot_join(everyone, least, ["component"], "node").select("node", "component_id"))
-    named = classes.select("set_id", "node", "rep").join(small(linked), "node", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
+    named = classes.select("set_id", "node", "rep").join(linked, "node", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -327,4 +327,4 @@ def dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n_bands: in
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     row = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash.alias("hash"))
     gone = written(_classified(docs, k, percent, n_bands).where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct())
-    return row.join(small(gone), ["id", "hash"], "left_anti").select("row.*")
+    return row.join(gone, ["id", "hash"], "left_anti").select("row.*")
