@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_row
+from .common import whole_row, written
 
 #: Weights of the sources in order of their names, repeating; and start and end of their shares' schedule.
 WEIGHTS = (5, 2, 1)
@@ -59,35 +59,46 @@ def position(x: Column, target: Column, slope: Column) -> Column:
 
 
 def allot(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, passes: int = MAX_PASSES) -> DataFrame:
-    """`docs` (columns doc_id, text, source, and any more) as struct `row`, with doc_id, size,
-    source_size, target, copies, taken (copies * size) and position (of the first copy; null without).
+    """One row per row of `docs` (columns doc_id, text, source; others are ignored): doc_id, source, size, source_size,
+    target, copies, taken (copies * size) and position (of the first copy; null without), and for mix() h, hash (of the
+    text), at and slope. A written table of sizes stands between the texts and all that follows.
 
     Null text has size 0 and null source is a source of its own, last. Rows that repeat a doc_id are
     placed one after the other. Documents without words may be taken, which takes no words. If no
     document has words, all targets are 0. No rows give no rows."""
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select(
-        whole_row(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+    text = F.coalesce("text", F.lit(""))
+    rows = written(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), h.alias("h"), F.xxhash64(text).alias("hash")))
     rows = rows.withColumn("shard", F.substring("h", 1, 3)).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     sums = rows.groupBy("key", "source", "shard").agg(F.sum("size").alias("shard_size"))
     before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     plan = targets(sums.groupBy("key", "source").agg(F.sum("shard_size").alias("source_size")), weights, schedules, passes)
     start = F.coalesce(F.sum("shard_size").over(before), F.lit(0))
     shards = sums.select("key", "shard", start.alias("start")).join(plan.drop("source"), "key")
-    within = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(shards, ["key", "shard"]).withColumn("at", F.col("start") + F.col("ahead"))
     taken = [F.when(2 * (e * F.col("source_size") + F.col("at")) + F.col("size") <= 2 * F.col("target"), 1).otherwise(0) for e in range(passes)]
     rows = rows.withColumn("copies", sum(taken[1:], taken[0]))
     first = F.when((F.col("copies") > 0) & (F.col("target") > 0), position(F.col("at"), F.col("target"), F.col("slope")))
-    return rows.select("row", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
-                       first.alias("position"), "h", "at", "slope")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+                       first.alias("position"), "h", "hash", "at", "slope")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The columns of `docs`, one row for each copy that the mix takes, sorted by training position."""
-    copies = allot(docs, **how).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    x = F.col("copy") * F.col("source_size") + F.col("at")
-    at = F.when(F.col("target") > 0, position(x, F.col("target"), F.col("slope"))).otherwise(F.lit(0.0))
-    return copies.withColumn("t", at).orderBy("t", "h", "copy").select("row.*")
+    """The columns of `docs`, one row for each copy that the mix takes, sorted by training position. Rows that agree in
+    doc_id, source and text share their copies, dealt in turn."""
+    rows = allot(docs, **how)
+    x = lambda copy: copy * F.col("source_size") + F.col("at")
+    at = lambda copy: F.when(F.col("target") > 0, position(x(copy), F.col("target"), F.col("slope"))).otherwise(F.lit(0.0))
+    times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>"))
+    same = rows.groupBy("doc_id", "source", "hash").agg(F.count(F.lit(1)).alias("alike"), F.sort_array(F.flatten(F.collect_list(times))).alias("times"))
+    places = written(same.where(F.size("times") > 0).select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("hash").alias("hash_"), "alike", "times"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    on = F.col("id").eqNullSafe(F.col("id_")) & F.col("of").eqNullSafe(F.col("source_")) & (F.col("hash") == F.col("hash_"))
+    one = rows.join(places.where("alike = 1"), on).select("row", "id", "times")
+    turn = F.row_number().over(Window.partitionBy("id", "of", "hash").orderBy("hash"))
+    more = rows.join(places.where("alike > 1"), on).withColumn("turn", turn)
+    more = more.select("row", "id", F.filter("times", lambda t, i: i % F.col("alike") == F.col("turn") - 1).alias("times"))
+    taken = one.unionByName(more).select("row", "id", F.explode("times").alias("t"))
+    return taken.orderBy("t", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).select("row.*")

@@ -88,7 +88,7 @@ MIXING = f"""
 WITH {mixing_sql()}
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, copies * size AS taken,
   CASE WHEN copies > 0 AND target > 0 THEN round(CASE WHEN slope = 0 THEN ahead / target ELSE
-    (slope - 1.0::DOUBLE + sqrt((1.0::DOUBLE - slope) * (1.0::DOUBLE - slope) + 4.0::DOUBLE * slope * (ahead / target))) / (2.0::DOUBLE * slope) END, 9) END AS position
+    (slope - 1.0::DOUBLE + sqrt((1.0::DOUBLE - slope) * (1.0::DOUBLE - slope) + 4.0::DOUBLE * slope * (ahead / target))) / (2.0::DOUBLE * slope) END, 9) + 0.0::DOUBLE END AS position
 FROM mixed
 """
 

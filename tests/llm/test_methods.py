@@ -148,6 +148,16 @@ def test_mixing_of_clashing_names_and_nulls(spark):
     assert mixing.mix(df).columns == df.columns
 
 
+def test_mixing_of_repeated_rows(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (1, "a b c d", "x"), (2, "e f g h", "x"), (3, " ".join("ijklmnopqrst"), "y"), (None, "u v", None)]
+    df = docs(spark, rows)
+    taken = collections.Counter(r.text for r in mixing.mix(df).collect())
+    want = collections.Counter()
+    for r in mixing.allot(df).collect():
+        want[next(t for d, t, s in rows if d == r.doc_id and s == r.source)] += r.copies
+    assert taken == want and sum(taken.values()) > 0
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_smallest_tables(spark, n):
     rows = docs(spark, [(1, "only one line here", "a")][:n])

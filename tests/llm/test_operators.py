@@ -83,7 +83,7 @@ def test_golomb_round_trip(values):
 
 def test_mixing_meets_targets_and_reruns_agree(spark):
     rows = [(i, "w " * (i % 9), f"s{i % 4}" if i % 11 else None) for i in range(800)]
-    first, second = (mixing.allot(docs(spark, rows).repartition(n)).drop("row").toPandas() for n in (1, 5))
+    first, second = (mixing.allot(docs(spark, rows).repartition(n)).toPandas() for n in (1, 5))
     key = ["doc_id"]
     assert first.sort_values(key)["taken"].tolist() == second.sort_values(key)["taken"].tolist()
     assert (first["taken"] <= 3 * first["size"]).all()
