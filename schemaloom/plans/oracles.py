@@ -106,8 +106,8 @@ SELECT 'm' || (user_id % 8) AS project, kind, count(*) AS n FROM (
   SELECT user_id, CASE WHEN event_id % 3 = 2 THEN 'comment_on' ELSE 'alter_table' END AS kind FROM events UNION ALL SELECT DISTINCT user_id, 'create_table' FROM events) GROUP BY ALL
 """,
     "check_nullable": """
-SELECT unnest(['l_orderkey', 'l_partkey', 'l_shipdate', 'l_returnflag']) AS column_name, unnest(n) AS n_null, unnest(n) > 0 AS nullable FROM (
-  SELECT [count(*) - count(l_orderkey), count(*) - count(l_partkey), count(*) - count(l_shipdate), count(*) - count(l_returnflag)] AS n FROM lineitem)
+SELECT column_name, n_null, n_null > 0 AS nullable FROM (
+  UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE n_null)
 """,
     "check_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL",
     "check_orphans": """

@@ -324,19 +324,36 @@ def test_dumps_come_in_bounded_parts(spark, tmp_path, monkeypatch, name):
     assert rows(got, *got.columns) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.ORACLES[name]})").fetchall(), key=repr)
 
 
-def test_entries_cut_at_the_limit_say_so(spark, monkeypatch):
-    monkeypatch.setattr(files, "MAX_ENTRY", 30)
-    sql, more = b"CREATE TABLE a (number integer)", b";CREATE TABLE b (x int);"
+def test_long_entries_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(files, "PART", 40)
+    sql = (LIBRARY + "COPY t FROM stdin;\n" + "1\t;'é\n" * 60 + "\\.\nSET standard_conforming_strings = on;\nINSERT INTO t VALUES ('c:\\');\n" * 3 + "CREATE TABLE last (x int)")
+    sql = sql.replace("\\.\nSET", "\\.\n-- ; '\nSET", 1)
     t = io.BytesIO()
     with tarfile.open(fileobj=t, mode="w") as f:
-        for name, raw in (("no.md", b"no"), ("x.sql", sql + more), ("y.sql", sql[:30])):
-            info = tarfile.TarInfo(name)
-            info.size = len(raw)
-            f.addfile(info, io.BytesIO(raw))
-    packers = [gzip.compress, bz2.compress, lzma.compress, lambda x: pa.compress(x, codec="zstd", asbytes=True)]
-    made = [(f"{i}{j}.sql", pack(raw)) for i, pack in enumerate(packers) for j, raw in enumerate((sql[:30], sql + more))] + [("t.tar", t.getvalue())]
+        info = tarfile.TarInfo("x.sql")
+        info.size = len(sql.encode())
+        f.addfile(info, io.BytesIO(sql.encode()))
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("x.sql", sql.encode())
+    made = {"a.gz": gzip.compress(sql.encode()), "b.bz2": bz2.compress(("\ufeff" + sql).encode("utf-16le")), "c.xz": lzma.compress(sql.encode()), "d.tar": t.getvalue(), "e.zip": z.getvalue(),
+            "f.zst": pa.compress(sql.encode(), codec="zstd", asbytes=True)}
+    want = Script(sql)
+    for name, raw in made.items():
+        found = list(files.entries_of(name, raw))
+        assert len(found) > 20 and found[0][5] is None and all(e[5] for e in found[1:])
+        scripts = [Script(e[2].decode(), e[5]) for e in found]
+        for what in ("total", "inserts", "copies", "chars"):
+            assert sum(getattr(s, what) for s in scripts) == getattr(want, what), (name, what)
+        assert [k for s in scripts for k in s.kept] == want.kept
+
+
+def test_entries_cut_at_the_limit_say_so(spark, monkeypatch):
+    monkeypatch.setattr(files, "PART", 20)
+    monkeypatch.setattr(files, "MAX_ENTRY", 30)
+    sql, long = b"CREATE TABLE a (x int);\n" * 4, b"CREATE TABLE a (number integer, other integer, more integer, last integer);"
+    made = [("1.gz", gzip.compress(sql)), ("2.gz", gzip.compress(sql + long)), ("3.gz", gzip.compress(gzip.compress(b"".join(b"%d;" % (i * i) for i in range(99)))))]
     out = [("p", name, k, i, *e) for k, (name, raw) in enumerate(made) for i, e in enumerate(files.entries_of(name, raw))]
-    got = [(name, note) for _, _, _, _, name, _, _, _, note in out if note and note.startswith("stopped")]
-    assert got == [(f"{i}1.sql", files.TOO_LONG) for i in range(4)] + [("t.tar/x.sql", files.TOO_LONG)]
+    assert {(o[1], o[8]) for o in out if o[8]} >= {("2.gz", files.TOO_LONG), ("3.gz", files.TOO_LONG)} and not any(o[8] for o in out if o[1] == "1.gz")
     found = files.readable_entries(spark.createDataFrame([(*o[:5], list(o[5]), *o[6:]) for o in out], files.ENTRY))
-    assert rows(files.skipped_files(found), "file", "skipped", "reason") == [(n, False, files.TOO_LONG.removeprefix("stopped partway: ")) for n in ("01.sql", "11.sql", "21.sql", "31.sql", "t.tar")]
+    assert rows(files.skipped_files(found), "file", "skipped", "reason")[0] == ("2.gz", False, files.TOO_LONG.removeprefix("stopped partway: "))
