@@ -162,3 +162,47 @@ def test_mixing_of_repeated_rows(spark):
 def test_smallest_tables(spark, n):
     rows = docs(spark, [(1, "only one line here", "a")][:n])
     assert line_dedup.clean(rows).count() == exact_dedup.dedup(rows).count() == n
+
+
+def test_pipeline_against_plain_python(spark):
+    """Each stage's rows from its own input, by the plainest way to them."""
+    import hashlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from test_operators import SF, library, shingled
+
+    from schemaloom.llm import quality_cnn
+
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id: r.text or "" for r in corpus_pipeline.quality(spark, start, SF).collect()}
+    w = quality_cnn.fit(start, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert set(kept) == {r.doc_id for r in start.collect() if quality_cnn.score_text(w, r.text or "") >= quality_cnn.THRESHOLD}
+    largest = {t: max(d for d, u in kept.items() if u == t) for t in kept.values()}
+    good = start.where(F.col("doc_id").isin(list(kept)))
+    assert {r.doc_id for r in corpus_pipeline.exact(spark, good, SF).collect()} == set(largest.values())
+
+    ids = sorted(largest.values())
+    sets, least = {d: shingled(kept[d]) for d in ids}, {d: d for d in ids}
+
+    def find(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                least[y] = x
+    alone = good.where(F.col("doc_id").isin(ids))
+    near = {r.doc_id for r in corpus_pipeline.near(spark, alone, SF).collect()}
+    assert near == {d for d in ids if find(d) == d}
+    last = good.where(F.col("doc_id").isin(list(near)))
+    taken = collections.Counter(r.doc_id for r in corpus_pipeline.mix(spark, last, SF).collect())
+    assert taken == {r.doc_id: r.copies for r in mixing.allot(last).collect() if r.copies} and max(taken.values()) <= 3
+    coder = library(public_tokenizers.path("word_bpe_49k.json"))
+    for r in corpus_pipeline.encode(spark, last.limit(40), SF).collect():
+        got = coder.encode(kept[r.doc_id], add_special_tokens=False).ids
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(got), sha(" ".join(map(str, got))), sha(coder.decode(got, skip_special_tokens=False)))
