@@ -20,6 +20,11 @@ def _zero():
     return F.lit(0).cast("long")
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Slim rows dealt to all cores: reading their statements costs far more than moving them."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def tree(documents: DataFrame) -> DataFrame:
     """One CREATE TABLE a document: table k = doc_id mod 250 of project doc_id div 250 references the tables
     k div 2 (column a_id) and k - 1 (b_id); see the oracles for the variants by k."""
@@ -35,7 +40,7 @@ def tree(documents: DataFrame) -> DataFrame:
     body = F.concat(head, F.when(k > 0, F.concat(a, b, key)).otherwise(""))
     again = F.when(k % 13 == 0, F.array(F.struct(F.lit(1).alias("n"), F.concat(body, F.lit(", extra decimal(10, 2))")).alias("sql"))))
     once = F.array(F.struct(F.lit(0).alias("n"), F.concat(body, F.lit(")")).alias("sql")))
-    rows = documents.select(F.concat(F.lit("p"), text(F.floor(i / 250))).alias("project"), k.alias("k"), F.explode(F.concat(once, F.coalesce(again, F.array().cast("array<struct<n:int,sql:string>>")))).alias("s"))
+    rows = _spread(documents.select("doc_id"), "doc_id").select(F.concat(F.lit("p"), text(F.floor(i / 250))).alias("project"), k.alias("k"), F.explode(F.concat(once, F.coalesce(again, F.array().cast("array<struct<n:int,sql:string>>")))).alias("s"))
     return rows.select(
         "project", F.concat(F.lit("f"), text(F.col("k") % 4 + F.col("s.n"))).alias("file"), _zero().alias("file_idx"), _zero().alias("entry_idx"),
         (F.col("k") * 2 + F.col("s.n")).cast("long").alias("stmt_idx"), F.lit("create_table").alias("kind"), F.col("s.sql").alias("sql"))
@@ -88,7 +93,7 @@ def migrations(events: DataFrame) -> DataFrame:
     comment = F.concat(F.lit("COMMENT ON COLUMN "), table, F.lit("."), name, F.lit(" IS 'event "), F.col("event_id").cast("string"), F.lit("'"))
     turn = F.col("event_id") % 3
     project = F.concat(F.lit("m"), (F.col("user_id") % 8).cast("string"))
-    alter = events.select(
+    alter = _spread(events.select("event_id", "user_id", "event_type", "ts"), "event_id").select(
         project.alias("project"), F.lit("events").alias("file"), F.floor(at / 1_000_000).alias("file_idx"), (at % 1_000_000).alias("entry_idx"), F.col("event_id").cast("long").alias("stmt_idx"),
         F.when(turn == 2, "comment_on").otherwise("alter_table").alias("kind"), F.when(turn == 0, add).when(turn == 1, modify).otherwise(comment).alias("sql"))
     create = events.select("user_id").distinct().select(
