@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from . import line_dedup as ld
-from . import mixing, url_tree
+from . import merkle, mixing, url_tree
+from .common import LOWER, UPPER
 
 def _rounds() -> str:
     """One group of CTEs for each look at the lines of a leaf, from now0 (leaf, line) and names0."""
@@ -165,3 +166,61 @@ FROM rows r JOIN tree t ON r.host = t.host AND r.segments = t.segments JOIN own
 """
 
 ORACLES = {"op1_line_dedup": LINE_DEDUP, "op5_exact_dedup": EXACT_DEDUP, "op6_mixing": MIXING, "op9_url_filter": URL_FILTER}
+
+
+def _nodes(name: str, n: int) -> str:
+    """CTEs of the levels {name}0 (tree, pos, total, digest) to {name}{n} and of what stands beside each node ({name}_at0 ...)."""
+    out = []
+    for i in range(n):
+        out.append(f"""
+{name}_at{i} AS (
+  SELECT tree, pos, total, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{i} WINDOW w AS (PARTITION BY tree, pos // {merkle.FAN} ORDER BY pos)),
+{name}{i + 1} AS (
+  SELECT tree, pos // {merkle.FAN} AS pos, any_value((total + {merkle.FAN - 1}) // {merkle.FAN}) AS total,
+    CASE WHEN any_value(total) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest
+  FROM {name}{i} GROUP BY 1, 2)""")
+    return ",".join(out)
+
+
+def _walk(name: str, n: int, source: str) -> str:
+    """CTEs that carry rows (tree, at_pos, proof, folded, ...) from `source` up the levels of `name`."""
+    out = []
+    for i in range(n):
+        out.append(f"""
+{name}_up{i} AS (
+  SELECT f.* REPLACE (at_pos // {merkle.FAN} AS at_pos, CASE WHEN a.total > 1 THEN proof || l || r ELSE proof END AS proof,
+    CASE WHEN a.total > 1 THEN sha256(l || folded || r) ELSE folded END AS folded)
+  FROM {source if i == 0 else f"{name}_up{i - 1}"} f JOIN {name}_at{i} a ON a.tree = f.tree AND a.pos = f.at_pos)""")
+    return ",".join(out)
+
+
+_field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+_LEAF = " || ".join(_field(c) for c in merkle.FIELDS)
+_LOW = f"translate(text, '{UPPER}', '{LOWER}')"
+#: CRC-32 with its usual polynomial, bit by bit: each byte is followed by eight steps (-1).
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+#: Levels for up to a thousand million rows a lang and 4,096 langs.
+_DEEP, _TOP = 10, 4
+
+MERKLE = f"""
+WITH leaves AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree, sha256({_LEAF}) AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN sha256({_LEAF.replace("text", _LOW)}) END AS tampered FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total FROM leaves),
+n0 AS (SELECT tree, pos, total, leaf AS digest FROM placed),
+{_nodes("n", _DEEP)},
+m0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS total, digest, tree AS of FROM n{_DEEP}),
+{_nodes("m", _TOP)},
+start AS (SELECT doc_id, leaf, tree, pos AS at_pos, '' AS proof, coalesce(tampered, leaf) AS folded FROM placed),
+{_walk("n", _DEEP, "start")},
+middle AS (SELECT u.* REPLACE ('' AS tree, m0.pos AS at_pos), digest AS subroot FROM n_up{_DEEP - 1} u JOIN m0 ON of = u.tree),
+{_walk("m", _TOP, "middle")}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+FROM m_up{_TOP - 1}, m{_TOP}
+"""
+
+ORACLES["op12_merkle_manifest"] = MERKLE
