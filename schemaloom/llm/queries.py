@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, licenses, line_dedup, merkle, minhash, mixing, quality_cnn, token_counts, url_tree
+from . import ann, bpe, exact_dedup, licenses, line_dedup, merkle, minhash, mixing, periods, quality_cnn, token_counts, url_tree
 from .common import small_batches, table, written
 from .oracles import ORACLES
 
@@ -66,6 +66,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with small_batches(spark):
+        return written(periods.digests(table(spark, sf_dir, "documents")))
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to; a written table."""
     with small_batches(docs.sparkSession):
@@ -78,6 +83,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_nearest_neighbours, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_mixing,
-    op7_quality_classifier, op8_minhash_near_dedup, op9_url_filter, op10_bpe, op12_merkle_manifest)}
+    op7_quality_classifier, op8_minhash_near_dedup, op9_url_filter, op10_bpe, op12_merkle_manifest,
+    op13_periodic_runs)}
 
 __all__ = ["ORACLES", "QUERIES"]
