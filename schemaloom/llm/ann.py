@@ -24,6 +24,8 @@ from .common import hot_join, written
 
 #: Vectors that the index is fitted on: SAMPLE, or SAMPLE_PER_LIST for each of at most MAX_LISTS lists.
 SAMPLE, SAMPLE_PER_LIST, MAX_LISTS, PARTS, CODES, ROUNDS, SEED = 20_000, 8, 16_384, 16, 256, 8, 11
+#: Bytes of a matrix that a task or the driver makes at a time.
+BYTES = 16 << 20
 SHARD, BLOCK, SHORTLIST, RERANK, RECALL = 8192, 1024, 100, 300, 0.97
 
 
@@ -31,9 +33,15 @@ def n_lists(n: int) -> int:
     return int(min(MAX_LISTS, max(1, round(n**0.5))))
 
 
+def cut(n: int, width: int) -> list[slice]:
+    """Ranges of n rows, such that a matrix of `width` doubles a row has about BYTES."""
+    step = max(1, BYTES // (8 * max(1, width)))
+    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
+
+
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     half = (centers * centers).sum(axis=1) / 2
-    return np.concatenate([np.argmin(half - x[i : i + 4096] @ centers.T, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.empty(0, int)
+    return np.concatenate([np.argmin(half - x[b] @ centers.T, axis=1) for b in cut(len(x), len(centers))]) if len(x) else np.empty(0, int)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
@@ -67,9 +75,12 @@ class Index:
     def calibrated(self, x: np.ndarray, recall: float, k: int = 10) -> int:
         """Lists to probe so that queries of the sample find `recall` of their k nearest in it."""
         at, q = nearest(x, self.centers), x[:: max(1, len(x) // 200)]
-        rank = np.argsort(np.argsort(self.distances(q, self.centers), axis=1, kind="stable"), axis=1)
-        near = np.argsort(self.distances(q, x), axis=1, kind="stable")[:, 1 : k + 1]
-        needed = np.sort(np.take_along_axis(rank, at[near], axis=1).ravel())
+        needed = []
+        for b in cut(len(q), 3 * (len(x) + len(self.centers))):
+            rank = np.argsort(np.argsort(self.distances(q[b], self.centers), axis=1, kind="stable"), axis=1)
+            near = np.argsort(self.distances(q[b], x), axis=1, kind="stable")[:, 1 : k + 1]
+            needed.append(np.take_along_axis(rank, at[near], axis=1).ravel())
+        needed = np.sort(np.concatenate(needed))
         return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else len(self.centers)
 
     @staticmethod
@@ -83,7 +94,9 @@ class Index:
         return at, np.stack([nearest(rest[:, p * self.width : (p + 1) * self.width], self.books[p]) for p in range(PARTS)], axis=1).astype(np.uint8)
 
     def probed(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(self.distances(self.padded(x), self.centers), axis=1, kind="stable")[:, : self.probes]
+        x = self.padded(x)
+        parts = [np.argsort(self.distances(x[b], self.centers), axis=1, kind="stable")[:, : self.probes].astype(np.int32) for b in cut(len(x), 3 * len(self.centers))]
+        return np.concatenate(parts) if parts else np.empty((0, self.probes), np.int32)
 
     def tables(self, q: np.ndarray, center: np.ndarray) -> np.ndarray:
         """Squared distances of each query's residual to each code, by part."""
@@ -120,7 +133,7 @@ def _probes(index: Index):
         for b in batches:
             if len(b):
                 lists = index.probed(_stack(b["embedding"]))
-                yield b.rename(columns={"vec_id": "query_id", "h": "query_h"}).assign(list_id=list(lists.astype(np.int32)))
+                yield b.rename(columns={"vec_id": "query_id", "h": "query_h"}).assign(list_id=list(lists))
 
     return run
 

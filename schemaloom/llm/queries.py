@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, licenses, line_dedup, merkle, minhash, mixing, periods, quality_cnn, token_counts, url_tree
+from . import ann, bpe, embedding_dedup, exact_dedup, licenses, line_dedup, merkle, minhash, mixing, periods, quality_cnn, token_counts, url_tree
 from .common import small_batches, table, written
 from .oracles import ORACLES
 
@@ -62,6 +62,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -83,7 +87,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_nearest_neighbours, op3_license_scan, op4_token_counts, op5_exact_dedup, op6_mixing,
-    op7_quality_classifier, op8_minhash_near_dedup, op9_url_filter, op10_bpe, op12_merkle_manifest,
+    op7_quality_classifier, op8_minhash_near_dedup, op9_url_filter, op10_bpe, op11_embedding_dedup, op12_merkle_manifest,
     op13_periodic_runs)}
 
 __all__ = ["ORACLES", "QUERIES"]
