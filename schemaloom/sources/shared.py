@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +18,29 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"file://{tempfile.gettempdir()}/schemaloom-shared").rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within are deleted at its end, but for those written with keep=True. For a step whose result is a written table and
+    reads none of the others any more."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in _open.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """`df` written as a table in the shared folder and read again: lineage ends here, and a lost executor costs a
     read, not the work above. The owner of the folder clears it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    if _open and not keep:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
