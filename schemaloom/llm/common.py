@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import scratch, written  # noqa: F401
 
 #: Rows of one key that meet in one task of hot_join().
 HOT_ROWS = 100_000

@@ -117,7 +117,8 @@ def suspects(prints: DataFrame, owners: int | None = None) -> DataFrame:
     if owners is None:
         owners = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() // OWNER_ROWS + 1)
     messages = written(prints.select("fp").mapInPandas(_messages(owners), MESSAGE))
-    answers = messages.groupBy("owner").applyInPandas(_answers, "block string, owner int, bitmap binary")
+    # Written, so that no task has a Python worker for this and another for what follows.
+    answers = written(messages.groupBy("owner").applyInPandas(_answers, "block string, owner int, bitmap binary"))
     met = messages.drop("multi").join(answers, ["block", "owner"])
     return written(met.select("owner", "n", "k", "data", "bitmap").mapInPandas(_flagged(owners), "fp long").distinct())
 

@@ -37,8 +37,7 @@ def _version(m: re.Match) -> str:
 
 
 def rules() -> list[tuple[str, str, int, str]]:
-    """Ordered rules (keyword, label, priority, regex); the word that stands for a detection is in the group
-    `at`, or the whole match does."""
+    """Ordered rules (keyword, label, priority, regex). Those with the keyword SPDX are members of an expression."""
     out = []
     for line in SIGNATURES.strip().splitlines():
         label, priority, pattern = line.split(" | ")
@@ -47,18 +46,43 @@ def rules() -> list[tuple[str, str, int, str]]:
         out.append((keyword, label, int(priority), pattern))
     for name in IDENTIFIERS:
         words = " ".join(re.findall("[0-9a-z]+", name.lower()))
-        # Any member of an expression: what stands before it ends with an operator.
-        out.append(("spdx", name.lower(), 5, rf"spdx (?:license|licence) identifier (?:(?:\S+ ){{1,16}}?(?:or|and|with) )?(?P<at>{words})"))
+        out.append((SPDX, name.lower(), 5, words))
     return out
 
 
+#: The keyword of rules for members of an expression after `SPDX-License-Identifier:`, and what stands before and between
+#: members. Members of one's own and exceptions have no label.
+SPDX, SPDX_HEAD, SPDX_OPERATOR = "spdx", "spdx (?:license|licence) identifier", "(?:or|and|with)"
+SPDX_OTHER = r"licenseref(?: \w+){1,4}?|(?:\w+ ){1,4}?exception(?: [0-9]+)*"
+
+
 def _compiled() -> dict[bytes, list]:
     by: dict[bytes, list] = {}
     for order, (keyword, label, priority, pattern) in enumerate(rules()):
-        by.setdefault(keyword.encode(), []).append((order, label, priority, re.compile(rf" (?:{pattern})(?= )".encode())))
+        if keyword != SPDX:
+            by.setdefault(keyword.encode(), []).append((order, label, priority, re.compile(rf" (?:{pattern})(?= )".encode())))
     return by
 
 
+class Expressions:
+    """Members of expressions of any length: known ones, each joined to the next by an operator."""
+
+    def __init__(self):
+        own = [(order, label, priority, words) for order, (keyword, label, priority, words) in enumerate(rules()) if keyword == SPDX]
+        self.by = {words.encode(): (order, label, priority) for order, label, priority, words in own}
+        known = "|".join(sorted((words for *_, words in own), key=len, reverse=True))
+        one = rf"(?:(?:{known})(?= )|{SPDX_OTHER})"
+        self.whole = re.compile(rf" {SPDX_HEAD}(?P<all> {one}(?: {SPDX_OPERATOR} {one})*)(?= )".encode())
+        self.member = re.compile(rf"(?:(?<= identifier)|(?<= or)|(?<= and)|(?<= with)) (?P<at>{known})(?= )".encode())
+
+    def find(self, flat: bytes):
+        """Start (of the blank before), end, priority, label, order of each member."""
+        for m in self.whole.finditer(flat):
+            for x in self.member.finditer(flat, m.start("all"), m.end("all") + 1):
+                order, label, priority = self.by[x["at"]]
+                yield x.start(), x.end(), priority, label, order
+
+
 def suppressed(found: list[tuple]) -> list[tuple]:
     """Detections (start, end, priority, label, order) without those inside another of at least their priority."""
     found = sorted(found, key=lambda d: (d[0], -d[1], -d[2], d[4]))
@@ -82,7 +106,8 @@ def scan(text: str) -> tuple[int, list[tuple[int, str]], list[tuple]]:
     if not _state:
         _state["rules"] = _compiled()
         _state["base"] = [(p.split()[0].encode(), re.compile(rf" {p}(?= )".encode()), label) for p, label in BASE]
-        _state["words"] = frozenset(_state["rules"]) | {first for first, _, _ in _state["base"]}
+        _state["spdx"] = Expressions()
+        _state["words"] = frozenset({*_state["rules"], SPDX.encode()}) | {first for first, _, _ in _state["base"]}
     words = text.encode("utf-8", "surrogatepass").translate(TABLE).split()
     held = _state["words"].intersection(words)
     if not held:
@@ -95,8 +120,9 @@ def scan(text: str) -> tuple[int, list[tuple[int, str]], list[tuple]]:
     for keyword in held:
         for order, label, priority, p in _state["rules"].get(keyword, ()):
             for m in p.finditer(flat):
-                start, end = (m.start("at") - 1, m.end("at")) if "at" in p.groupindex else m.span()
-                found.append((at(start), at(end), priority, label, order))
+                found.append((at(m.start()), at(m.end()), priority, label, order))
+    if SPDX.encode() in held:
+        found += [(at(a), at(b), *rest) for a, b, *rest in _state["spdx"].find(flat)]
     return len(words), base, suppressed(found)
 
 

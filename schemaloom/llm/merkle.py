@@ -110,9 +110,6 @@ def reduced(nodes: DataFrame, extra: list[str]) -> tuple[list[DataFrame], DataFr
     return levels, written(roots)
 
 
-NO_PATH = F.array().cast("array<struct<left:string,right:string>>")
-
-
 def _slots(groups: DataFrame, above: DataFrame) -> DataFrame:
     """A row for each slot of the groups, with its path: what stands at its left and right in its group, then its group's path."""
     rows = groups.select("tree", "pos", "slots").join(above, ["tree", "pos"])
@@ -152,7 +149,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     trees = trees.select(F.lit("").alias("tree"), "pos", F.lit(n).cast("long").alias("total"), "digest", F.col("tree").alias("of"))
     upper, tops = reduced(trees, ["of"])
     root = F.lit(tops.first()["digest"] if n else None).cast("string")
-    ends = written(docs.sparkSession.range(1).select(F.lit("").alias("tree"), NO_PATH.alias("path")))
+    ends = written(docs.sparkSession.range(1).select(F.lit("").alias("tree"), F.array().cast("array<struct<left:string,right:string>>").alias("path")))
     ends = paths(trees, upper, ends, ["of"]).select(F.col("of").alias("tree"), F.col("digest").alias("subroot"), "path")
     rows = paths(nodes, levels, written(ends), extra).withColumn("root", root)
     proof = F.array_join(F.transform("path", lambda p: F.concat(p["left"], p["right"])), "")

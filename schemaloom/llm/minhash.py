@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, mapped_table, pieces, whole_row, written
+from .common import hot_join, mapped_table, pieces, scratch, whole_row, written
 
 SHINGLE, PERCENT = 5, 85
 KEYS, ROWS, BANDS, BITS = 512, 5, 24, 2
@@ -326,5 +326,7 @@ def dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, n_bands: in
     are told apart by their texts."""
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     row = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash.alias("hash"))
-    gone = written(_classified(docs, k, percent, n_bands).where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct())
+    with scratch(docs.sparkSession):
+        gone = _classified(docs, k, percent, n_bands).where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+        gone = written(gone.distinct(), keep=True)
     return row.join(gone, ["id", "hash"], "left_anti").select("row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_row, written
+from .common import scratch, whole_row, written
 
 #: Weights of the sources in order of their names, repeating; and start and end of their shares' schedule.
 WEIGHTS = (5, 2, 1)
@@ -88,12 +88,13 @@ def allot(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, passes: int = M
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The columns of `docs`, one row for each copy that the mix takes, sorted by training position. Rows that agree in
     doc_id, source and text share their copies, dealt in turn."""
-    rows = allot(docs, **how)
-    x = lambda copy: copy * F.col("source_size") + F.col("at")
-    at = lambda copy: F.when(F.col("target") > 0, position(x(copy), F.col("target"), F.col("slope"))).otherwise(F.lit(0.0))
-    times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>"))
-    same = rows.groupBy("doc_id", "source", "hash").agg(F.count(F.lit(1)).alias("alike"), F.sort_array(F.flatten(F.collect_list(times))).alias("times"))
-    places = written(same.where(F.size("times") > 0).select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("hash").alias("hash_"), "alike", "times"))
+    with scratch(docs.sparkSession):
+        rows = allot(docs, **how)
+        x = lambda copy: copy * F.col("source_size") + F.col("at")
+        at = lambda copy: F.when(F.col("target") > 0, position(x(copy), F.col("target"), F.col("slope"))).otherwise(F.lit(0.0))
+        times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>"))
+        same = rows.groupBy("doc_id", "source", "hash").agg(F.count(F.lit(1)).alias("alike"), F.sort_array(F.flatten(F.collect_list(times))).alias("times"))
+        places = written(same.where(F.size("times") > 0).select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("hash").alias("hash_"), "alike", "times"), keep=True)
     rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     on = F.col("id").eqNullSafe(F.col("id_")) & F.col("of").eqNullSafe(F.col("source_")) & (F.col("hash") == F.col("hash_"))
     one = rows.join(places.where("alike = 1"), on).select("row", "id", "times")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import pieces, whole_row
 
 CHUNK, OVERLAP, STRIDE, DIM, FILTERS, HIDDEN = 512, 32, 4, 8, 48, 16
-#: Bounds of the training sample: labelled rows, and bytes of their texts (the row that would pass it and all
-#: after it stay out). Texts of the sample are used whole.
+#: Bounds of the training sample: labelled rows, and bytes of their texts (rows that would pass it stay out, later ones that
+#: fit do not). Texts of the sample are used whole.
 TRAIN_DOCS, TRAIN_BYTES, EPOCHS, SEED = 2500, 64 << 20, 8, 7
 #: Chunks whose responses are held at once.
 BLOCK = 128
@@ -124,7 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, n_bytes: i
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # n_docs slim rows
     rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("n"), "text", "quality")
     slim = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "hash").select("doc_id", "hash", "n").limit(n_docs).toPandas()
-    slim = slim[slim["n"].cumsum() <= n_bytes]
+    left, fits = n_bytes, []
+    for n in slim["n"]:
+        fits.append(n <= left)
+        left -= n * fits[-1]
+    slim = slim[np.array(fits, bool)]
     if slim.empty:
         return new_weights()
     chosen = docs.sparkSession.createDataFrame(slim[["doc_id", "hash"]].drop_duplicates(), "doc_id long, hash long")

@@ -150,7 +150,7 @@ zlib | 2 | (?:the )?~zlib (?:libpng )?LIC
 libpng | 2 | (?:the )?~libpng LIC
 boost | 6 | permission is hereby granted free of charge to any person or ~organization obtaining a copy of the software and accompanying documentation covered by this LIC
 boost-1.0 | 4 | ~boost software LIC <1.0>
-boost | 3 | ~boost software LIC
+boost | 3 | ~boost(?: software)? LIC
 unlicense | 6 | this is free and ~unencumbered software released into the public domain
 unlicense | 3 | the ~unlicense
 unlicense | 2 | ~unlicense
@@ -239,6 +239,7 @@ bsl-1.1 | 3 | ~business source LIC
 commons-clause | 3 | ~commons clause
 polyform | 3 | ~polyform (?:noncommercial|shield|perimeter|strict|small business) LIC
 rail | 3 | (?:creativeml )?open ~rail m(?: LIC)?
+rail | 3 | (?:creativeml )?~openrail(?: m)?(?: LIC)?
 rail | 2 | responsible ~ai LIC
 llama | 3 | ~llama (?:[0-9](?: [0-9])? )?community LIC
 ogl-3.0 | 4 | open ~government LIC <3>
