@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, NumericType, StringType, TimestampType
 
 
 def observed_nullable(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -51,36 +52,64 @@ def observed_link_pairs(link: DataFrame, a: str, b: str) -> DataFrame:
 VERIFIED = "relationship string, declared string, observed string, declared_optional boolean, observed_optional boolean, max_children long, null_rows long, n_orphans long"
 
 
-def verify_child(child: DataFrame, declared: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
-    """The references that one table declares (rel_id, from_columns, to_table, to_columns, cardinality, optional) beside
-    what its rows show: the table is read once, each reference's key is counted once, and only the counted keys meet
-    the parents."""
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.array(*[F.col(c).cast("string") for c in r["from_columns"]]).alias("k")) for i, r in enumerate(declared)])
-    full = F.forall("k", lambda v: v.isNotNull())
-    counted = child.select(F.explode(keys).alias("e")).select("e.i", "e.k").withColumn("k", F.when(full, F.col("k"))).groupBy("i", "k").agg(F.count(F.lit(1)).alias("n"))
-    parents = reduce(DataFrame.unionByName, [
-        tables[r["to_table"]].select(F.lit(i).alias("i"), F.array(*[F.col(c).cast("string") for c in r["to_columns"]]).alias("k"), F.lit(True).alias("known"))
-        for i, r in enumerate(declared)])
-    met = counted.join(parents.dropDuplicates(["i", "k"]), ["i", "k"], "left")
+def _canonical(c: Column, own: DataType, other: DataType) -> Column:
+    """A key column as a string that is equal for equal values, also of two types that Spark compares by casting."""
+    numeric, when = any(isinstance(x, NumericType) for x in (own, other)), any(isinstance(x, (DateType, TimestampType)) for x in (own, other))
+    if numeric:
+        if isinstance(own, (StringType, FloatType, DoubleType)):
+            c = F.coalesce(c.try_cast("decimal(38,18)").cast("string"), c.cast("string"))
+        return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return (c.cast("timestamp") if when else c).cast("string")
+
+
+def _type(df: DataFrame, name: str) -> DataType:
+    return next(f.dataType for f in df.schema if f.name.lower() == name.lower())
+
+
+def verify_catalog(spark: SparkSession, relationships: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
+    """Every declared relationship (rel_id, from_table, from_columns, to_table, to_columns, cardinality, optional) between tables at hand beside
+    what their rows show.
+
+    Each table is read once as a child, its keys counted by grouping sets on their own types, and once for each key that others refer to. All
+    counted keys then meet all parents' keys in one join, in a form that is equal for equal values of different types. No relationships
+    give no rows."""
+    declared = [r for r in relationships if r["from_table"] in tables and r["to_table"] in tables]
+    if not declared:
+        return spark.createDataFrame([], VERIFIED)
+    by: dict[str, list[tuple[int, dict]]] = {}
+    for i, r in enumerate(declared):
+        by.setdefault(r["from_table"], []).append((i, r))
+    counted, parents = [], {}
+    for name, mine in by.items():
+        child = tables[name]
+        sets = list(dict.fromkeys(tuple(c.lower() for c in r["from_columns"]) for _, r in mine))
+        columns = list(dict.fromkeys(c for s in sets for c in s))
+        # One more column of constants for each set tells the sets apart, whatever nulls their keys hold.
+        marks = [f"_set{k}" for k in range(len(sets))]
+        slim = child.select(*[F.col(c).alias(f"_{columns.index(c)}") for c in columns], *[F.lit(1).alias(m) for m in marks])
+        grouped = slim.groupingSets([[F.col(m), *[F.col(f"_{columns.index(c)}") for c in s]] for m, s in zip(marks, sets)], *[F.col(f"_{k}") for k in range(len(columns))], *[F.col(m) for m in marks])
+        grouped = grouped.agg(F.count(F.lit(1)).alias("n"))
+        rows = []
+        for i, r in mine:
+            own = tuple(c.lower() for c in r["from_columns"])
+            pairs = [(_type(child, a), _type(tables[r["to_table"]], b)) for a, b in zip(r["from_columns"], r["to_columns"])]
+            shape = (r["to_table"], tuple(c.lower() for c in r["to_columns"]), tuple(a.simpleString() for a, _ in pairs))
+            j, _ = parents.setdefault(shape, (len(parents), [(b, a) for a, b in pairs]))
+            k = F.array(*[_canonical(F.col(f"_{columns.index(c)}"), *types) for c, types in zip(own, pairs)])
+            rows.append(F.when(F.col(marks[sets.index(own)]) == 1, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), k.alias("k"))))
+        counted.append(grouped.select("n", F.explode(F.array_compact(F.array(*rows))).alias("e")).select("e.i", "e.j", "e.k", "n"))
+    null = ~F.forall("k", lambda v: v.isNotNull())
+    counted = reduce(DataFrame.unionByName, counted).withColumn("k", F.when(~null, F.col("k")))
+    known = [
+        tables[name].select(F.lit(j).alias("j"), F.array(*[_canonical(F.col(c), *t) for c, t in zip(columns, types)]).alias("k"), F.lit(True).alias("known"))
+        for (name, columns, _), (j, types) in parents.items()]
+    met = counted.join(reduce(DataFrame.unionByName, known).dropDuplicates(["j", "k"]), ["j", "k"], "left")
     null = F.col("k").isNull()
     seen = met.groupBy("i").agg(
         F.coalesce(F.max(F.when(~null, F.col("n"))), F.lit(0)).alias("max_children"), F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("null_rows"),
         F.coalesce(F.sum(F.when(~null & F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("n_orphans"))
-    said = child.sparkSession.createDataFrame(
-        [(i, r["rel_id"], r["cardinality"], r["optional"]) for i, r in enumerate(declared)], "i int, relationship string, declared string, declared_optional boolean")
+    said = spark.createDataFrame([(i, r["rel_id"], r["cardinality"], r["optional"]) for i, r in enumerate(declared)], "i int, relationship string, declared string, declared_optional boolean")
     out = said.join(seen, "i", "left").fillna(0)
     return out.select(
         "relationship", "declared", F.when(F.col("max_children") <= 1, "one-to-one").otherwise("many-to-one").alias("observed"), "declared_optional",
         (F.col("null_rows") > 0).alias("observed_optional"), "max_children", "null_rows", "n_orphans")
-
-
-def verify_catalog(spark: SparkSession, relationships: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
-    """Every declared relationship between tables at hand (rows of a catalog small enough to plan over) against their
-    rows, one pass over each table. No relationships give no rows."""
-    by: dict[str, list[dict]] = {}
-    for r in relationships:
-        if r["from_table"] in tables and r["to_table"] in tables:
-            by.setdefault(r["from_table"], []).append(r)
-    parts = [verify_child(tables[name], declared, tables) for name, declared in by.items()]
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], VERIFIED))

@@ -243,3 +243,9 @@ ORACLES["document_sizes"] = f"""
 WITH s AS (SELECT *, strlen(coalesce(text, ''))::BIGINT AS n FROM documents)
 SELECT doc_id, {_bytes.format("n")} AS size, {_bytes.format("(n * n)")} AS square, true AS same, 'varchar (' || n_chars || ')' AS kind, doc_id % 2 = 0 OR doc_id % 3 = 0 AS auto FROM s
 """
+
+ORACLES["dump_ranges"] = """
+SELECT coalesce(source, 'none') AS project, 2 * count(*) AS statements, count(*) AS kept, count(*) AS inserts, 0 AS copy_blocks, count(*) AS created,
+  min(doc_id) AS first_table, max(doc_id) AS last_table, sum(doc_id)::VARCHAR AS all_tables
+FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL
+"""

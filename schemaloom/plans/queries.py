@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns
 from ..operators import checks, render, reports
-from ..sources import files
+from ..sources import files, ranges
 from ..sources import statements as st
 from ..sources.shared import shared_dir, written
 from ..streaming import ingest
@@ -118,6 +118,21 @@ def dump_retained_ddl(spark, sf_dir):
     return st.retained_ddl(st.split_statements(corpora.dumps(table(spark, sf_dir, "documents"))))
 
 
+def dump_ranges(spark, sf_dir):
+    """Plain dump files, a folder a source, read by ranges of bytes: what each folder's files hold. Each document is an INSERT that quotes its text, of as many
+    lines as that has, and a CREATE."""
+    top = f"{shared_dir(spark)}/dumps-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    quoted = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\\", r"\\\\"), "'", "''")
+    sql = F.concat(F.lit("INSERT INTO docs VALUES ("), "doc_id", F.lit(", '"), quoted, F.lit(";\nCREATE TABLE fake (x int); -- /* $a$');\nCREATE TABLE t"), "doc_id", F.lit(" (x int);"))
+    docs.select(F.coalesce("source", F.lit("none")).alias("source"), sql.alias("sql")).write.partitionBy("source").text(top)
+    found = ranges.read_dumps(spark, f"{top}/*")
+    counts = [F.sum(c).alias(c) for c in ("statements", "kept", "inserts", "copy_blocks", "created")]
+    number = F.regexp_extract("sql", "^CREATE TABLE t([0-9]+) ", 1).try_cast("long")
+    tables = found.statements.groupBy("project").agg(F.min(number).alias("first_table"), F.max(number).alias("last_table"), F.sum(number.cast("decimal(38,0)")).cast("string").alias("all_tables"))
+    return found.stats.groupBy("project").agg(*counts).join(tables, "project").withColumn("project", F.regexp_replace("project", "^source=", ""))
+
+
 def migration_columns(spark, sf_dir):
     c = assemble.build(corpora.migrations(table(spark, sf_dir, "events")))
     return c.columns.where("name <> 'id'").select("table_id", "name", "type", "nullable", "comment")
@@ -293,6 +308,6 @@ def document_sizes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tree_relationships, tree_tables, tree_connectivity, tree_many_to_many, tree_warnings, tree_dictionary, tree_search, tree_table_sets, tree_totals,
-    tree_er_edges, tree_class_edges, tree_graph_edges, tree_diagram_sizes, dump_file_reports, dump_retained_ddl, migration_columns, migration_kinds, tree_documents, tree_details, tree_isolated, archive_reports, archive_warnings, archive_projects,
+    tree_er_edges, tree_class_edges, tree_graph_edges, tree_diagram_sizes, dump_file_reports, dump_retained_ddl, dump_ranges, migration_columns, migration_kinds, tree_documents, tree_details, tree_isolated, archive_reports, archive_warnings, archive_projects,
     archive_new_files, replaced_statements, odd_relationships, odd_tables, odd_warnings, stream_tables, document_sizes,
     check_nullable, check_keys, check_orphans, check_cardinality, check_optional, check_link_pairs, check_star_schema)}
