@@ -7,7 +7,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lowered, relationship_id, same_set, subset, table_id, table_key
@@ -162,7 +162,16 @@ def related(fks: DataFrame, tables: DataFrame) -> DataFrame:
 def build(statements: DataFrame, notes: DataFrame | None = None) -> Catalog:
     """The catalog of statement rows (project, file, file_idx, entry_idx, stmt_idx, kind, sql). `notes` (project, seq,
     message: what the import has to say, as files.import_notes() has it) lead the warnings."""
-    events = written(extract_ddl(statements).withColumn("ord", F.struct(*STATEMENT)))
+    c = assembled(written(extract_ddl(statements)))
+    said = c.warnings.drop("bare")
+    if notes is not None:
+        said = said.unionByName(notes.select("project", F.lit(0).alias("rank"), F.lpad(F.col("seq").cast("string"), 12, "0").alias("at"), "message"))
+    return Catalog(c.tables, c.columns, c.relationships, c.many_to_many, said)
+
+
+def assembled(events: DataFrame) -> Catalog:
+    """The catalog of event rows (a written table); its warnings have the bare name of the table that they are about, if any."""
+    events = events.withColumn("ord", F.struct(*STATEMENT))
     creates = events.where("event = 'create'").select("project", "file", "ord", "parts", "comment")
     creates = creates.withColumn("key", table_key(F.col("parts"))).withColumn("table_id", table_id(F.col("parts")))
     creates = creates.withColumn("name", F.element_at("parts", -1)).withColumn("schema", F.get("parts", F.size("parts") - 2))
@@ -193,27 +202,32 @@ def build(statements: DataFrame, notes: DataFrame | None = None) -> Catalog:
     junction = links.select("project", F.col("from_key").alias("key"), F.lit(True).alias("is_junction"))
     shown = tables.withColumn("n_columns", F.size("cols").cast("long")).drop("cols").join(junction, ["project", "key"], "left")
     shown = shown.withColumn("is_junction", F.coalesce("is_junction", F.lit(False))).withColumnRenamed("pk", "primary_key")
-    lost = fks.where("to_key is null").join(tables.select("project", "key", "table_id", F.col("ord").alias("table_ord")), ["project", "key"])
-    said = warnings(events, definitions, ignored, lost)
-    if notes is not None:
-        said = said.unionByName(notes.select("project", F.lit(0).alias("rank"), F.lpad(F.col("seq").cast("string"), 12, "0").alias("at"), "message"))
-    return Catalog(shown, columns, rel.drop("wide"), many, said)
+    lost = fks.where("to_key is null").join(tables.select("project", "key", "table_id", F.col("name").alias("table_name"), F.col("ord").alias("table_ord")), ["project", "key"])
+    return Catalog(shown, columns, rel.drop("wide"), many, warnings(events, definitions, ignored, lost))
+
+
+def _place(*c: str) -> Column:
+    """Numbers as text that sorts like them."""
+    return F.concat_ws("/", *[F.lpad(F.col(x).cast("string"), 12, "0") for x in c])
+
+
+def unread(events: DataFrame) -> DataFrame:
+    """What statements that could not be read, or not as tables, have to say."""
+    return events.where("event = 'warning'").select("project", F.lit(1).alias("rank"), _place(*STATEMENT).alias("at"), "message", F.lit(None).cast("string").alias("bare"))
 
 
 def warnings(events: DataFrame, definitions: DataFrame, ignored: DataFrame, lost: DataFrame) -> DataFrame:
-    """project, rank, at, message: statement warnings in order, then unknown references by table."""
+    """project, rank, at, message, bare: statement warnings in order, then unknown references by table."""
     two = F.when(F.col("before.file") != F.col("file"), F.concat(F.lit(" ("), F.col("before.file"), F.lit(" and "), F.col("file"), F.lit(")"))).otherwise("")
-    place = lambda *c: F.concat_ws("/", *[F.lpad(F.col(x).cast("string"), 12, "0") for x in c])
-    of = lambda s: place(*[f"{s}.{c}" for c in STATEMENT])
+    of = lambda s: _place(*[f"{s}.{c}" for c in STATEMENT])
     twice = definitions.where("before is not null").select(
         "project", F.lit(1).alias("rank"), of("ord").alias("at"),
-        F.concat(F.lit('Table "'), "table_id", F.lit('" is defined more than once'), two, F.lit("; the last definition is used.")).alias("message"))
-    unread = events.where("event = 'warning'").select("project", F.lit(1).alias("rank"), of("ord").alias("at"), "message")
+        F.concat(F.lit('Table "'), "table_id", F.lit('" is defined more than once'), two, F.lit("; the last definition is used.")).alias("message"), F.lower("name").alias("bare"))
     joined = F.array_join("parts", ".")
     ignored = ignored.where("event = 'alter'").select(
-        "project", F.lit(1).alias("rank"), of("ord").alias("at"), F.concat(F.lit('ALTER TABLE on unknown table "'), joined, F.lit('" was ignored.')).alias("message"))
-    fk_at = place(*[f"fk_ord.fk_{c}" for c in STATEMENT], "fk_ord.item_idx")
+        "project", F.lit(1).alias("rank"), of("ord").alias("at"), F.concat(F.lit('ALTER TABLE on unknown table "'), joined, F.lit('" was ignored.')).alias("message"), F.lower(F.element_at("parts", -1)).alias("bare"))
+    fk_at = _place(*[f"fk_ord.fk_{c}" for c in STATEMENT], "fk_ord.item_idx")
     orphan = lost.select(
         "project", F.lit(2).alias("rank"), F.concat_ws("/", of("table_ord"), fk_at).alias("at"),
-        F.concat("table_id", F.lit(': foreign key references unknown table "'), F.array_join("ref_parts", "."), F.lit('".')).alias("message"))
-    return twice.unionByName(unread).unionByName(ignored).unionByName(orphan)
+        F.concat("table_id", F.lit(': foreign key references unknown table "'), F.array_join("ref_parts", "."), F.lit('".')).alias("message"), F.lower("table_name").alias("bare"))
+    return twice.unionByName(unread(events)).unionByName(ignored).unionByName(orphan)

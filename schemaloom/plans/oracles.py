@@ -234,7 +234,10 @@ ORACLES["odd_warnings"] = ODD + """, w AS (
   UNION ALL SELECT project, 1, k, 'ALTER TABLE on unknown table "lost' || k || '" was ignored.' FROM o WHERE k % 3 = 0)
 SELECT project, row_number() OVER (PARTITION BY project ORDER BY phase, k) AS place, message FROM w
 """
-ORACLES["stream_tables"] = TREE + "SELECT project, 't' || k AS table_id, CASE WHEN k > 0 THEN 4 ELSE 2 END AS n_columns, linked AND k % 7 <> 0 AS is_junction FROM k"
+ORACLES["stream_tables"] = TREE + """
+SELECT project, 't' || k AS table_id, CASE WHEN k > 0 THEN 4 ELSE 2 END + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS n_columns, linked AND k % 7 <> 0 AS is_junction,
+  CASE WHEN k = 0 THEN 0 WHEN k % 7 = 0 THEN 1 ELSE 2 END AS n_references FROM k
+"""
 
 _bytes = "CASE WHEN {0} < 1024 THEN {0} || ' B' " + " ".join(
     f"WHEN {{0}} < {1024 ** (i + 1)} OR {i} = 4 THEN CASE WHEN {{0}} / {1024**i}.0 < 10 THEN printf('%.1f', floor({{0}} / {1024**i}.0 * 10 + 0.5) / 10) ELSE floor({{0}} / {1024**i}.0 + 0.5)::BIGINT::VARCHAR END || ' {unit}'"
@@ -249,3 +252,10 @@ SELECT coalesce(source, 'none') AS project, 2 * count(*) AS statements, count(*)
   min(doc_id) AS first_table, max(doc_id) AS last_table, sum(doc_id)::VARCHAR AS all_tables
 FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL
 """
+
+ORACLES["source_entries"] = r"""
+WITH s AS (
+  SELECT coalesce(source, 'none') AS project, 'CREATE TABLE t' || doc_id || ' (x int, note text DEFAULT ''' || replace(replace(coalesce(text, ''), '\', '\\'), '''', '''''') || ''')' AS sql
+  FROM documents WHERE doc_id IS NOT NULL)
+SELECT project, sum(strlen(sql) + 2)::BIGINT AS n_bytes, count(*) AS n_tables, sum(length(sql))::BIGINT AS n_chars FROM s GROUP BY project
+"""

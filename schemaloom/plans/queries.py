@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns
 from ..operators import checks, render, reports
-from ..sources import files, ranges
+from ..sources import datasource, files, ranges
 from ..sources import statements as st
 from ..sources.shared import shared_dir, written
 from ..streaming import ingest
@@ -133,6 +133,25 @@ def dump_ranges(spark, sf_dir):
     return found.stats.groupBy("project").agg(*counts).join(tables, "project").withColumn("project", F.regexp_replace("project", "^source=", ""))
 
 
+def source_entries(spark, sf_dir):
+    """Compressed scripts, a folder a source, read through the data source (or as files, where Python cannot open the shared folder):
+    entries' bytes and the statements in them."""
+    top = f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    quoted = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\\", r"\\\\"), "'", "''")
+    sql = F.concat(F.lit("CREATE TABLE t"), "doc_id", F.lit(" (x int, note text DEFAULT '"), quoted, F.lit("');"))
+    docs.select(F.coalesce("source", F.lit("none")).alias("source"), sql.alias("sql")).write.option("compression", "gzip").partitionBy("source").text(top)
+    if top.startswith("file:"):
+        datasource.register(spark)
+        entries = spark.read.format("sql_entries").load(f"{top}/*").where("project like 'source=%' and file like 'part-%'")
+    else:
+        entries = files.readable_entries(files.expand_entries(files.read_sql_files(spark, f"{top}/*")))
+    entries = entries.where("text is not null")
+    made = st.split_statements(entries).groupBy("project").agg(F.count(F.lit(1)).alias("n_tables"), F.sum(F.length("sql")).alias("n_chars"))
+    out = entries.groupBy("project").agg(F.sum("text_bytes").alias("n_bytes")).join(made, "project")
+    return out.withColumn("project", F.regexp_replace("project", "^source=", ""))
+
+
 def migration_columns(spark, sf_dir):
     c = assemble.build(corpora.migrations(table(spark, sf_dir, "events")))
     return c.columns.where("name <> 'id'").select("table_id", "name", "type", "nullable", "comment")
@@ -288,12 +307,18 @@ def odd_warnings(spark, sf_dir):
 
 
 def stream_tables(spark, sf_dir):
-    """The tree corpus as files of a stream, read until all are in: tables of the catalogs that it leaves."""
+    """The tree corpus as files of a stream that come in two turns, tables that others reference last: tables of the catalogs that it leaves, with
+    how many references each has. Every statement is in it, in order."""
     top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    sql = corpora.tree(table(spark, sf_dir, "documents").where("doc_id is not null")).where("stmt_idx % 2 = 0").withColumn("sql", F.concat("sql", F.lit(";")))
-    sql.select("project", "sql").write.partitionBy("project").text(f"{top}/in")
-    ingest.stream_sql_files(spark, f"{top}/in/*", f"{top}/store", f"{top}/out", f"{top}/checkpoint").awaitTermination()
-    return ingest.read_catalog(spark, f"{top}/out").tables.select(F.regexp_replace("project", "^project=", "").alias("project"), "table_id", "n_columns", "is_junction")
+    every = corpora.tree(table(spark, sf_dir, "documents").where("doc_id is not null")).withColumn("sql", F.concat("sql", F.lit(";")))
+    for late in (False, True):
+        turn = every.where((F.col("stmt_idx") < 250) == late).repartition("project").sortWithinPartitions("project", "file", "stmt_idx")
+        turn.select("project", "sql").write.mode("append").partitionBy("project").text(f"{top}/in")
+        ingest.stream_sql_files(spark, f"{top}/in/*", f"{top}/store", f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    c = ingest.read_catalog(spark, f"{top}/out")
+    links = c.relationships.groupBy("project", F.col("from_table").alias("table_id")).agg(F.count(F.lit(1)).alias("n_references"))
+    found = c.tables.join(links, ["project", "table_id"], "left").fillna(0, ["n_references"])
+    return found.select(F.regexp_replace("project", "^project=", "").alias("project"), "table_id", "n_columns", "is_junction", "n_references")
 
 
 def document_sizes(spark, sf_dir):
@@ -308,6 +333,6 @@ def document_sizes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tree_relationships, tree_tables, tree_connectivity, tree_many_to_many, tree_warnings, tree_dictionary, tree_search, tree_table_sets, tree_totals,
-    tree_er_edges, tree_class_edges, tree_graph_edges, tree_diagram_sizes, dump_file_reports, dump_retained_ddl, dump_ranges, migration_columns, migration_kinds, tree_documents, tree_details, tree_isolated, archive_reports, archive_warnings, archive_projects,
+    tree_er_edges, tree_class_edges, tree_graph_edges, tree_diagram_sizes, dump_file_reports, dump_retained_ddl, dump_ranges, source_entries, migration_columns, migration_kinds, tree_documents, tree_details, tree_isolated, archive_reports, archive_warnings, archive_projects,
     archive_new_files, replaced_statements, odd_relationships, odd_tables, odd_warnings, stream_tables, document_sizes,
     check_nullable, check_keys, check_orphans, check_cardinality, check_optional, check_link_pairs, check_star_schema)}
