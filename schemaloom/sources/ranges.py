@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import pandas as pd
@@ -267,6 +268,11 @@ def read_dumps(spark: SparkSession, paths, size: int = RANGE) -> Dumps:
     project is a file's folder and file_idx its place by path in it, as read_sql_files() has them. Files without a byte are not seen (by any of Spark's readers of files). A line end at
     the end of a file counts as a character whether it is there or not."""
     lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    return _dumps(spark, lines, paths, size)
+
+
+def _dumps(spark: SparkSession, lines: DataFrame, paths, size: int) -> Dumps:
+    """What the lines (file, block, line) of the files at `paths` hold."""
     with scratch(spark):
         found = scan_lines(lines, size)
     files = spark.read.format("binaryFile").load(paths).select("path")  # the content is not read
@@ -298,3 +304,108 @@ def read_dumps(spark: SparkSession, paths, size: int = RANGE) -> Dumps:
     names = [c.split()[0] for c in STATS.split(", ")]
     stats = rows.select("project", "file", "file_idx", "entry_idx", *[zero(F.col("copies" if c == "copy_blocks" else c)).alias(c) for c in names[4:]])
     return Dumps(statements.select(*[c.split()[0] for c in STATEMENTS.split(", ")]), stats, notes)
+
+
+#: Bytes of compressed members that one task unpacks.
+MEMBERS = 8 << 20
+_member = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
+
+
+def _decodes(raw: memoryview) -> bool:
+    """Whether a gzip member starts here: its first bytes can be unpacked."""
+    d = zlib.decompressobj(31)
+    try:
+        d.decompress(bytes(raw[:65536]), 4096)
+    except zlib.error:
+        return False
+    return d.eof or bool(d.unconsumed_tail) or len(raw) > 65536
+
+
+def member_runs(raw: bytes, size: int) -> list[tuple[int, int]]:
+    """Ranges of a gzip file of at least `size` bytes (but for the last), each of whole members."""
+    cuts, view = [0], memoryview(raw)
+    for m in _member.finditer(raw, 1):
+        if m.start() - cuts[-1] >= size and _decodes(view[m.start() :]):
+            cuts.append(m.start())
+    return list(zip(cuts, [*cuts[1:], len(raw)]))
+
+
+def _runs(size: int):
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                raw = bytes(content)
+                for start, end in member_runs(raw, size) if raw[:2] == b"\x1f\x8b" else [(0, len(raw))]:
+                    yield pd.DataFrame([(path, start, raw[start:end])], columns=["file", "block", "packed"])
+
+    return run
+
+
+def unpacked(packed: bytes) -> tuple[bytes, bool]:
+    """What the members hold, and whether they end where the bytes do. What is left of a broken file is what came before the fault."""
+    out = []
+    while packed:
+        d = zlib.decompressobj(31)
+        try:
+            out.append(d.decompress(packed))
+        except zlib.error:
+            return b"".join(out), False
+        if not d.eof:
+            return b"".join(out), False
+        packed = d.unused_data.lstrip(b"\0")
+    return b"".join(out), True
+
+
+def _unpack(batches):
+    for b in batches:
+        for file, block, packed in zip(b["file"], b["block"], b["packed"]):
+            raw, whole = unpacked(bytes(packed)) if bytes(packed[:2]) == b"\x1f\x8b" else (bytes(packed), True)
+            cut = raw.find(b"\n") + 1 or len(raw)
+            yield pd.DataFrame([(file, block, raw, raw[:cut], cut == len(raw) and not raw.endswith(b"\n"), whole)], columns=["file", "block", "raw", "first", "open", "whole"])
+
+
+def _lines(batches):
+    """The lines that start in a run: not the one that started before it, but the end of its last one."""
+    for b in batches:
+        for r in b.itertuples(index=False):
+            text = bytes(r.raw)[0 if r.block == 0 else len(r.first) :] + bytes(r.rest or b"")
+            if text:
+                lines = text.removesuffix(b"\n").split(b"\n")
+                yield pd.DataFrame({"file": r.file, "block": r.block, "line": lines})
+
+
+def read_gzip_dumps(spark: SparkSession, paths, size: int = RANGE, members: int = MEMBERS) -> Dumps:
+    """read_dumps() for gzip files of several members (of dumps that were appended to each other, or packed in blocks): each file is read by
+    one task, which finds the members; runs of them are unpacked and scanned by all. Files of up to 2 GB; of one member each is one task.
+
+    Files with a fault are read up to it, with a note."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    cores, order = spark.sparkContext.defaultParallelism, Window.partitionBy("file").orderBy("block")
+
+    def unpack(some: DataFrame, size: int) -> DataFrame:
+        runs = written(some.mapInPandas(_runs(size), "file string, block long, packed binary"))
+        return runs.repartition(4 * cores, "file", "block").mapInPandas(_unpack, "file string, block long, raw binary, first binary, open boolean, whole boolean")
+
+    parts = written(unpack(files, members))
+    # Where a run does not end with a member, the next start was none (or the file is broken): such a file is one run.
+    last = parts.select("file", "whole", F.lead("block").over(order).isNull().alias("last"))
+    wrong = written(last.where("not whole and not last").select("file").distinct())
+    if not wrong.isEmpty():
+        again = unpack(files.join(wrong.withColumnRenamed("file", "path"), "path", "left_semi"), 1 << 62)
+        parts = written(parts.join(wrong, "file", "left_anti").unionByName(again))
+    slim = parts.select("file", "block", "open", (F.row_number().over(order) == 1).alias("head"))
+    # A line may go on through runs that hold no line end at all: these belong to the run before them.
+    group = F.count_if(~F.col("open") | F.col("head")).over(order)
+    slim = written(slim.withColumn("group", group))
+    ends = parts.select("file", "block", "first").join(slim.select("file", "block", "group", "open", "head"), ["file", "block"])
+    rest = ends.where("not head").withColumn("to", F.when(F.col("open"), F.col("group")).otherwise(F.col("group") - 1))
+    rest = rest.groupBy("file", "to").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "first"))), lambda s: s["first"]).alias("firsts"))
+    rest = rest.withColumn("rest", F.aggregate("firsts", F.lit(b""), lambda a, b: F.concat(a, b))).drop("firsts")
+    held = slim.where("not open or head").select("file", "block", "group")
+    held = held.join(rest.withColumnRenamed("to", "group"), ["file", "group"], "left").drop("group")
+    lines = parts.select("file", "block", "raw", "first").join(written(held), ["file", "block"]).mapInPandas(_lines, "file string, block long, line binary")
+    found = _dumps(spark, lines, paths, size)
+    bad = parts.where("not whole").groupBy("file").agg(F.min("block").alias("block"))
+    known = bad.select(F.regexp_extract("file", "([^/]+)/[^/]*$", 1).alias("project"), F.regexp_extract("file", "([^/]*)$", 1).alias("file"))
+    named = found.stats.select("project", "file", "file_idx").join(known.distinct(), ["project", "file"])
+    return Dumps(found.statements, found.stats, found.notes.unionByName(named.withColumn("note", F.lit("stopped partway: its data is damaged"))))

@@ -1,5 +1,6 @@
 """Dumps read by ranges of bytes against one scan of each whole file."""
 
+import gzip
 import os
 import random
 
@@ -87,3 +88,29 @@ def test_keys_of_different_types_are_equal(spark):
     assert got == {"a": (1, 0, 1), "s": (1, 0, 1), "d": (1, 0, 1), "day": (0, 1, 1), "N": (0, 1, 1), "z": (3, 0, 1)}
     for c, p in (("a", "id"), ("d", "k"), ("n", "id")):
         assert checks.orphans(child, [c], parent, [p]).count() == got[c.upper() if c == "n" else c][0]
+
+
+@pytest.mark.parametrize("members", [1, 3000, 1 << 20])
+def test_members_of_gzip_files_are_read_by_many_tasks(spark, tmp_path, members):
+    """Wherever a text is cut into members, within lines too, and with bytes in the data that look like a member's first."""
+    r, texts = random.Random(9), {}
+    os.makedirs(tmp_path / "my")
+    for i in range(3):
+        text = dump(r, "my", 80) + "INSERT INTO t VALUES ('" + "x" * 9000 + "');\nCREATE TABLE last (x int)"
+        raw, cuts = text.encode(), sorted(r.sample(range(len(text)), 25)) if i else []
+        cuts = [0, *cuts, len(raw)]
+        texts[f"{i}.sql.gz"] = text
+        (tmp_path / "my" / f"{i}.sql.gz").write_bytes(b"".join(gzip.compress(raw[a:b], 0 if k % 2 else 6) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+    whole = (tmp_path / "my" / "2.sql.gz").read_bytes()
+    assert len(ranges.member_runs(whole, 1)) >= 25 and ranges.member_runs(b"\x1f\x8b\x08\x00" * 50, 1) == [(0, 200)]
+    inner = gzip.compress(b"x" * 30)
+    texts["inner.sql.gz"] = "CREATE TABLE a (x int); " + "-- pad\n" * 900 + "INSERT INTO t VALUES ('" + inner.decode("latin-1").replace("'", "''") + "');\nCREATE TABLE b (x int);"
+    (tmp_path / "my" / "inner.sql.gz").write_bytes(gzip.compress(texts["inner.sql.gz"].encode("latin-1"), 0))
+    (tmp_path / "my" / "bad.sql.gz").write_bytes(gzip.compress(b"CREATE TABLE good (x int);\n") + gzip.compress(b"CREATE TABLE lost (x int);\n" * 9)[:-12])
+    found = ranges.read_gzip_dumps(spark, f"{tmp_path}/my", 5000, members)
+    got = {}
+    for s in found.statements.orderBy("file", "stmt_idx").collect():
+        got.setdefault(s.file, []).append((s.kind, s.sql))
+    for name, text in texts.items():
+        assert got[name] == Script(text).kept if name != "inner.sql.gz" else [k for _, k in got[name]] == ["CREATE TABLE a (x int)", "CREATE TABLE b (x int)"]
+    assert got["bad.sql.gz"][0] == ("create_table", "CREATE TABLE good (x int)") and [n.file for n in found.notes.collect()] == ["bad.sql.gz"]
