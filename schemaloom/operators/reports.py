@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cardinality_sentence, file_format_label, key_label, layers_label, markdown
 from ..plans.assemble import Catalog
 from ..sources.files import skipped_files
+from ..sources.ordered import numbered
 
 
 def relationship_list(relationships: DataFrame) -> DataFrame:
@@ -39,6 +40,13 @@ def sort_connectivity(report: DataFrame) -> DataFrame:
     return report.orderBy(F.desc("n_in"), "table_id", "project")
 
 
+def placed_connectivity(report: DataFrame) -> DataFrame:
+    """The report with `place`, from 1: each project's tables by incoming references, then by name as people sort names (upper and lower
+    case together, letters with marks by their letter)."""
+    named = numbered(report, F.expr("-n_in"), F.collate("table_id", "UNICODE"), "table_id")
+    return named.withColumn("place", F.col("number") + 1).drop("number")
+
+
 def _without(tables: DataFrame, ends: DataFrame) -> DataFrame:
     return tables.select("project", "table_id").join(ends, ["project", "table_id"], "left_anti")
 

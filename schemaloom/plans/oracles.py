@@ -259,3 +259,8 @@ WITH s AS (
   FROM documents WHERE doc_id IS NOT NULL)
 SELECT project, sum(strlen(sql) + 2)::BIGINT AS n_bytes, count(*) AS n_tables, sum(length(sql))::BIGINT AS n_chars FROM s GROUP BY project
 """
+
+ORACLES["tree_places"] = ORACLES["tree_connectivity"].replace("SELECT project, table_id, n_out,", "SELECT project, row_number() OVER (PARTITION BY project ORDER BY n_in DESC, table_id) AS place, table_id,")
+ORACLES["tree_document_lines"] = ORACLES["tree_documents"][: ORACLES["tree_documents"].rindex("\nSELECT")] + """
+SELECT project, kind, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM (SELECT *, string_split(text, chr(10)) AS parts FROM texts WHERE kind IN ('graph', 'dictionary'))
+"""

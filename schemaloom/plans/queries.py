@@ -109,6 +109,21 @@ def tree_diagram_sizes(spark, sf_dir):
     return out
 
 
+def tree_places(spark, sf_dir):
+    """Each table's place in the connectivity report of its project."""
+    c = tree_catalog(spark, sf_dir)
+    return reports.placed_connectivity(reports.connectivity(c.tables, c.relationships)).select("project", "place", "table_id", "n_in", "role")
+
+
+def tree_document_lines(spark, sf_dir):
+    """Every line of each project's graph and dictionary, with its number."""
+    c, out = tree_catalog(spark, sf_dir), None
+    for kind in ("graph", "dictionary"):
+        one = render.numbered_lines(c, kind).select("project", F.lit(kind).alias("kind"), "line_no", "line")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def dump_file_reports(spark, sf_dir):
     entries = corpora.dumps(table(spark, sf_dir, "documents"))
     return reports.file_reports(entries, st.scan_stats(entries))
@@ -333,6 +348,6 @@ def document_sizes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tree_relationships, tree_tables, tree_connectivity, tree_many_to_many, tree_warnings, tree_dictionary, tree_search, tree_table_sets, tree_totals,
-    tree_er_edges, tree_class_edges, tree_graph_edges, tree_diagram_sizes, dump_file_reports, dump_retained_ddl, dump_ranges, source_entries, migration_columns, migration_kinds, tree_documents, tree_details, tree_isolated, archive_reports, archive_warnings, archive_projects,
+    tree_places, tree_document_lines, tree_er_edges, tree_class_edges, tree_graph_edges, tree_diagram_sizes, dump_file_reports, dump_retained_ddl, dump_ranges, source_entries, migration_columns, migration_kinds, tree_documents, tree_details, tree_isolated, archive_reports, archive_warnings, archive_projects,
     archive_new_files, replaced_statements, odd_relationships, odd_tables, odd_warnings, stream_tables, document_sizes,
     check_nullable, check_keys, check_orphans, check_cardinality, check_optional, check_link_pairs, check_star_schema)}
