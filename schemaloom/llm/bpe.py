@@ -25,7 +25,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from .common import named, pieces
 
 #: Words, and four times as many pairs of tokens, that a worker remembers.
-CACHE = 60_000
+CACHE = 200_000
 LETTER, NUMBER, SPACE = r"A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 WORDS = re.compile(rf"[{LETTER}]+|'(?:[stmd]|re|ve|ll)|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 BEYOND, CONTROL = re.compile("[^\x00-ɏ]"), re.compile("[\x1c-\x1f]")
