@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -18,19 +19,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"file://{tempfile.gettempdir()}/schemaloom-shared").rstrip("/")
 
 
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """Paths that open scratch() blocks of this thread are to delete."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables written within are deleted at its end, but for those written with keep=True. For a step whose result is a written table and
     reads none of the others any more."""
-    _open.append([])
+    _open.blocks.append([])
     try:
         yield
     finally:
         conf = spark._jsc.hadoopConfiguration()
-        for path in _open.pop():
+        for path in _open.blocks.pop():
             path = spark._jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(conf).delete(path, True)
 
@@ -40,7 +48,7 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     read, not the work above. The owner of the folder clears it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    if _open and not keep:
-        _open[-1].append(path)
+    if _open.blocks and not keep:
+        _open.blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
