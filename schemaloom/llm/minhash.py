@@ -7,13 +7,15 @@
 3. In every bucket each class is compared with the smallest one, its hub, only. Pairs whose sizes or
    whose estimate (share of equal places by bit counts, corrected for chance agreement) rule a link
    out are dropped; the rest are confirmed on the full sets. Their components are parts.
-4. Buckets that still hold several parts go into one group for each part of a hub. A group's centre is
-   the set of shingles that more than half of its classes hold, and each class goes on as its
-   differences from the centre. Two sets differ exactly where their differences do, so classes link if
-   they share at least as many differences as their numbers ask for. Candidates come from a prefix
-   filter: differences in order of rarity, each class by as many of its rarest as a partner of a given
-   distance from the centre has to share one of. First every class meets the one nearest to the centre
-   of its group and of each shared difference only, then classes of parts that are still apart meet.
+4. Buckets that still hold several parts go into one group for each part of a hub, and groups that share
+   nodes into the smallest of them. A group's centre is the set of shingles that more than half of its
+   classes hold, and each class goes on as its differences from the centre. Two sets differ exactly where
+   their differences do, so classes link if they share at least as many differences as their numbers ask
+   for. Differences that the same classes hold (of one filled-in slot, say) are one weighted element.
+   Elements are in order of rarity, and classes meet by paths: the first elements that they may share, as
+   long as what follows still leaves enough. All classes of a group share the empty path. Where a path has
+   many classes, each meets only the one nearest to the centre, and their paths grow by an element; where
+   it has few, all of them meet. Parts that links have joined count as one in the next round.
    All of it is exact: every pair of a bucket is confirmed, ruled out, or joined by other links.
 
 For a link at the similarity 0.85 the chance to share no bucket is 8e-7, and to be ruled out by the
@@ -33,6 +35,8 @@ from .common import hot_join, mapped_table, pieces, scratch, whole_row, written
 
 SHINGLE, PERCENT = 5, 85
 KEYS, ROWS, BANDS, BITS = 512, 5, 24, 2
+#: Rows of a path that all meet each other in step 4.
+FEW = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240)
 FACTORS, SHIFTS = (_rng.integers(0, 2**63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -195,6 +199,14 @@ def _in_parts(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(to, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
 
 
+def _merged(groups: DataFrame) -> DataFrame:
+    """`groups` (g, node, part) where each group has gone into the smallest group that one of its nodes is in, so that
+    a node is in few groups; a written table. Nodes that were in one group still are."""
+    least = groups.groupBy("node").agg(F.min("g").alias("least"))
+    to = written(groups.join(least, "node").groupBy("g").agg(F.min("least").alias("to"), F.count(F.lit(1)).alias("n")))
+    return written(hot_join(groups, to.select("g", "to"), ["g"], "node", to.select("g", "n")).select(F.col("to").alias("g"), "node", "part").distinct())
+
+
 def differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """g, node, part (a written table) -> with n, d (number of differences from the group's centre), diff (them)
     and x: classes link if 2 * (100 + percent) times the differences they share reach the sum of their x."""
@@ -209,66 +221,86 @@ def differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(rows.withColumn("x", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")))
 
 
-def postings(diffs: DataFrame, percent: int) -> DataFrame:
-    """A row for each shared difference of a class by which partners of some distance from the centre can find it:
-    g, j (range of sizes), e (the difference), own and other (levels of x of the two), node, part, d, x, p (the
-    difference's place in order of rarity)."""
+def slots(diffs: DataFrame, percent: int) -> DataFrame:
+    """g, node, part, n, x, low (no partner's x is below it) and els: the differences that several parts hold, rarest
+    first. Those that the same classes hold are one element, e, of weight w; `after` is the weight of all that follow
+    it. A written table."""
     each = diffs.select("g", "node", "part", F.explode("diff").alias("e"))
-    # Differences that only one part holds join nothing; they come first in the order, as if they were rarest.
-    freq = written(each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("g", "e", "n"))
-    shared = hot_join(each.drop("part"), freq.withColumnRenamed("n", "often"), ["g", "e"], "node", freq)
-    by = Window.partitionBy("g", "node")
-    shared = shared.withColumn("p", F.row_number().over(by.orderBy("often", "e")) - 1 - F.count(F.lit(1)).over(by))
-    rows = shared.join(diffs.select("g", "node", "part", "n", "d", "x"), ["g", "node"]).withColumn("p", F.col("d") + F.col("p"))
-    # Sizes of a link differ by the factor 100 / percent at most, so both are in one range of two such steps.
-    ratio, wide = 100 / percent, float(100 - percent)
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio)) + 1e-9).cast("int")
-    rows = rows.withColumn("j", F.explode(F.array(step, step - 1)))
-    size = F.pow(F.lit(ratio), F.col("j").cast("double"))
-    rows = rows.withColumn("w", F.greatest(F.lit(1), F.floor(wide * size / 2))).withColumn("own", F.floor(F.col("x") / F.col("w")))
-    span = F.ceil(2 * wide * size * ratio * ratio / F.col("w")) + 1
-    # A partner at level m shares at least (own + m) * w / 2 / (100 + percent) of d; this place counts if that leaves it in.
-    last = F.least(F.col("own") + span, F.floor(2 * (100 + percent) * (F.col("d") - F.col("p")) / F.col("w")) - F.col("own"))
-    rows = rows.withColumn("first", F.col("own") - span).withColumn("last", last).where("last >= first")
-    return rows.select("g", "j", "e", "own", F.explode(F.sequence("first", "last")).alias("other"), "node", "part", "d", "x", "p")
+    holders = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    freq = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), *holders).where("least <> most")
+    freq = written(freq.groupBy("g", "n", "h0", "h1").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("w")).select("g", "e", "w", "n"))
+    shared = hot_join(each.select("g", "node", "e"), freq.withColumnRenamed("n", "often"), ["g", "e"], "node", freq.select("g", "e", "n"))
+    later = Window.partitionBy("g", "node").orderBy("often", "e").rowsBetween(1, Window.unboundedFollowing)
+    shared = shared.withColumn("after", F.coalesce(F.sum("w").over(later), F.lit(0)))
+    els = shared.groupBy("g", "node").agg(F.array_sort(F.collect_list(F.struct("often", "e", "w", "after"))).alias("els"))
+    least = written(diffs.groupBy("g").agg(F.min("x").alias("least"), F.count(F.lit(1)).alias("n")))
+    rows = hot_join(diffs.select("g", "node", "part", "n", "x"), least.select("g", "least"), ["g"], "node", least.select("g", "n"))
+    # A link shares at most all differences of the partner, and sizes of a link differ by the factor 100 / percent at most.
+    low = F.greatest("least", F.floor(F.col("x") - 200 * (100 - percent) / percent * F.col("n")))
+    empty = F.array().cast("array<struct<often:bigint,e:bigint,w:bigint,after:bigint>>")
+    return written(rows.join(els, ["g", "node"], "left").select("g", "node", "part", "n", "x", low.alias("low"), F.coalesce("els", empty).alias("els")))
+
+
+def _extended(rows: DataFrame, items: DataFrame | None, percent: int) -> DataFrame:
+    """Rows of paths that are one element longer; of the empty path, if `items` is None and `rows` are slots(). A path is
+    the first elements that two classes may share: path (a hash of them), s (their weight), k (place of the last),
+    top (the largest x of a partner that shares the path first, if it shares all that follows), more (number of
+    elements that can come next). A written table."""
+    to = 2 * (100 + percent)
+    fits = f"{to} * (s + t.w + t.after) - x >= low"
+    if items is None:
+        rows = rows.withColumns({"path": F.lit(0).cast("long"), "s": F.lit(0).cast("long"), "k": F.lit(-1), "after": F.coalesce(F.expr("els[0].w + els[0].after"), F.lit(0))})
+    else:
+        rows = rows.select("g", "node", "part", "path", "s", "k").join(items.drop("part"), ["g", "node"])
+        rows = rows.withColumn("next", F.explode(F.expr(f"filter(transform(els, (t, i) -> struct(i, t.e, t.w, t.after)), t -> t.i > k and {fits})")))
+        rows = rows.withColumns({"path": F.xxhash64("path", "next.e"), "s": F.col("s") + F.col("next.w"), "k": F.col("next.i"), "after": F.col("next.after")})
+    more = F.expr(f"size(filter(slice(els, k + 2, size(els)), t -> {fits}))")
+    top = to * (F.col("s") + F.col("after")) - F.col("x")
+    return written(rows.select("g", "path", "node", "part", "n", "x", "s", "k", top.alias("top"), more.alias("more")))
 
 
 def _checked(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (g, a, b, a_part, b_part) that link, by their differences; a written table (a, b) of parts."""
+    """The pairs (g, a, b, a_part, b_part) that link, by their differences; each is checked in one group only. A
+    written table (a, b) of parts."""
     of = lambda c: diffs.select("g", F.col("node").alias(c), F.col("x").alias(f"{c}_x"), F.col("diff").alias(f"{c}_diff"))
-    both = hot_join(written(pairs.distinct()), of("b"), ["g", "b"], "a").join(of("a"), ["g", "a"])
+    pairs = written(pairs.groupBy("a", "b").agg(F.min(F.struct("g", "a_part", "b_part")).alias("at")).select("a", "b", "at.*"))
+    both = hot_join(pairs, of("b"), ["g", "b"], "a").join(of("a"), ["g", "a"])
     both = both.where(2 * (100 + percent) * F.size(F.array_intersect("a_diff", "b_diff")) >= F.col("a_x") + F.col("b_x"))
     return written(both.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())
 
 
+def _bucketed(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (g, a, b, a_part, b_part) of rows of one path that can link, and the rows whose path has to grow. Few rows
+    of a path meet each other; many meet only the one of smallest x, which links with both of any pair that shares the
+    path alone, and then go on with longer paths."""
+    key = ["g", "path"]
+    least = F.min(F.struct("x", "node", "part", "n", "top")).alias("b")
+    buckets = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("p"), F.max("part").alias("q"), F.avg("more").alias("more"), least)
+    many = (F.col("rows") > FEW) & (F.col("rows") > 2 * F.col("more"))
+    buckets = written(buckets.where("p <> q").select(*key, many.alias("many"), "b", "rows"))
+    rows = written(hot_join(rows, buckets.select(*key, "many", "b"), key, "node", buckets.select(*key, F.col("rows").alias("n"))))
+    side = lambda t: [*key, *[F.col(c).alias(f"{t}_{c}") for c in ("node", "part", "n", "x", "top")]]
+    few = rows.where("not many")
+    few = few.select(*side("a")).join(few.select(*side("b")), key).where("a_node < b_node")
+    met = rows.where("many").select(*side("a"), *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("node", "part", "n", "x", "top")])
+    can = (F.col("a_part") != F.col("b_part")) & (F.col("a_x") <= F.col("b_top")) & (F.col("b_x") <= F.col("a_top"))
+    can &= 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    ordered = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
+    return few.unionByName(met).where(can).select("g", *ordered, "a_part", "b_part"), rows.where("many").drop("many", "b")
+
+
 def links_across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, component of the parts that links within the groups (g, node, part; a written table) join."""
     diffs = differences(groups, sets, percent)
-    # Classes that share no difference can link only near the centre, and then also with the nearest one.
-    slim = diffs.select("g", "node", "part", "x")
-    nearest = slim.groupBy("g").agg(F.min(F.struct("x", "node", "part")).alias("b"))
-    near = hot_join(slim, nearest, ["g"], "node").where("x + b.x <= 0 and part <> b.part")
-    near = written(near.select(F.col("part").alias("a"), F.col("b.part").alias("b")).distinct())
-
-    posts = written(postings(diffs, percent))
-    key = ["g", "j", "e", "lo", "hi"]
-    posts = posts.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    pivots = written(posts.groupBy(*key).agg(
-        F.min(F.struct("x", "d", "node", "part")).alias("b"), F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q"))
-    posts = written(hot_join(posts, pivots.select(*key, "b"), key, "node", pivots.select(*key, "n")))
-    needed = lambda x, y: F.ceil((x + y) / (2 * (100 + percent)))
-    met = posts.where("part <> b.part").where(needed(F.col("x"), F.col("b.x")) <= F.least("d", "b.d"))
-    met = _checked(met.select("g", F.col("node").alias("a"), F.col("b.node").alias("b"), F.col("part").alias("a_part"), F.col("b.part").alias("b_part")), diffs, percent)
-    first = written(components(near.union(met)))
-
-    posts = _in_parts(posts.drop("b"), first)
-    side = lambda t: [*key, *[F.col(c).alias(f"{t}_{c}") for c in ("node", "part", "d", "x", "p")]]
-    both = posts.where("own <= other").select(*side("a")).join(posts.where("own >= other").select(*side("b")), key)
-    least = needed(F.col("a_x"), F.col("b_x"))
-    both = both.where((F.col("a_part") != F.col("b_part")) & ((F.col("lo") < F.col("hi")) | (F.col("a_node") < F.col("b_node"))))
-    pairs = both.where((F.col("a_p") <= F.col("a_d") - least) & (F.col("b_p") <= F.col("b_d") - least)).select("g", F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_part", "b_part")
-    second = written(components(_checked(pairs, diffs, percent)))
-    return _joined_up(first, second)
+    items = slots(diffs, percent)
+    rows, found = _extended(items, None, percent), None
+    while True:
+        pairs, rows = _bucketed(rows, percent)
+        new = written(components(_checked(pairs, diffs, percent)))
+        found = new if found is None else _joined_up(found, new)
+        rows = _extended(_in_parts(rows.where("more > 0"), new), items, percent)
+        if rows.isEmpty():
+            return found
 
 
 def _joined_up(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -298,7 +330,7 @@ def _classified(docs: DataFrame, k: int, percent: int, n_bands: int) -> DataFram
     part = written(members.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")))
     split = written(part.groupBy("bucket").agg(F.min("part").alias("g"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("g <> q"))
     groups = written(hot_join(part, split.select("bucket", "g"), ["bucket"], "node", split.select("bucket", "n")).select("g", "node", "part").distinct())
-    across = links_across(groups, full, percent)
+    across = links_across(_merged(groups), full, percent)
 
     linked = _joined_up(first, across)
     everyone = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 from test_operators import docs, edge_rows
 
 from schemaloom.llm import ann, embedding_dedup, exact_dedup, licenses, merkle, minhash, periods, quality_cnn
@@ -204,3 +205,58 @@ def test_results_outlive_the_tables_between(spark):
     rows = [r for r in edge_rows() if r[0] is not None]
     kept = minhash.dedup(docs(spark, rows))
     assert kept.count() == kept.count() > 0 and exact_dedup.dedup(kept).count() <= kept.count()
+
+
+def templated(n, seed, options=8, words=300, slots=10, skew=False):
+    """Texts of one template; each slot has a word of `options`, some texts lose a stretch of the template."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for d in range(n):
+        own = list(base)
+        for j in range(slots):
+            own[12 + j * (words // slots)] = f"o{j}_{min(r.randrange(options), r.randrange(options)) if skew else r.randrange(options)}"
+        if skew and r.random() < 0.3:
+            del own[: r.randrange(40)]
+        out.append((d, " ".join(own), "a"))
+    return out
+
+
+def grouped(rows, percent):
+    sets, parent = [set(minhash.shingles(t).tolist()) for _, t, _ in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in range(len(rows))}
+
+
+def test_near_duplicates_of_one_template_meet_few_others(spark, monkeypatch):
+    met, checked = [], minhash._checked
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return checked(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_checked", counted)
+    rows = templated(400, 5)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    want = grouped(rows, 85)
+    assert got == want and 250 < len(set(want.values())) < 400
+    assert sum(met) < 50 * len(rows)
+
+
+@pytest.mark.parametrize("few,percent,n_bands,words,options", [(2, 85, 24, 300, 4), (2, 80, 40, 200, 5), (1, 85, 24, 120, 2)])
+def test_near_duplicates_of_uneven_templates_against_brute_force(spark, monkeypatch, few, percent, n_bands, words, options):
+    monkeypatch.setattr(minhash, "FEW", few)
+    rows = templated(60, 6, options, words, skew=True) + templated(60, 7, options, words, skew=True)
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), percent=percent, n_bands=n_bands).collect()}
+    assert got == grouped(rows, percent)
