@@ -249,7 +249,7 @@ def _extended(rows: DataFrame, items: DataFrame | None, percent: int) -> DataFra
     to = 2 * (100 + percent)
     fits = f"{to} * (s + t.w + t.after) - x >= low"
     if items is None:
-        rows = rows.withColumns({"path": F.lit(0).cast("long"), "s": F.lit(0).cast("long"), "k": F.lit(-1), "after": F.coalesce(F.expr("els[0].w + els[0].after"), F.lit(0))})
+        rows = rows.withColumns({"path": F.lit(0).cast("long"), "s": F.lit(0).cast("long"), "k": F.lit(-1), "after": F.coalesce(F.expr("get(els, 0).w + get(els, 0).after"), F.lit(0))})
     else:
         rows = rows.select("g", "node", "part", "path", "s", "k").join(items.drop("part"), ["g", "node"])
         rows = rows.withColumn("next", F.explode(F.expr(f"filter(transform(els, (t, i) -> struct(i, t.e, t.w, t.after)), t -> t.i > k and {fits})")))

@@ -215,7 +215,7 @@ def templated(n, seed, options=8, words=300, slots=10, skew=False):
     for d in range(n):
         own = list(base)
         for j in range(slots):
-            own[12 + j * (words // slots)] = f"o{j}_{min(r.randrange(options), r.randrange(options)) if skew else r.randrange(options)}"
+            own[5 + j * (words // slots)] = f"o{j}_{min(r.randrange(options), r.randrange(options)) if skew else r.randrange(options)}"
         if skew and r.random() < 0.3:
             del own[: r.randrange(40)]
         out.append((d, " ".join(own), "a"))
