@@ -12,10 +12,12 @@
    classes hold, and each class goes on as its differences from the centre. Two sets differ exactly where
    their differences do, so classes link if they share at least as many differences as their numbers ask
    for. Differences that the same classes hold (of one filled-in slot, say) are one weighted element.
-   Elements are in order of rarity, and classes meet by paths: the first elements that they may share, as
-   long as what follows still leaves enough. All classes of a group share the empty path. Where a path has
-   many classes, each meets only the one nearest to the centre, and their paths grow by an element; where
-   it has few, all of them meet. Parts that links have joined count as one in the next round.
+   Elements are in order of rarity, and classes meet by paths: the first elements that they may share. All
+   classes of a group share the empty path. What only one part holds among the classes of a path, and what a
+   path leaves out, no partner there shares: a class whose weight of it is too much even for the best partner
+   from another part goes no further. Where a path has many classes, each meets only the one nearest to the
+   centre, and their paths grow by an element; where it has few, all of them meet. Elements, their order and
+   weights are found anew for each path. Parts that links have joined count as one in the next round.
    All of it is exact: every pair of a bucket is confirmed, ruled out, or joined by other links.
 
 For a link at the similarity 0.85 the chance to share no bucket is 8e-7, and to be ruled out by the
@@ -37,6 +39,7 @@ SHINGLE, PERCENT = 5, 85
 KEYS, ROWS, BANDS, BITS = 512, 5, 24, 2
 #: Rows of a path that all meet each other in step 4.
 FEW = 8
+PATH = ["g", "path"]
 _M = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240)
 FACTORS, SHIFTS = (_rng.integers(0, 2**63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -221,42 +224,50 @@ def differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(rows.withColumn("x", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")))
 
 
-def slots(diffs: DataFrame, percent: int) -> DataFrame:
-    """g, node, part, n, x, low (no partner's x is below it) and els: the differences that several parts hold, rarest
-    first. Those that the same classes hold are one element, e, of weight w; `after` is the weight of all that follow
-    it. A written table."""
-    each = diffs.select("g", "node", "part", F.explode("diff").alias("e"))
+def _opened(diffs: DataFrame, percent: int) -> DataFrame:
+    """A row for each class of a group on the empty path: g, path (a hash of the elements that a pair shares first), node,
+    part, n, x, els (the elements that may come next: e, of weight w), left (their weight) and y: classes link only if
+    the sum of their y is 0 or less. y grows with the weight of a class's differences that no partner can share."""
+    els = F.transform("diff", lambda e: F.struct(e.alias("e"), F.lit(1).cast("long").alias("w")))
+    y = -(100 - percent) * F.col("n")
+    return diffs.select("g", F.lit(0).cast("long").alias("path"), "node", "part", "n", "x", y.alias("y"), F.col("d").alias("left"), els.alias("els"))
+
+
+def _narrowed(rows: DataFrame, percent: int) -> DataFrame:
+    """Of `rows` those that the best row of another part with the same path can link with. Their els are those that
+    several parts with this path hold, rarest first; those that the same classes hold are one element, and `before` is the
+    weight of all that precede it. more: number of elements that can come next, with all before them not shared. A
+    written table."""
+    each = rows.select(*PATH, "node", "part", F.inline("els"))
     holders = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)]
-    freq = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), *holders).where("least <> most")
-    freq = written(freq.groupBy("g", "n", "h0", "h1").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("w")).select("g", "e", "w", "n"))
-    shared = hot_join(each.select("g", "node", "e"), freq.withColumnRenamed("n", "often"), ["g", "e"], "node", freq.select("g", "e", "n"))
-    later = Window.partitionBy("g", "node").orderBy("often", "e").rowsBetween(1, Window.unboundedFollowing)
-    shared = shared.withColumn("after", F.coalesce(F.sum("w").over(later), F.lit(0)))
-    els = shared.groupBy("g", "node").agg(F.array_sort(F.collect_list(F.struct("often", "e", "w", "after"))).alias("els"))
-    least = written(diffs.groupBy("g").agg(F.min("x").alias("least"), F.count(F.lit(1)).alias("n")))
-    rows = hot_join(diffs.select("g", "node", "part", "n", "x"), least.select("g", "least"), ["g"], "node", least.select("g", "n"))
-    # A link shares at most all differences of the partner, and sizes of a link differ by the factor 100 / percent at most.
-    low = F.greatest("least", F.floor(F.col("x") - 200 * (100 - percent) / percent * F.col("n")))
-    empty = F.array().cast("array<struct<often:bigint,e:bigint,w:bigint,after:bigint>>")
-    return written(rows.join(els, ["g", "node"], "left").select("g", "node", "part", "n", "x", low.alias("low"), F.coalesce("els", empty).alias("els")))
-
-
-def _extended(rows: DataFrame, items: DataFrame | None, percent: int) -> DataFrame:
-    """Rows of paths that are one element longer; of the empty path, if `items` is None and `rows` are slots(). A path is
-    the first elements that two classes may share: path (a hash of them), s (their weight), k (place of the last),
-    top (the largest x of a partner that shares the path first, if it shares all that follows), more (number of
-    elements that can come next). A written table."""
-    to = 2 * (100 + percent)
-    fits = f"{to} * (s + t.w + t.after) - x >= low"
-    if items is None:
-        rows = rows.withColumns({"path": F.lit(0).cast("long"), "s": F.lit(0).cast("long"), "k": F.lit(-1), "after": F.coalesce(F.expr("get(els, 0).w + get(els, 0).after"), F.lit(0))})
-    else:
-        rows = rows.select("g", "node", "part", "path", "s", "k").join(items.drop("part"), ["g", "node"])
-        rows = rows.withColumn("next", F.explode(F.expr(f"filter(transform(els, (t, i) -> struct(i, t.e, t.w, t.after)), t -> t.i > k and {fits})")))
-        rows = rows.withColumns({"path": F.xxhash64("path", "next.e"), "s": F.col("s") + F.col("next.w"), "k": F.col("next.i"), "after": F.col("next.after")})
-    more = F.expr(f"size(filter(slice(els, k + 2, size(els)), t -> {fits}))")
-    top = to * (F.col("s") + F.col("after")) - F.col("x")
-    return written(rows.select("g", "path", "node", "part", "n", "x", "s", "k", top.alias("top"), more.alias("more")))
+    freq = each.groupBy(*PATH, "e").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), F.first("w").alias("w"), *holders).where("least <> most")
+    freq = written(freq.groupBy(*PATH, "n", "h0", "h1").agg(F.min("e").alias("e"), F.sum("w").alias("w")).withColumnRenamed("n", "often"))
+    shared = hot_join(each.drop("part", "w"), freq.drop("h0", "h1"), [*PATH, "e"], "node", freq.select(*PATH, "e", F.col("often").alias("n")))
+    earlier = Window.partitionBy(*PATH, "node").orderBy("often", "e").rowsBetween(Window.unboundedPreceding, -1)
+    shared = shared.withColumn("before", F.coalesce(F.sum("w").over(earlier), F.lit(0)))
+    els = shared.groupBy(*PATH, "node").agg(F.array_sort(F.collect_list(F.struct("often", "e", "w", "before"))).alias("now"), F.sum("w").alias("kept"))
+    rows = rows.join(els, [*PATH, "node"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    y = F.col("y") + (100 + percent) * (F.col("left") - F.col("kept"))
+    empty = F.array().cast("array<struct<often:bigint,e:bigint,w:bigint,before:bigint>>")
+    rows = written(rows.select(*PATH, "node", "part", "n", "x", y.alias("y"), F.col("kept").alias("left"), F.coalesce("now", empty).alias("els")))
+
+    parts = written(rows.groupBy(*PATH, "part").agg(F.min("y").alias("y"), F.count(F.lit(1)).alias("rows")))
+    first = written(parts.groupBy(*PATH).agg(F.min(F.struct("y", "part")).alias("b"), F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).where("n > 1"))
+    second = hot_join(parts, first.select(*PATH, "b"), PATH, "part", first.select(*PATH, "n")).where("part <> b.part").groupBy(*PATH).agg(F.min("y").alias("second"))
+    best = written(first.join(second, PATH).select(*PATH, "b", "second", "rows"))
+    rows = hot_join(rows, best.drop("rows"), PATH, "node", best.select(*PATH, F.col("rows").alias("n")))
+    rows = rows.withColumn("room", -F.col("y") - F.when(F.col("part") == F.col("b.part"), F.col("second")).otherwise(F.col("b.y"))).where("room >= 0")
+    more = F.expr(f"size(filter(els, t -> {100 + percent} * t.before <= room))")
+    return written(rows.withColumn("more", more).drop("b", "second"))
+
+
+def _extended(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of paths that are one element longer, of rows of _narrowed(); a written table."""
+    rows = rows.select("*", F.posexplode(F.slice("els", F.lit(1), F.col("more"))).alias("k", "next"))
+    rest = F.transform(F.slice("els", F.col("k") + 2, F.size("els")), lambda t: F.struct(t["e"].alias("e"), t["w"].alias("w")))
+    y = F.col("y") + (100 + percent) * F.col("next.before")
+    left = F.col("left") - F.col("next.before") - F.col("next.w")
+    return written(rows.select("g", F.xxhash64("path", "next.e").alias("path"), "node", "part", "n", "x", y.alias("y"), left.alias("left"), rest.alias("els")))
 
 
 def _checked(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
@@ -273,17 +284,17 @@ def _bucketed(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (g, a, b, a_part, b_part) of rows of one path that can link, and the rows whose path has to grow. Few rows
     of a path meet each other; many meet only the one of smallest x, which links with both of any pair that shares the
     path alone, and then go on with longer paths."""
-    key = ["g", "path"]
-    least = F.min(F.struct("x", "node", "part", "n", "top")).alias("b")
-    buckets = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("p"), F.max("part").alias("q"), F.avg("more").alias("more"), least)
+    least = F.min(F.struct("x", "node", "part", "n", "y")).alias("b")
+    buckets = rows.groupBy(*PATH).agg(F.count(F.lit(1)).alias("rows"), F.min("part").alias("p"), F.max("part").alias("q"), F.avg("more").alias("more"), least)
     many = (F.col("rows") > FEW) & (F.col("rows") > 2 * F.col("more"))
-    buckets = written(buckets.where("p <> q").select(*key, many.alias("many"), "b", "rows"))
-    rows = written(hot_join(rows, buckets.select(*key, "many", "b"), key, "node", buckets.select(*key, F.col("rows").alias("n"))))
-    side = lambda t: [*key, *[F.col(c).alias(f"{t}_{c}") for c in ("node", "part", "n", "x", "top")]]
+    buckets = written(buckets.where("p <> q").select(*PATH, many.alias("many"), "b", "rows"))
+    rows = written(hot_join(rows, buckets.select(*PATH, "many", "b"), PATH, "node", buckets.select(*PATH, F.col("rows").alias("n"))))
+    side = lambda t: [*PATH, *[F.col(c).alias(f"{t}_{c}") for c in ("node", "part", "n", "x", "y")]]
     few = rows.where("not many")
-    few = few.select(*side("a")).join(few.select(*side("b")), key).where("a_node < b_node")
-    met = rows.where("many").select(*side("a"), *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("node", "part", "n", "x", "top")])
-    can = (F.col("a_part") != F.col("b_part")) & (F.col("a_x") <= F.col("b_top")) & (F.col("b_x") <= F.col("a_top"))
+    few = few.select(*side("a")).join(few.select(*side("b")), PATH).where("a_node < b_node")
+    met = rows.where("many").select(*side("a"), *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("node", "part", "n", "x", "y")])
+    # x - 2 * y is the largest x of a partner that shares all that it can.
+    can = F.expr("a_part <> b_part and a_x <= b_x - 2 * b_y and b_x <= a_x - 2 * a_y")
     can &= 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     ordered = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
     return few.unionByName(met).where(can).select("g", *ordered, "a_part", "b_part"), rows.where("many").drop("many", "b")
@@ -292,13 +303,12 @@ def _bucketed(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def links_across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, component of the parts that links within the groups (g, node, part; a written table) join."""
     diffs = differences(groups, sets, percent)
-    items = slots(diffs, percent)
-    rows, found = _extended(items, None, percent), None
+    rows, found = _opened(diffs, percent), None
     while True:
-        pairs, rows = _bucketed(rows, percent)
+        pairs, rows = _bucketed(_narrowed(rows, percent), percent)
         new = written(components(_checked(pairs, diffs, percent)))
         found = new if found is None else _joined_up(found, new)
-        rows = _extended(_in_parts(rows.where("more > 0"), new), items, percent)
+        rows = _extended(_in_parts(rows.where("more > 0"), new), percent)
         if rows.isEmpty():
             return found
 

@@ -260,3 +260,25 @@ def test_near_duplicates_of_uneven_templates_against_brute_force(spark, monkeypa
     rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows), percent=percent, n_bands=n_bands).collect()}
     assert got == grouped(rows, percent)
+
+
+def test_near_copies_with_edits_at_the_same_places_have_few_paths(spark, monkeypatch):
+    made, extended = [], minhash._extended
+
+    def counted(*args):
+        out = extended(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_extended", counted)
+    r = random.Random(3)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for d in range(300):
+        own = list(base)
+        for _ in range(r.choice([1, 2, 3, 3, 4, 5])):
+            own[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        rows.append((d, " ".join(own), "a"))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    want = grouped(rows, 85)
+    assert got == want and 100 < len(set(want.values())) < 250
+    assert sum(made) < 10 * len(rows), made
