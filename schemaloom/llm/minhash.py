@@ -149,17 +149,25 @@ def _likely(a: str, b: str, percent: int) -> Column:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """node, n, h (the shingles' hashes) of `classes` (node, set_id, rep, n), each read from a text of its own; a written table."""
+    """node, n, h (the shingles' hashes) of `classes` (a written table: node, set_id, rep, n, texts), each read from a text
+    of its own; a written table. Only a class of several texts can have several rows with its doc_id."""
     ids = written(classes.select(F.col("rep").alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
     found = mapped_table(texts, _hashes(k), "set_id binary, h array<long>")
-    own = written(classes.select("node", "set_id", "n"))
-    return written(found.join(own, "set_id").select("node", "n", "h").dropDuplicates(["node"]))
+    own = lambda which: found.join(classes.where(which).select("node", "set_id", "n"), "set_id").select("node", "n", "h")
+    return written(own("texts = 1").unionByName(own("texts > 1").dropDuplicates(["node"])))
+
+
+def _ends(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The `rows` of nodes that `pairs` (a, b; a written table) have, so that joins with pairs deal out no others."""
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return rows.join(ends, "node", "left_semi")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; a written table. Many pairs may share a b."""
     of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("h").alias(f"{c}_h"))
+    sets = _ends(sets, pairs)
     both = hot_join(pairs, of("b"), ["b"], "a").join(of("a"), "a")
     shared = F.size(F.array_intersect("a_h", "b_h"))
     return written(both.where(100 * shared >= percent * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b"))
@@ -212,12 +220,17 @@ def _merged(groups: DataFrame) -> DataFrame:
 
 def differences(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """g, node, part (a written table) -> with n, d (number of differences from the group's centre), diff (them)
-    and x: classes link if 2 * (100 + percent) times the differences they share reach the sum of their x."""
+    and x: classes link if 2 * (100 + percent) times the differences they share reach the sum of their x. Any set
+    can be the centre; a group of few classes has that of its smallest one, which takes no counting."""
+    sizes = written(groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("node")))
+    large = sizes.where(F.col("size") > FEW).select("g", "size")
     rows = written(groups.join(sets, "node"))
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    held = written(rows.select("g", F.explode("h").alias("e")).groupBy("g", "e").count().where("count > 1"))
-    most = hot_join(held, sizes, ["g"], "e").where("2 * count > size").groupBy("g").agg(F.collect_list("e").alias("centre"))
-    centres = written(sizes.join(most, "g", "left").select("g", F.coalesce("centre", F.array().cast("array<bigint>")).alias("centre")))
+    held = rows.join(large.select("g"), "g", "left_semi").select("g", F.explode("h").alias("e"))
+    held = written(held.groupBy("g", "e").count().where("count > 1"))
+    most = hot_join(held, large, ["g"], "e").where("2 * count > size").groupBy("g").agg(F.collect_list("e").alias("centre"))
+    most = large.join(most, "g", "left").select("g", F.coalesce("centre", F.array().cast("array<bigint>")).alias("centre"))
+    small = sizes.where(F.col("size") <= FEW)
+    centres = written(most.unionByName(small.join(sets, "node").select("g", F.col("h").alias("centre"))))
     diff = F.concat(F.array_except("h", "centre"), F.array_except("centre", "h"))
     rows = hot_join(rows, centres, ["g"], "node", sizes.withColumnRenamed("size", "n")).select("g", "node", "part", "n", diff.alias("diff"))
     rows = rows.withColumn("d", F.size("diff").cast("long"))
@@ -275,6 +288,7 @@ def _checked(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
     written table (a, b) of parts."""
     of = lambda c: diffs.select("g", F.col("node").alias(c), F.col("x").alias(f"{c}_x"), F.col("diff").alias(f"{c}_diff"))
     pairs = written(pairs.groupBy("a", "b").agg(F.min(F.struct("g", "a_part", "b_part")).alias("at")).select("a", "b", "at.*"))
+    diffs = _ends(diffs, pairs)
     both = hot_join(pairs, of("b"), ["g", "b"], "a").join(of("a"), ["g", "a"])
     both = both.where(2 * (100 + percent) * F.size(F.array_intersect("a_diff", "b_diff")) >= F.col("a_x") + F.col("b_x"))
     return written(both.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())
@@ -325,7 +339,7 @@ def _classified(docs: DataFrame, k: int, percent: int, n_bands: int) -> DataFram
     sets = mapped_table(slim, _sets(k, n_bands), "doc_id long, text_hash long, n_shingles long, set_id binary, sig array<long>, bands array<long>")
     classes = written(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("texts"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     # A class goes by its smallest doc_id, or by a hash of its own where a doc_id has texts of several classes.
     twice = written(classes.groupBy("rep").count().where("count > 1"))
     classes = classes.join(twice, "rep", "left").withColumn("node", F.when(F.col("count").isNull(), F.col("rep")).otherwise(F.xxhash64("set_id"))).drop("count")
@@ -333,9 +347,10 @@ def _classified(docs: DataFrame, k: int, percent: int, n_bands: int) -> DataFram
     places = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = written(places.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = written(hot_join(places, hubs.select("bucket", "hub"), ["bucket"], "node", hubs.select("bucket", "n")))
-    met = members.select("node").distinct()
-    full = full_sets(slim, classes.select("node", "set_id", "rep", "n").join(met, "node", "left_semi"), k)
-    first = written(components(confirm(_stars(members, classes, percent), full, percent)))
+    met = written(members.select("node").distinct())
+    met = written(classes.select("node", "set_id", "rep", "texts", "n", "sig").join(met, "node", "left_semi"))
+    full = full_sets(slim, met, k)
+    first = written(components(confirm(_stars(members, met, percent), full, percent)))
 
     part = written(members.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part")))
     split = written(part.groupBy("bucket").agg(F.min("part").alias("g"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("g <> q"))

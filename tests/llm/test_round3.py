@@ -282,3 +282,11 @@ def test_near_copies_with_edits_at_the_same_places_have_few_paths(spark, monkeyp
     want = grouped(rows, 85)
     assert got == want and 100 < len(set(want.values())) < 250
     assert sum(made) < 10 * len(rows), made
+
+
+def test_sets_are_dealt_out_only_where_pairs_or_large_groups_need_them(spark):
+    sets = spark.createDataFrame([(i, 3, [i, i + 1, i + 2]) for i in range(1, 6)], "node long, n long, h array<long>")
+    pairs = spark.createDataFrame([(1, 3), (3, 4)], "a long, b long")
+    assert {r.node for r in minhash._ends(sets, pairs).collect()} == {1, 3, 4}
+    groups = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "g long, node long, part long")
+    assert {r.node: sorted(r["diff"]) for r in minhash.differences(groups, sets, 85).collect()} == {1: [], 2: [1, 4]}
